@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import exact_dedup
+from . import exact_dedup, quality, toxicity
+from .common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,3 +36,23 @@ def query(name: str, sql: str | None = None):
 )
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(table(spark, sf_dir, "documents"))
+
+
+def _scored(docs: DataFrame, model, with_score: Callable[[DataFrame, object], DataFrame], modulus: int, held: int) -> DataFrame:
+    out = with_score(docs.select("doc_id", "text"), model)
+    held_out = F.coalesce(remainder(F.col("doc_id"), modulus) == held, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 3) != 1)
+    return _scored(docs, model, toxicity.with_score, 3, 1)
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5) != 0)
+    return _scored(docs, model, quality.with_score, 5, 0)
