@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, exact_dedup, packing, quality, secrets, token_files, toxicity
+from . import bpe, embed_dedup, exact_dedup, packing, quality, secrets, token_files, toxicity
 from .common import remainder
 
 #: The public vocabularies; no copy is kept here.
@@ -95,3 +95,24 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"),
         F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.spelled(F.col("spans")).alias("spans"),
     )
+
+
+@query(
+    "op2_embedding_dedup",
+    """
+    WITH RECURSIVE v AS (
+        SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+    ok AS (
+        SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    l AS (
+        SELECT x.vec_id AS a, y.vec_id AS b FROM ok x JOIN ok y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+        WHERE list_cosine_similarity(x.e, y.e) >= 0.98),
+    n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+    r(id, m) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.id WHERE r.m < l.b),
+    c AS (SELECT id, min(m) AS m FROM r GROUP BY id)
+    SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.m AS component_id, v.vec_id = c.m AS kept
+    FROM v JOIN c ON c.id = v.vec_id LEFT JOIN n ON n.a = v.vec_id""",
+)
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.link_vectors(table(spark, sf_dir, "embeddings"))

@@ -143,10 +143,12 @@ def fit_texts(texts: list[str | None], y: np.ndarray, prior: float, threshold: f
     docs = [words_of(t) for t in texts]
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for d in docs for w in d))}
     names = list(vocabulary)
-    ids, owner = subwords(names)
-    order = np.argsort(owner, kind="stable")
-    ids = ids[order]
-    begin = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(names)))])
+    some_ids, some_sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for lo in range(0, len(names), 20_000):  # the n-grams in blocks of words: the driver's memory is small
+        part, owner = subwords(names[lo : lo + 20_000])
+        some_ids.append(part[np.argsort(owner, kind="stable")].astype(np.int32))
+        some_sizes.append(np.bincount(owner, minlength=len(names[lo : lo + 20_000])))
+    ids, begin = np.concatenate(some_ids), np.concatenate([[0], np.cumsum(np.concatenate(some_sizes))])
     flat = np.fromiter((vocabulary[w] for d in docs for w in d), np.int64)
     start = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
     doc, first, end = [], [], []
@@ -174,7 +176,8 @@ def fit_texts(texts: list[str | None], y: np.ndarray, prior: float, threshold: f
             net.step(ids[sub], own, word, inst, len(rows), y[doc[part]].astype(int), rate)
 
     def logits(model: ToxicModel) -> np.ndarray:
-        total = np.bincount(np.repeat(np.arange(len(names)), np.diff(begin)), model.gain[ids], len(names))
+        sums = np.concatenate([[0.0], np.cumsum(model.gain[ids], dtype=np.float64)])
+        total = sums[begin[1:]] - sums[begin[:-1]]
         t, n = np.concatenate([[0.0], np.cumsum(total[flat])]), np.concatenate([[0], np.cumsum(np.diff(begin)[flat])])
         return (t[end] - t[first]) / np.maximum(1, n[end] - n[first]) + model.bias
 
