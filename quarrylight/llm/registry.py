@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, embed_dedup, exact_dedup, packing, quality, secrets, token_files, toxicity
+from . import bpe, embed_dedup, exact_dedup, near_dedup, packing, quality, secrets, token_files, toxicity
 from .common import remainder
 
 #: The public vocabularies; no copy is kept here.
@@ -116,3 +116,32 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op8_minhash_dedup",
+    r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+            lambda x: x <> '') AS w
+        FROM documents),
+    s AS (
+        SELECT doc_id, unnest(CASE
+            WHEN len(w) = 0 THEN []
+            WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS g
+        FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    i AS (
+        SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id
+        GROUP BY x.doc_id, y.doc_id),
+    l AS (
+        SELECT a, b FROM i JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 75 * (p.n + q.n - k)),
+    r(id, m) AS (SELECT doc_id, doc_id FROM w UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.id WHERE r.m < l.b),
+    c AS (SELECT id, min(m) AS m FROM r GROUP BY id)
+    SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.m AS component_id, w.doc_id = c.m AS kept
+    FROM w JOIN c ON c.id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id""",
+)
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.link_documents(table(spark, sf_dir, "documents"))
