@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, embed_dedup, exact_dedup, near_dedup, packing, quality, secrets, token_files, toxicity
+from . import bpe, embed_dedup, exact_dedup, html_text, near_dedup, packing, quality, secrets, token_files, toxicity
 from .common import remainder
 
 #: The public vocabularies; no copy is kept here.
@@ -145,3 +145,8 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.link_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op5_html_text")
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
