@@ -1,0 +1,40 @@
+"""Classification of repositories from a bounded sample: pluggable, without a network by default."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+
+#: Kinds of repository that a classifier may answer; anything else becomes 'other'.
+TYPES = ("application", "library", "service", "tool", "infrastructure", "documentation", "data", "other")
+SCHEMA = "repo string, codebase_description string, industry_domain string, vibe_code_signals string, repo_type string, llm_analysis_error string"
+
+
+def no_network(row: dict) -> dict:
+    """The default classifier: it says nothing about a repository but that it was seen."""
+    return {"codebase_description": "", "industry_domain": "unknown", "vibe_code_signals": "[]", "repo_type": "other"}
+
+
+def classify(evidence: DataFrame, classifier: Callable[[dict], dict] = no_network, at_once: int = 3) -> DataFrame:
+    """One row per repository; an error of the classifier becomes text in its own column and nothing else fails."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for row in frame.to_dict("records"):
+                try:
+                    out.append({"repo": row["repo"], "llm_analysis_error": None, **classifier(row)})
+                except Exception as e:  # the reason is data, as for every other failed stage
+                    out.append({"repo": row["repo"], "llm_analysis_error": str(e)[:500]})
+            columns = [c.split()[0] for c in SCHEMA.split(", ")]
+            yield pd.DataFrame(out, columns=columns).astype(object).where(lambda d: d.notna(), None)
+
+    answered = evidence.repartition(at_once).mapInPandas(run, SCHEMA)
+    kind = F.when(F.col("llm_analysis_error").isNull(), S.normalised_type(F.col("repo_type"), TYPES))
+    domain = F.when(F.col("llm_analysis_error").isNull(), F.coalesce(F.nullif(F.trim("industry_domain"), F.lit("")), F.lit("unknown")))
+    return answered.withColumn("repo_type", kind).withColumn("industry_domain", domain)

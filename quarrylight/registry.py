@@ -20,3 +20,11 @@ def query(name: str, sql: str | None = None):
         return f
 
     return put
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from .plans import queries  # noqa: F401
+
+
+load()
