@@ -51,7 +51,8 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         h = np.zeros(len(chars), np.uint64)
         for n in range(1, max(GRAMS) + 1):
-            h[: len(chars) - n + 1] = h[: len(chars) - n + 1] * _P + chars[n - 1 :] + np.uint64(n)
+            m = max(0, len(chars) - n + 1)
+            h[:m] = h[:m] * _P + chars[n - 1 : n - 1 + m] + np.uint64(n)
             if n in GRAMS:
                 ok = left >= n
                 x = h[ok]
