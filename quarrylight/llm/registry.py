@@ -86,7 +86,51 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-@query("op7_secrets")
+def _either_case(words: str) -> str:
+    """A pattern whose letters match in either case, ASCII only."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+def _spans_sql(pattern: str, kind: int, group: int = 0, keep: str = "true") -> str:
+    """A list of (start, kind, end, text): the gaps between matches and the matches alternate."""
+    return f"""list_filter(list_transform(range(1, len(regexp_extract_all(t, '{pattern}')) + 1), lambda i: {{
+            's': list_sum(list_transform((regexp_split_to_array(t, '{pattern}'))[1:i], lambda x: length(x)))
+                + coalesce(list_sum(list_transform((regexp_extract_all(t, '{pattern}'))[1:i - 1], lambda x: length(x))), 0),
+            'k': {kind},
+            'n': length((regexp_extract_all(t, '{pattern}'))[i]),
+            'x': (regexp_extract_all(t, '{pattern}', {group}))[i]}}), lambda y: {keep})"""
+
+
+_ASSIGN_SQL = f"({_either_case('password')}|{_either_case('passwd')}|{_either_case('secret')}|{_either_case('token')}|{_either_case('api')}_?{_either_case('key')})"
+_ASSIGN_SQL += r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_ALLOW_SQL = (
+    "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$|^[0-9]{4}-[0-9]{2}-[0-9]{2}|0123456789"
+    f"|{_either_case('abcdefghij')}|{_either_case('example')}|{_either_case('placeholder')}|[xX]{{8}}|^[A-Za-z/_=+-]*[0-9]{{0,4}}$"
+)
+_PEAK_SQL = """list_max(list_transform(range(1, length(y.x) - 18), lambda i: -list_sum(list_transform(
+            list_distinct(string_split(substr(y.x, i, 20), '')),
+            lambda c: (20 - length(replace(substr(y.x, i, 20), c, ''))) / 20.0 * log2((20 - length(replace(substr(y.x, i, 20), c, ''))) / 20.0)))))"""
+_RANDOM_SQL = (
+    f"regexp_matches(y.x, '[0-9]') AND regexp_matches(y.x, '[A-Za-z]') AND NOT regexp_matches(y.x, '{_ALLOW_SQL}') "
+    f"AND {_PEAK_SQL} >= CASE WHEN regexp_full_match(y.x, '[0-9a-fA-F]+') THEN 3.0 ELSE 3.75 END - 1e-9"
+)
+_SPELL_SQL = "array_to_string(list_transform(list_sort({0}), lambda y: ['assign', 'access', 'hex', 'entropy'][y.k + 1] || ':' || y.s::BIGINT || ':' || (y.s + y.n)::BIGINT), ',')"
+
+
+@query(
+    "op7_secrets",
+    f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    f AS (
+        SELECT doc_id, {_spans_sql(_ASSIGN_SQL, 0, 2, "length(y.x) >= 8")} AS a, {_spans_sql("AKIA[A-Z0-9]{12,}", 1)} AS c,
+            {_spans_sql("[0-9a-f]{32,}", 2)} AS h, {_spans_sql("[A-Za-z0-9+/_=-]{20,}", 3, 0, _RANDOM_SQL)} AS e
+        FROM d),
+    b AS (SELECT *, a || c || h AS base FROM f),
+    g AS (SELECT *, list_filter(e, lambda y: len(list_filter(base, lambda z: z.s < y.s + y.n AND y.s < z.s + z.n)) = 0) AS more FROM b)
+    SELECT doc_id, len(a) AS n_assign, len(c) AS n_access, len(h) AS n_hex,
+        sha256({_SPELL_SQL.format("base")}) AS base_sha256, {_SPELL_SQL.format("base || more")} AS spans
+    FROM g""",
+)
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     of = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
