@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import ChunkEncoder
+from .tokens import ChunkEncoder, byte_of_char
 
 _NONE = np.int64(1 << 40)
 #: Fixed value of this vocabulary family: how a text falls into words before any merge.
@@ -24,13 +24,6 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _loaded: dict[str, "Bpe"] = {}
 
 
-def _byte_of_char() -> dict[str, int]:
-    """The printable stand-in of every byte in the vocabulary file: itself if it is visible, else from 256 up."""
-    visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
-    hidden = [b for b in range(256) if b not in visible]
-    return {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
-
-
 class Bpe:
     """A vocabulary and its merges, from a tokenizers file of byte-level BPE."""
 
@@ -39,7 +32,7 @@ class Bpe:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        of_char, vocab = _byte_of_char(), spec["model"]["vocab"]
+        of_char, vocab = byte_of_char(), spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of: dict[int, bytes] = {i: bytes(of_char[c] for c in token) for token, i in vocab.items() if token not in self.special}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}

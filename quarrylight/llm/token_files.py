@@ -118,13 +118,11 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             done, at = [], 0
             while open_docs and at + 4 * open_docs[0][2] <= len(carry):
                 doc_id, first, n = open_docs.pop(0)
-                done.append((shard, doc_id, first, n, bytes(carry[at : at + 4 * n])))
+                done.append((doc_id, r["before"] + first, n, bytes(carry[at : at + 4 * n])))
                 at += 4 * n
             del carry[:at]
-            cols = list(zip(*done)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["shard", "doc_id", "first", "n_tokens", "ids"]
-            )
+            cols = list(zip(*done)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "start", "n_tokens", "ids"])
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -134,10 +132,11 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     over one row per shard.
     """
     blocks = spark.read.schema(SCHEMA).parquet(path)
+    # one row per shard, that is per task that wrote: small enough to broadcast whatever the corpus holds
     totals = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     starts = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
-    rows = blocks.repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(_decode, "shard int, doc_id long, first long, n_tokens long, ids binary")
-    return rows.join(starts, "shard").select("doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids")
+    placed = blocks.join(F.broadcast(starts), "shard")
+    return placed.repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(_decode, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int | None = None) -> DataFrame:

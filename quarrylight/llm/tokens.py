@@ -8,14 +8,18 @@ chunk once and joining the ids of a text's chunks gives the ids of the whole tex
 from __future__ import annotations
 
 import os
-import re
 from array import array
+from collections.abc import Callable
 
 #: Characters of a chunk that is remembered at most, chunks that a worker remembers before it starts anew, texts in
 #: one round.
-LONGEST, CACHE, ROUND = 48, 600_000, 128
-#: White space next to a space, or at either end: chunks could not be told apart there.
-_MEETS = re.compile(r" \s|[^\S ] ")
+LONGEST, CACHE, ROUND = 48, 1_000_000, 256
+
+#: From here on, lowering or composing a letter may change the number of characters.
+PLAIN = "\u0130"
+
+#: A run of these after a word is one word of its own.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _encoders: dict[tuple[str, str], "ChunkEncoder"] = {}
 
@@ -23,15 +27,52 @@ _encoders: dict[tuple[str, str], "ChunkEncoder"] = {}
 class ChunkEncoder:
     """Encodes texts into bytes of little-endian unsigned 32-bit ids."""
 
-    def __init__(self, encode_all):
-        """encode_all: from a list of texts to a list of id bytes; it is given whole texts or chunks."""
-        self.encode_all = encode_all
+    def __init__(self, encode_all: Callable[[list[str]], list[bytes]], word: Callable[[str, str], bytes] | None = None):
+        """encode_all: from a list of texts to a list of id bytes; it is given whole texts or chunks.
+
+        word: from the space before a word (or "") and a word of letters below PLAIN to its id bytes. With it, a chunk
+        of such words, signs and ends of lines is encoded word by word.
+        """
+        self.encode_all, self.word = encode_all, word
         self.head: dict[str, bytes] = {}
         self.tail: dict[str, bytes] = {}
-
-    def _learn(self, chunks: set[str], memory: dict[str, bytes], before: str) -> None:
-        new = [c for c in chunks if c not in memory]
-        memory.update(zip(new, self.encode_all([before + c for c in new])))
+        self.signs: dict[str, bytes] = {"": b""}
+        self.line = encode_all(["\n"])[0]
+
+    def _by_word(self, c: str, memory: dict[str, bytes], before: str) -> bytes | None:
+        """The ids of a chunk that is a word, with signs after it or without."""
+        base = c.rstrip(SIGNS)
+        if not base.isalpha() or not base.isascii() and max(base) >= PLAIN:
+            return None
+        ids = memory.get(base)
+        if ids is None:
+            ids = memory[base] = self.word(before, base)
+        after = c[len(base) :]
+        if after not in self.signs:
+            if len(self.signs) > CACHE // 8 or len(after) > LONGEST:
+                return None
+            self.signs[after] = self.encode_all([after])[0]
+        return ids + self.signs[after]
+
+    def _by_line(self, c: str, memory: dict[str, bytes], before: str) -> bytes | None:
+        """The ids of a chunk of words, each but the last at the end of a line."""
+        first, *others = c.split("\n")
+        parts = [self._by_word(first, memory, before), *(self._by_word(x, self.head, "") for x in others)]
+        return None if None in parts else self.line.join(parts)
+
+    def _learn(self, new: set[str], memory: dict[str, bytes | None], before: str) -> None:
+        """Remember chunks; one that white space begins or ends, or an empty one, can't stand alone: it gets None."""
+        rest = []
+        for c in new:
+            if not c or c[0].isspace() or c[-1].isspace():
+                memory[c] = None
+                continue
+            ids = self.word and (self._by_line if "\n" in c else self._by_word)(c, memory, before)
+            if ids is None:
+                rest.append(c)
+            else:
+                memory[c] = ids
+        memory.update(zip(rest, self.encode_all([before + c for c in rest])))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -43,24 +84,24 @@ class ChunkEncoder:
         if len(self.head) + len(self.tail) > CACHE:
             self.head.clear()
             self.tail.clear()
-        split: list[list[str] | None] = [None if t.endswith(" ") or t.startswith(" ") or _MEETS.search(t) else t.split(" ") for t in texts]
-        long = [k for k, s in enumerate(split) if s and max(map(len, s)) > LONGEST]
-        once = {k: split[k] for k in long}
-        whole = [k for k, s in enumerate(split) if s is None]
-        rest = {c for k, s in enumerate(split) if s and k not in once for c in s[1:]} | {c for s in once.values() for c in s[1:] if len(c) <= LONGEST}
-        self._learn(rest, self.tail, " ")
-        self._learn({s[0] for s in split if s and len(s[0]) <= LONGEST}, self.head, "")
-        apart = dict(zip(whole, self.encode_all([texts[k] for k in whole])))
-        out = []
-        for k, s in enumerate(split):
-            if s is None:
-                out.append(apart[k])
-            elif k in once:
-                big = [i for i, c in enumerate(s) if len(c) > LONGEST]
-                ids = dict(zip(big, self.encode_all([" " * (i > 0) + s[i] for i in big])))
-                out.append(b"".join(ids[i] if i in ids else (self.tail if i else self.head)[c] for i, c in enumerate(s)))
-            else:
-                out.append(self.head[s[0]] + b"".join(map(self.tail.__getitem__, s[1:])))
+        firsts, others = [], []
+        for t in texts:
+            first, *other = t.split(" ")
+            firsts.append(first)
+            others.append(other)
+        of_tail, of_head = set().union(*others) - self.tail.keys(), set(firsts) - self.head.keys()
+        self._learn(of_tail, self.tail, " ")
+        self._learn(of_head, self.head, "")
+        out: list[bytes] = []
+        for t, first, other in zip(texts, firsts, others):
+            try:
+                out.append(self.head[first] + b"".join(map(self.tail.__getitem__, other)))
+            except TypeError:
+                out.append(self.encode_all([t])[0])
+        for memory, new in ((self.tail, of_tail), (self.head, of_head)):
+            for c in new:
+                if len(c) > LONGEST:
+                    del memory[c]
         return out
 
 
@@ -77,5 +118,35 @@ def library_encoder(path: str) -> ChunkEncoder:
         def encode_all(texts: list[str]) -> list[bytes]:
             return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-        _encoders[key] = ChunkEncoder(encode_all)
+        _encoders[key] = ChunkEncoder(encode_all, _word_encoder(tokenizer))
     return _encoders[key]
+
+
+def byte_of_char() -> dict[str, int]:
+    """The printable stand-in of every byte in a byte-level vocabulary: itself if it is visible, else from 256 up."""
+    visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    hidden = [b for b in range(256) if b not in visible]
+    return {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
+def _word_encoder(tokenizer) -> Callable[[str, str], bytes] | None:
+    """Words of plain letters by the library's model alone: what stands before it leaves them whole.
+
+    Both vocabularies' patterns keep letters together, the space before them too or else drop it; the normaliser
+    only lowers such letters. None if a trial shows that a tokenizer is not like that.
+    """
+    model, lowers = tokenizer.model, tokenizer.normalizer is not None
+    stands = {b: c for c, b in byte_of_char().items()}
+    space = stands[32]
+    keeps_space = tokenizer.encode(" a", add_special_tokens=False).ids != tokenizer.encode("a", add_special_tokens=False).ids
+
+    def word(before: str, w: str) -> bytes:
+        if lowers:
+            w = w.lower()
+        if not w.isascii():
+            w = w.encode().decode("latin-1").translate(stands)
+        return array("I", [t.id for t in model.tokenize(space + w if before and keeps_space else w)]).tobytes()
+
+    trials = [(b, w) for b in ("", " ") for w in ("a", "the", "Zebra", "Éclair", "ßtraße", "ÀÖøÿ", "hELLo", "ª", "µ")]
+    same = all(word(b, w) == array("I", tokenizer.encode(b + w, add_special_tokens=False).ids).tobytes() for b, w in trials)
+    return word if same else None
