@@ -29,7 +29,7 @@ WORDS, PERCENT = 5, 75
 #: Bands and rows: sets of similarity 0.75 share no band with probability 5e-6.
 BANDS, ROWS = 32, 4
 #: Bins of the one-permutation samples, bits of an odd sketch, and by how many deviations a pair may miss its limit.
-BINS, BITS, DEVIATIONS = 1024, 2048, 3.5
+BINS, BITS, DEVIATIONS = 1024, 2048, 5.0
 #: Sets of a piece of a bucket; buckets with more than LARGE sets are dealt anew, up to DEPTH bands deep.
 PIECE, LARGE, DEPTH = 512, 20_000, 3
 
@@ -80,18 +80,22 @@ def most_different(na, nb, sa, sb, lib=np):
     """In how many bits the sketches of two sets may differ; `lib` is numpy, or Spark's functions for columns.
 
     na, nb: sizes, sa, sb: samples. At the similarity asked for, the union has (na + nb) / 1.75 elements, of which a
-    known number are samples of either set, and three quarters of those are expected in both.
+    number known but for chance are samples of either set, and three quarters of those are expected in both. What the
+    samples of the union, their draw and the bits add to the variance is independent, so it is added up.
     """
     j = PERCENT / 100
     union = (na + nb) / (1 + j)
-    seen = BINS * (1 - lib.exp(-union / BINS))
-    spread = lib.sqrt(j * (1 - j) * seen * (1 - seen / (union + 1)))
-    apart = sa + sb - 2 * (j * seen - DEVIATIONS * spread - 1)
+    empty = lib.exp(-union / BINS)
+    seen = BINS * (1 - empty)
+    filled = BINS * empty * (1 - (1 + union / BINS) * empty)  # the variance of the number of bins with a sample
+    shared = j * (1 - j) * seen * (1 - seen / (union + 1)) + j**2 * filled
+    apart = sa + sb - 2 * (j * seen - 1)
     apart = lib.maximum(apart, 0 * na) if lib is np else lib.greatest(apart, lib.lit(0.0))
+    slope = lib.exp(-2 * apart / BITS)
     deviation = apart * (2 / BITS) ** 0.5
     cap = 0 * na + BITS**0.5 / 2
     deviation = lib.minimum(deviation, cap) if lib is np else lib.least(deviation, cap)
-    return BITS / 2 * (1 - lib.exp(-2 * apart / BITS)) + DEVIATIONS * deviation + 1
+    return BITS / 2 * (1 - slope) + DEVIATIONS * lib.sqrt(deviation**2 + 4 * slope**2 * shared) + 1
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

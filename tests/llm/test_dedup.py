@@ -124,6 +124,20 @@ def test_sketch_limit_lets_similar_sets_through():
         assert differ <= near_dedup.most_different(float(len(a)), float(len(b)), sa, sb)
 
 
+@pytest.mark.parametrize("union", [100, 200])
+def test_sketch_limit_drops_next_to_no_similar_pair(union):
+    rng, kept, n = np.random.default_rng(union), 0, 8000
+    both = 3 * union // 4
+    cut = both + (union - both) // 2
+    for _ in range(n):
+        x = rng.integers(0, 1 << 63, union, dtype=np.uint64) * np.uint64(2)
+        a, b = np.sort(x[:cut]), np.sort(np.concatenate([x[:both], x[cut:]]))
+        (_, oa, sa), (_, ob, sb) = near_dedup.signature(a), near_dedup.signature(b)
+        differ = np.bitwise_count(np.array(oa).view(np.uint64) ^ np.array(ob).view(np.uint64)).sum()
+        kept += differ <= near_dedup.most_different(float(len(a)), float(len(b)), sa, sb)
+    assert kept == n  # a limit that is right to 1e-5 drops none of them with a probability of 92 %
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(2)
     links = [(k, k + 1) for k in range(300)] + [(1000, 1000 + k) for k in range(1, 200)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(60)] + [(5, 5)]
