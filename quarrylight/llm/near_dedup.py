@@ -9,8 +9,8 @@ sets.
 No bucket gives all its pairs. First each bucket is a star around its busiest set; what the confirmed stars connect
 needs no further look. Buckets that still hold several components are looked at in pieces, every piece against every
 other, by their sketches alone: only pairs across components that the sketches let through come out, each from the
-first bucket it shares. A bucket with very many sets is first dealt anew by a second band (then a third): sets as
-similar as asked for agree in many bands, sets that merely share a passage don't.
+first bucket it shares. A bucket with very many sets is cut into pieces of sets of like size: sets as similar as asked
+for differ little in size, so a piece only meets those of its own class of sizes and of the next ones.
 """
 
 from __future__ import annotations
@@ -30,8 +30,9 @@ WORDS, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
 #: Bins of the one-permutation samples, bits of an odd sketch, and by how many deviations a pair may miss its limit.
 BINS, BITS, DEVIATIONS = 1024, 2048, 5.0
-#: Sets of a piece of a bucket; buckets with more than LARGE sets are dealt anew, up to DEPTH bands deep.
-PIECE, LARGE, DEPTH = 512, 20_000, 3
+#: Sets of a piece of a bucket; buckets with more than LARGE sets are cut by size first, into classes of sizes up to
+#: CLASS times the least: a little more than a pair may differ by, so rounding never puts a pair two classes apart.
+PIECE, LARGE, CLASS = 512, 20_000, 1.34
 
 _K = BANDS * ROWS
 _rng = np.random.default_rng(20240229)
@@ -167,15 +168,13 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             j = j[differ <= most_different(na[k] + 0.0 * nb[j], nb[j] + 0.0, sa[k], sb[j])]
             at.append(np.stack([np.full(len(j), k), j]))
         i, j = np.concatenate(at, 1)
-        if bands[0] >= 0:  # each pair in the first bucket that it shares
-            first = (ba[i] == bb[j]).argmax(1)
-            own = first == bands[0]
-            i, j = i[own], j[own]
+        own = (ba[i] == bb[j]).argmax(1) == band  # each pair in the first bucket that it shares
+        i, j = i[own], j[own]
         one_first = ia[i] < ib[j]
         ordered = [np.where(one_first, x, y) for x, y in ((ia[i], ib[j]), (ib[j], ia[i]), (na[i], nb[j]), (nb[j], na[i]))]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in ordered], ["a", "b", "na", "nb"])
 
-    group, sides, bands = None, ([], []), [-1]
+    group, sides, band = None, ([], []), -1
     for batch in batches:
         for r in batch.to_pylist():
             key = (r["bucket"], r["p"], r["q"])
@@ -183,7 +182,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if sides[0] and (sides[1] or group[1] == group[2]):
                     yield pairs(sides[0], sides[1] or sides[0], not sides[1])
                 group, sides = key, ([], [])
-                bands = [r["bands"].index(r["bucket"]) if r["depth"] == 1 else -1]
+                band = r["bands"].index(r["bucket"])
             row = (r["id"], r["component"], r["n"], r["samples"], r["bands"], r["sketch"], r["id"] == r["hub"])
             sides[r["piece"] != r["p"]].append(row)
     if sides[0] and (sides[1] or group[1] == group[2]):
@@ -202,6 +201,27 @@ def _mixed_buckets(entries: DataFrame) -> DataFrame:
     return entries.join(open_.select("bucket", "size"), "bucket")
 
 
+def _pieces(entries: DataFrame, sets: DataFrame) -> DataFrame:
+    """Entries (bucket, size, id) with the sets' columns, their piece, and the first and last piece that it meets.
+
+    Pieces of a bucket are numbered from 0, by class of sizes; buckets that are not large are one class.
+    """
+    rows = entries.join(sets.select("id", "n", "samples", "bands", "sketch"), "id")
+    own = F.when(F.col("size") > LARGE, F.floor(F.log("n") / F.log(F.lit(CLASS))).cast("int")).otherwise(0)
+    many = lambda count: F.ceil(count / PIECE).cast("int").alias("pieces")
+    classes = F.array(F.struct(F.lit(0).alias("class"), many(F.col("size"))))
+    large = entries.where(F.col("size") > LARGE)
+    if not large.isEmpty():
+        counts = large.join(sets.select("id", "n"), "id").groupBy("bucket", "size", own.alias("class")).agg(many(F.count(F.lit(1))))
+        counts = counts.groupBy("bucket").agg(F.collect_list(F.struct("class", "pieces")).alias("classes"))
+        rows, classes = rows.join(counts, "bucket", "left"), F.coalesce("classes", classes)
+    rows = rows.withColumn("class", own).withColumn("classes", classes)
+    upto = lambda k: F.aggregate("classes", F.lit(0), lambda a, x: a + F.when(x["class"] <= k, x["pieces"]).otherwise(0))
+    own = F.col("class")
+    rows = rows.select("*", upto(own - 1).alias("begin"), upto(own).alias("end"), upto(own - 2).alias("first"), (upto(own + 1) - 1).alias("last"))
+    return rows.withColumn("piece", F.col("begin") + F.pmod(F.xxhash64("id"), F.col("end") - F.col("begin")).cast("int"))
+
+
 def link_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `documents`: doc_id, n_shingles, component_id, kept.
 
@@ -230,22 +250,9 @@ def link_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = components(links)
 
     left = _mixed_buckets(_labelled(starred.select("bucket", "id", "hub"), groups))
-    left = written(left.withColumn("depth", F.lit(1)).withColumn("used", F.array("bucket")), "left")
-    for depth in range(1, DEPTH):
-        large = left.where((F.col("size") > LARGE) & (F.col("depth") == depth))
-        if large.isEmpty():
-            break
-        # a bucket with many sets: those that agree on another band, too, meet again
-        again = large.select("bucket", "used", "id", "component").join(sets.select("id", "bands"), "id")
-        again = again.select("bucket", "used", "id", "component", F.explode(F.array_except("bands", "used")).alias("band"))
-        again = _mixed_buckets(again.select(F.xxhash64("bucket", "band").alias("bucket"), "id", "component", F.concat("used", F.array("band")).alias("used")))
-        again = again.select("bucket", "id", F.lit(None).cast("long").alias("hub"), "component", "size", F.lit(depth + 1).alias("depth"), "used")
-        left = written(left.where((F.col("size") <= LARGE) | (F.col("depth") < depth)).select(again.columns).unionByName(again), "left")
-    pieces = F.ceil(F.col("size") / PIECE).cast("int")
-    left = left.withColumn("pieces", pieces).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda k: F.struct(F.least(k, "piece").alias("p"), F.greatest(k, "piece").alias("q")))
-    dealt = left.select("bucket", "id", "hub", "component", "depth", "piece", F.explode(meets).alias("m")).select("*", "m.*").drop("m")
-    dealt = dealt.join(sets.select("id", "n", "samples", "bands", "sketch"), "id")
+    left = _pieces(written(left, "left"), sets)
+    meets = F.transform(F.sequence("first", "last"), lambda k: F.struct(F.least(k, "piece").alias("p"), F.greatest(k, "piece").alias("q")))
+    dealt = left.select("bucket", "id", "hub", "component", "piece", "n", "samples", "bands", "sketch", F.explode(meets).alias("m")).select("*", "m.*").drop("m")
     order = ["bucket", "p", "q"]
     across = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_across, "a long, b long, na long, nb long").distinct()
     more = _confirmed(across, docs)

@@ -106,6 +106,22 @@ def test_near_copies(spark, small, monkeypatch):
         assert sorted(r.doc_id for r in left) == sorted({low[i] for i, _ in rows}) and left[0].id == 7
 
 
+@pytest.mark.parametrize("large", [20_000, 3])
+def test_near_copies_that_share_one_band_of_a_large_bucket(spark, large, monkeypatch):
+    core = [f"c{k}" for k in range(39)]
+    one = core + ["a3608"] + [f"a3608x{k}" for k in range(4)]
+    two = [f"b38x{k}" for k in range(6)] + core  # 35 of 46 shingles are shared
+    bands = lambda words: near_dedup.signature(near_dedup.shingles(" ".join(words)))[0]
+    (shared,) = set(bands(one)) & set(bands(two))
+    others = (core + [f"h{h}x{k}" for k in range(40)] for h in range(2000))
+    busy = next(o for o in others if shared in bands(o))  # 35 of 80 and of 81 shingles
+    rows = list(enumerate(map(" ".join, [one, two, busy, *([*busy, f"more{k}"] for k in range(4))])))
+    monkeypatch.setattr(near_dedup, "LARGE", large)
+    assert sum(shared in bands(t.split()) for _, t in rows) > 3
+    got = {r.doc_id: r.component_id for r in near_dedup.link_documents(docs(spark, rows)).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 2, 5: 2, 6: 2}
+
+
 def test_near_copies_of_nothing(spark):
     assert near_dedup.link_documents(docs(spark, [])).count() == 0
     assert near_dedup.link_documents(docs(spark, [(1, None)])).first().kept
