@@ -1,13 +1,15 @@
 """Encoding with public tokenizers, chunk by chunk with a memory of chunks.
 
 A chunk is what lies between two single spaces, with the space before it. Both pre-tokenisers in use split within
-chunks only, unless white space meets white space; texts where it does are encoded as a whole. So encoding a
-chunk once and joining the ids of a text's chunks gives the ids of the whole text.
+chunks only, unless white space meets white space. So encoding a chunk once and joining the ids of a text's chunks
+gives the ids of the whole text. A text in which white space meets white space is cut before each space that follows
+a visible character instead: no word of either pre-tokeniser reaches over that.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Callable
 
@@ -16,63 +18,88 @@ from collections.abc import Callable
 LONGEST, CACHE, ROUND = 48, 1_000_000, 256
 
 #: From here on, lowering or composing a letter may change the number of characters.
-PLAIN = "\u0130"
+PLAIN = "İ"
 
 #: A run of these after a word is one word of its own.
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
+_UNIT = re.compile(r"(?<=\S)(?= )")
 _encoders: dict[tuple[str, str], "ChunkEncoder"] = {}
 
 
+class _Memory(dict):
+    """Chunks and their ids, in two generations: what the younger one lacks is looked for in the older one.
+
+    A chunk that is new and plain (a word of letters, signs after it or none) is learnt at once; any other waits and is
+    None until its round ends.
+    """
+
+    def __init__(self, owner: "ChunkEncoder", before: str):
+        self.owner, self.before, self.old, self.pending = owner, before, {}, set()
+        self.signs, self.word, self.apart, self.long = owner.signs, owner.word, owner.apart, owner.long
+
+    def __missing__(self, c: str) -> bytes | None:
+        ids = self.old.get(c)
+        if ids is None:
+            base = c.rstrip(SIGNS)
+            if self.word and base.isalpha() and (base.isascii() or max(base) < PLAIN):
+                after = c[len(base) :]
+                tail = self.signs.get(after)
+                if tail is None:
+                    tail = self.apart(after)
+                ids = self.get(base) or self.old.get(base)
+                if ids is None:
+                    ids = self.word(self.before, base)
+                if after:
+                    self[base] = ids
+                    ids += tail
+                if len(c) > LONGEST:
+                    self.long += ((self, c), (self, base))
+            elif not c or c[0].isspace() or c[-1].isspace():
+                pass  # it can't stand alone
+            elif (ids := self.lines(c) if self.word and "\n" in c else None) is None:
+                self.pending.add(c)
+                return None
+        self[c] = ids
+        return ids
+
+    def lines(self, c: str) -> bytes | None:
+        """The ids of a chunk of several lines of a plain word each."""
+        first, *others = c.split("\n")
+        if not others[-1][:1].isalpha():
+            return None
+        parts = [self[first], *map(self.owner.head.__getitem__, others)]
+        if len(c) > LONGEST:
+            self.long.append((self, c))
+        return None if None in parts else self.owner.line.join(parts)
+
+    def age(self) -> None:
+        """Let go of what was not used since the last time."""
+        self.old = self.copy()
+        self.clear()
+
+
 class ChunkEncoder:
     """Encodes texts into bytes of little-endian unsigned 32-bit ids."""
 
     def __init__(self, encode_all: Callable[[list[str]], list[bytes]], word: Callable[[str, str], bytes] | None = None):
-        """encode_all: from a list of texts to a list of id bytes; it is given whole texts or chunks.
+        """encode_all: from a list of texts to a list of id bytes; it is given chunks or parts of texts.
 
         word: from the space before a word (or "") and a word of letters below PLAIN to its id bytes. With it, a chunk
         of such words, signs and ends of lines is encoded word by word.
         """
         self.encode_all, self.word = encode_all, word
-        self.head: dict[str, bytes] = {}
-        self.tail: dict[str, bytes] = {}
         self.signs: dict[str, bytes] = {"": b""}
+        self.long: list[tuple[_Memory, str]] = []
+        self.head, self.tail = _Memory(self, ""), _Memory(self, " ")
         self.line = encode_all(["\n"])[0]
 
-    def _by_word(self, c: str, memory: dict[str, bytes], before: str) -> bytes | None:
-        """The ids of a chunk that is a word, with signs after it or without."""
-        base = c.rstrip(SIGNS)
-        if not base.isalpha() or not base.isascii() and max(base) >= PLAIN:
-            return None
-        ids = memory.get(base)
-        if ids is None:
-            ids = memory[base] = self.word(before, base)
-        after = c[len(base) :]
-        if after not in self.signs:
-            if len(self.signs) > CACHE // 8 or len(after) > LONGEST:
-                return None
-            self.signs[after] = self.encode_all([after])[0]
-        return ids + self.signs[after]
-
-    def _by_line(self, c: str, memory: dict[str, bytes], before: str) -> bytes | None:
-        """The ids of a chunk of words, each but the last at the end of a line."""
-        first, *others = c.split("\n")
-        parts = [self._by_word(first, memory, before), *(self._by_word(x, self.head, "") for x in others)]
-        return None if None in parts else self.line.join(parts)
-
-    def _learn(self, new: set[str], memory: dict[str, bytes | None], before: str) -> None:
-        """Remember chunks; one that white space begins or ends, or an empty one, can't stand alone: it gets None."""
-        rest = []
-        for c in new:
-            if not c or c[0].isspace() or c[-1].isspace():
-                memory[c] = None
-                continue
-            ids = self.word and (self._by_line if "\n" in c else self._by_word)(c, memory, before)
-            if ids is None:
-                rest.append(c)
-            else:
-                memory[c] = ids
-        memory.update(zip(rest, self.encode_all([before + c for c in rest])))
+    def apart(self, after: str) -> bytes:
+        """The ids of signs that follow a word: they are one word of their own."""
+        ids = self.encode_all([after])[0]
+        if len(after) <= LONGEST and len(self.signs) < CACHE // 8:
+            self.signs[after] = ids
+        return ids
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -81,29 +108,46 @@ class ChunkEncoder:
         return out
 
     def _round(self, texts: list[str]) -> list[bytes]:
-        if len(self.head) + len(self.tail) > CACHE:
-            self.head.clear()
-            self.tail.clear()
-        firsts, others = [], []
-        for t in texts:
-            first, *other = t.split(" ")
-            firsts.append(first)
-            others.append(other)
-        of_tail, of_head = set().union(*others) - self.tail.keys(), set(firsts) - self.head.keys()
-        self._learn(of_tail, self.tail, " ")
-        self._learn(of_head, self.head, "")
-        out: list[bytes] = []
-        for t, first, other in zip(texts, firsts, others):
-            try:
-                out.append(self.head[first] + b"".join(map(self.tail.__getitem__, other)))
-            except TypeError:
-                out.append(self.encode_all([t])[0])
-        for memory, new in ((self.tail, of_tail), (self.head, of_head)):
-            for c in new:
-                if len(c) > LONGEST:
-                    del memory[c]
+        if len(self.head) + len(self.tail) > CACHE // 2:
+            self.head.age()
+            self.tail.age()
+        out = [self._joined(t) for t in texts]
+        if None in out:
+            self._settle(self.head)
+            self._settle(self.tail)
+            late = [k for k, ids in enumerate(out) if ids is None]
+            for k in late:
+                out[k] = self._joined(texts[k])
+            self._in_units(texts, [k for k in late if out[k] is None], out)
+        for memory, c in self.long:
+            memory.pop(c, None)
+        self.long.clear()
         return out
 
+    def _settle(self, memory: _Memory) -> None:
+        """Encode the chunks that wait, all at once."""
+        waiting = list(memory.pending)
+        memory.pending.clear()
+        memory.update(zip(waiting, self.encode_all([memory.before + c for c in waiting])))
+        self.long += [(memory, c) for c in waiting if len(c) > LONGEST]
+
+    def _joined(self, text: str) -> bytes | None:
+        first, *others = text.split(" ")
+        parts = [self.head[first], *map(self.tail.__getitem__, others)]
+        try:
+            return b"".join(parts)
+        except TypeError:
+            return None
+
+    def _in_units(self, texts: list[str], which: list[int], out: list[bytes | None]) -> None:
+        """Encode texts in which white space meets white space, their new parts all at once."""
+        cut = [_UNIT.split(texts[k]) for k in which]
+        known: dict[str, bytes | None] = {u: self.tail.get(u[1:]) if u[:1] == " " else self.head.get(u) for u in set().union(*cut)}
+        new = [u for u, ids in known.items() if ids is None]
+        known.update(zip(new, self.encode_all(new)))
+        for k, units in zip(which, cut):
+            out[k] = b"".join(map(known.__getitem__, units))
+
 
 def library_encoder(path: str) -> ChunkEncoder:
     """The encoder of a tokenizers file, without the special tokens that a template adds. One for each process."""
@@ -135,7 +179,7 @@ def _word_encoder(tokenizer) -> Callable[[str, str], bytes] | None:
     Both vocabularies' patterns keep letters together, the space before them too or else drop it; the normaliser
     only lowers such letters. None if a trial shows that a tokenizer is not like that.
     """
-    model, lowers = tokenizer.model, tokenizer.normalizer is not None
+    tokenize, lowers = tokenizer.model.tokenize, tokenizer.normalizer is not None
     stands = {b: c for c, b in byte_of_char().items()}
     space = stands[32]
     keeps_space = tokenizer.encode(" a", add_special_tokens=False).ids != tokenizer.encode("a", add_special_tokens=False).ids
@@ -145,7 +189,7 @@ def _word_encoder(tokenizer) -> Callable[[str, str], bytes] | None:
             w = w.lower()
         if not w.isascii():
             w = w.encode().decode("latin-1").translate(stands)
-        return array("I", [t.id for t in model.tokenize(space + w if before and keeps_space else w)]).tobytes()
+        return array("I", [t.id for t in tokenize(space + w if before and keeps_space else w)]).tobytes()
 
     trials = [(b, w) for b in ("", " ") for w in ("a", "the", "Zebra", "Éclair", "ßtraße", "ÀÖøÿ", "hELLo", "ª", "µ")]
     same = all(word(b, w) == array("I", tokenizer.encode(b + w, add_special_tokens=False).ids).tobytes() for b, w in trials)
