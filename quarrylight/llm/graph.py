@@ -60,8 +60,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component): for every id of the links (a, b: long), the smallest id it reaches. Ids without links are absent.
 
     A round points every root at its smallest neighbour of lower id, flattens the chains by pointer jumping, and
-    relabels the links; each round at least halves the roots that still have links. Tables of a round are written
-    to the shared folder. Every link ends as loop, so repeated links and loops do no harm.
+    relabels the links. Tables of a round are written to the shared folder. Every link ends as loop, so repeated links
+    and loops do no harm. If links are left after `most_rounds`, that is an error: nothing is returned half merged.
     """
     links = links.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
     edges = written(links.mapInArrow(_reduced, "a long, b long").where("a <> b"), "links")
@@ -89,6 +89,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         edges = edges.join(up("a"), "a", "left").join(up("b"), "b", "left")
         edges = edges.select(F.coalesce("a_up", "a").alias("a"), F.coalesce("b_up", "b").alias("b")).where("a <> b")
         edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    else:
+        if not edges.isEmpty():
+            raise RuntimeError(f"links are left after {most_rounds} rounds")
     if label is None:
         return links.select(F.col("a").alias("id"), F.col("b").alias("component")).limit(0)
     roots = label.select(F.col("component").alias("id"), "component").distinct()

@@ -99,9 +99,13 @@ def most_different(na, nb, sa, sb, lib=np):
     return BITS / 2 * (1 - slope) + DEVIATIONS * lib.sqrt(deviation**2 + 4 * slope**2 * shared) + 1
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _key(s: np.ndarray) -> bytes | None:
     from hashlib import blake2b
 
+    return blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 1000):
             part = batch.slice(lo, 1000)
@@ -109,21 +113,27 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for text in part.column(1).to_pylist():
                 s = shingles(text)
                 n.append(len(s))
-                keys.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                keys.append(_key(s))
                 b, o, k = signature(s) if len(s) else (None, None, None)
                 bands.append(b)
                 sketches.append(o)
                 samples.append(k)
-            cols = [part.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(samples, pa.int64())], ["id", "n", "key", "bands", "sketch", "samples"])
+            cols = [part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(samples, pa.int64())], ["id", "h", "n", "key", "bands", "sketch", "samples"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets (id, s) of rows (id, key, text) whose text has that key."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
             part = batch.slice(lo, 500)
-            sets = [shingles(t).view(np.int64) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
+            made = ((i, key, shingles(t)) for i, key, t in zip(*(c.to_pylist() for c in part.columns)))
+            ids, sets = [], []
+            for i, key, s in made:
+                if _key(s) == key:
+                    ids.append(i)
+                    sets.append(s.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
 
 
 def _differ(a: Column, b: Column) -> Column:
@@ -144,11 +154,16 @@ def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return near.select("a", "b", "na", "nb")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The links among near pairs (a, b, na, nb), on the full sets, made again from the texts of the documents left."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """The links among near pairs (a, b, na, nb), on the full sets, made again from the texts of the sets left.
+
+    Each set is made from a document that has it, the one of the smallest id.
+    """
     near = written(pairs, "near")
     needed = near.select(F.col("a").alias("id")).distinct().union(near.select("b").distinct()).distinct()
-    full = written(docs.join(needed, "id", "left_semi").mapInArrow(_sets, "id long, s array<long>"), "sets")
+    needed = sets.select("id", "key", "first", "h").join(needed, "id", "left_semi")
+    texts = docs.withColumnRenamed("id", "first").join(needed, ["first", "h"]).select("id", "key", "text")
+    full = written(texts.mapInArrow(_sets, "id long, s array<long>").dropDuplicates(["id"]), "sets")
     both = near.join(full.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
     return written(both.where(100 * shared >= PERCENT * (F.col("na") + F.col("nb") - shared)).select("a", "b"), "confirmed")
@@ -227,15 +242,17 @@ def link_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Documents link if their sets of distinct shingles share at least 75 % of their union. A text of fewer words than
     a shingle has is one shingle; a null or empty text, or one without words, has none and links with nothing, as does
-    a row with a null id. Equal sets link. `component_id` is the smallest id reachable. Ids should be unique: rows
-    that repeat one count as the same document. Other columns are not read; an empty table gives none.
+    a row with a null id. Equal sets link. `component_id` is the smallest id reachable. Every row counts by its own
+    text, so rows that repeat an id with different texts may be in different components. Very long texts are read
+    whole. Other columns are not read; an empty table gives none.
     """
-    docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = written(docs.mapInArrow(_signed, "id long, n long, key binary, bands array<long>, sketch array<long>, samples long"), "signatures")
+    docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h"))
+    rows = written(docs.mapInArrow(_signed, "id long, h long, n long, key binary, bands array<long>, sketch array<long>, samples long"), "signatures")
     able = rows.where("key is not null and id is not null")
-    firsts = able.groupBy("key").agg(F.min("id").alias("id"))
-    sets = able.select("key", "id", "n", "bands", "sketch", "samples").join(firsts, ["key", "id"], "left_semi").dropDuplicates(["id"])
-    sets = written(sets, "distinct-sets")
+    firsts = able.groupBy("key").agg(F.min(F.struct("id", "h")).alias("least")).select("key", "least.*")
+    sets = able.select("key", "id", "h", "n", "bands", "sketch", "samples").join(firsts, ["key", "id", "h"], "left_semi").dropDuplicates(["key"])
+    # a set has a number of its own, `id` from here on: two sets may have their smallest document id in common
+    sets = written(sets.withColumnRenamed("id", "first").withColumn("id", F.monotonically_increasing_id()), "distinct-sets")
 
     entries = sets.select("id", F.explode("bands").alias("bucket"))
     live = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -246,7 +263,7 @@ def link_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     starred = written(entries.join(hubs, "bucket"), "stars")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     stars = starred.where("id <> hub").select(*pair("id", "hub")).distinct()
-    links = _confirmed(_near(stars, sets), docs)
+    links = _confirmed(_near(stars, sets), sets, docs)
     groups = components(links)
 
     left = _mixed_buckets(_labelled(starred.select("bucket", "id", "hub"), groups))
@@ -255,12 +272,14 @@ def link_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     dealt = left.select("bucket", "id", "hub", "component", "piece", "n", "samples", "bands", "sketch", F.explode(meets).alias("m")).select("*", "m.*").drop("m")
     order = ["bucket", "p", "q"]
     across = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_across, "a long, b long, na long, nb long").distinct()
-    more = _confirmed(across, docs)
+    more = _confirmed(across, sets, docs)
     if not more.isEmpty():
         groups = components(links.unionByName(more))
 
-    named = sets.select("key", "id").join(groups, "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
+    named = sets.select("key", "id", "first").join(groups, "id", "left").select("key", "first", F.coalesce("component", "id").alias("component"))
     named = written(named, "components")
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = named.join(least, "component").select("key", "component_id")
     linked = able.select("id", "n", "key").join(named, "key").select("id", "n", "component_id")
     alone = rows.where("key is null or id is null").select("id", "n", F.col("id").alias("component_id"))
     both = linked.unionByName(alone)

@@ -187,3 +187,32 @@ def test_vectors(spark, residents, monkeypatch):
     for i in ids:
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (sum(i in p for p in linked), low[i], low[i] == i)
     assert embed_dedup.link_vectors(df.limit(0)).count() == 0
+
+
+def test_one_id_under_several_texts(spark):
+    rng = random.Random(8)
+    a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    near = a.rsplit(" ", 2)[0] + " other end"
+    rows = [(1, a), (1, b), (5, b), (6, near), (7, "zz"), (7, "zz"), (0, c), (1, c), (None, a), (None, c)]
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in near_dedup.link_documents(docs(spark, rows)).collect())
+    n = len(shingle_set(a))
+    want = [(False, 0, n, 0, True), (False, 1, n, 0, False), (False, 1, n, 1, True), (False, 1, n, 1, True), (False, 5, n, 1, False), (False, 6, n, 1, False)]
+    want += [(False, 7, 1, 7, True)] * 2 + [(True, 0, n, None, True)] * 2
+    assert got == sorted(want, key=lambda r: tuple(-1 if x is None else x for x in r))
+
+
+def test_bands_bring_similar_sets_together():
+    rng = np.random.default_rng(31)
+    met = 0
+    for _ in range(400):  # 150 of 200 elements shared: a similarity of exactly 0.75
+        x = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+        (p, _, _), (q, _, _) = near_dedup.signature(np.sort(x[:175])), near_dedup.signature(np.sort(np.concatenate([x[:150], x[175:]])))
+        met += any(i == j for i, j in zip(p, q))
+    assert met >= 0.99 * 400
+
+
+def test_components_never_end_half_merged(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(400)], "a long, b long").repartition(40)
+    with pytest.raises(RuntimeError):
+        graph.components(chain, most_rounds=0)
+    assert {r.component for r in graph.components(chain).collect()} == {0}
