@@ -16,11 +16,14 @@ _own: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as `spark.checkpoint.dir` names it.
 
-    Only where that setting is missing (a local session, as in tests) a temporary folder is made.
+    Only where that setting is missing in a local session, as in tests, a temporary folder is made; on a cluster a
+    missing setting is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="quarrylight-")
