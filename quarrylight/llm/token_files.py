@@ -116,11 +116,12 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             carry += from_planes(r["planes"], r["plane_bytes"], r["n_ids"], r["plane_bits"]).tobytes()
             open_docs += zip(r["doc_ids"], r["doc_first"], r["doc_tokens"])
             done, at = [], 0
-            while open_docs and at + 4 * open_docs[0][2] <= len(carry):
-                doc_id, first, n = open_docs.pop(0)
+            for doc_id, first, n in open_docs:
+                if at + 4 * n > len(carry):
+                    break
                 done.append((doc_id, r["before"] + first, n, bytes(carry[at : at + 4 * n])))
                 at += 4 * n
-            del carry[:at]
+            del carry[:at], open_docs[: len(done)]
             cols = list(zip(*done)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "start", "n_tokens", "ids"])
 
