@@ -3,7 +3,12 @@
 A page falls into blocks of text at every block-level tag. First pass: a block is decided by where it stands (a
 menu, footer, form or comment list is boilerplate whatever it says), then by its length, its density of stop words
 and the share of its characters that are links. Blocks that are too short to tell stay open. Second pass: an open
-block inherits from the nearest decided neighbours, and within an article they are good ones.
+block inherits from the nearest neighbour that was decided by its own text; a tie is decided for text. On a page with
+an article only blocks within it are asked, and what has no such neighbour there is text.
+
+Class names and ids of whole pages and of articles say nothing about their text. If a page has no text by these rules
+(its language has no stop words here, or a name marks the element that holds everything), long blocks with few links
+are text, and then names are left out, too, but for those of adverts, notices and comments.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Elements whose content is never text of the page.
-MUTE = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "head", "title", "textarea", "select", "button"}
+MUTE = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "title", "textarea", "select", "button"}
 #: Elements whose text is boilerplate.
 SIDE = {"nav", "footer", "aside", "form", "header", "menu", "dialog"}
 #: Elements within which open blocks are text.
@@ -27,6 +32,8 @@ BREAK = set(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 "
     "h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements whose names and ids aren't asked for hints; of nested articles they are, as comments are written so.
+WHOLE = {"html", "body", "main", "article"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in a class, id or role that mark boilerplate.
 HINTS = {
@@ -34,6 +41,11 @@ HINTS = {
     *"popup modal overlay sidebar breadcrumb breadcrumbs menu menubar navbar navigation nav footer toolbar share sharing social related recommended".split(),
     *"comment comments disqus replies reply respond search login signup pagination pager widget complementary contentinfo alert dialog".split(),
 }
+#: Those of them that no layout is named after: adverts, notices and what readers wrote.
+FIRM = set(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice notices newsletter "
+    "subscribe popup modal overlay comment comments disqus replies reply respond alert dialog".split()
+)
 #: Frequent words of the languages that pages come in; fixed values.
 STOP = frozenset(
     "a an and are as at be by for from has he in is it of on or that the this to was were will with not but they "
@@ -44,26 +56,27 @@ STOP = frozenset(
 #: Shorter blocks are open; so are those without enough stop words. Longer ones may hold so many links.
 SHORT, STOP_SHARE, LINK_SHARE = 60, 0.12, 0.33
 _SPACE = " \t\n\r\x0b\x0c"
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
-def hinted(attributes: str) -> bool:
+def hinted(attributes: str, hints: set[str] = HINTS) -> bool:
     """Whether a class, id or role has a word that marks boilerplate."""
     for m in _ATTR.finditer(attributes):
-        if not HINTS.isdisjoint(_WORD.findall((m[1] or m[2] or m[3] or "").lower())):
+        if not hints.isdisjoint(_WORD.findall((m[1] or m[2] or m[3] or "").lower())):
             return True
     return False
 
 
-def blocks(html: str) -> list[tuple[str, int, bool, bool]]:
+def blocks(html: str, hints: set[str] = HINTS) -> list[tuple[str, int, bool, bool]]:
     """(text, characters of it in links, boilerplate by its place, within an article) of each non-empty block."""
     out: list[tuple[str, int, bool, bool]] = []
     parts: list[str] = []
     linked, at, end = 0, 0, len(html)
     stack: list[tuple[str, bool]] = []  # open elements that count, and whether they are boilerplate
     opened: dict[str, int] = {}
+    unclosed: set[str] = set()
     side = main = link = 0
 
     def close() -> None:
@@ -89,6 +102,15 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool]]:
         main -= name in MAIN
         return name
 
+    def ending(name: str) -> int:
+        """Where a mute element that begins here ends; without an end tag only code goes on to the page's end."""
+        if name not in unclosed:
+            stop = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
+            if stop:
+                return stop.end()
+            unclosed.add(name)
+        return end if name in ("script", "style") else at
+
     while at < end:
         m = _TAG.search(html, at)
         if not m:
@@ -100,9 +122,8 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool]]:
             continue
         name, closing = m[2].lower(), bool(m[1])
         if name in MUTE and not closing:
-            if not m[3].endswith("/"):
-                stop = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
-                at = stop.end() if stop else end
+            if name in ("script", "style") or not m[3].endswith("/"):
+                at = ending(name)
             if name in ("textarea", "select", "button"):
                 close()
             continue
@@ -121,7 +142,8 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool]]:
             continue
         if name in BREAK and stack and stack[-1][0] in ("p", "li") and (stack[-1][0] == "p" or name == "li"):
             leave()  # its end tag may be left out
-        bad = name in SIDE or ("=" in m[3] and hinted(m[3]))
+        asked = "=" in m[3] and (name not in WHOLE or (name == "article" and main))
+        bad = name in SIDE or (asked and hinted(m[3], hints))
         if not bad and name not in MAIN and not opened.get(name):
             continue  # nothing hangs on where it ends
         stack.append((name, bad))
@@ -132,40 +154,50 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool]]:
     return out
 
 
-def verdicts(found: list[tuple[str, int, bool, bool]]) -> list[bool]:
-    """Whether each block is main text."""
-    first: list[bool | None] = []
-    for text, linked, side, _ in found:
-        if side:
-            first.append(False)
-        elif linked > LINK_SHARE * len(text):
-            first.append(False)
-        elif len(text) < SHORT:
-            first.append(None)
-        else:
-            words = text.lower().split()
-            share = sum(w.strip(".,;:!?") in STOP for w in words) / len(words)
-            first.append(True if share >= STOP_SHARE else None)
-    out: list[bool] = []
-    after: list[bool | None] = [None] * len(first)
-    near: bool | None = None
-    for k in range(len(first) - 1, -1, -1):
-        near = first[k] if first[k] is not None else near
-        after[k] = near
-    near = None
+def decided(text: str, linked: int, side: bool, main: bool) -> bool | None:
+    """First pass: whether a block is main text, or None if it is open."""
+    words = text.lower().split()
+    told = len(text) >= SHORT and sum(w.strip(".,;:!?") in STOP for w in words) >= STOP_SHARE * len(words)
+    if side or linked > LINK_SHARE * len(text):
+        return None if told and main and not side else False  # an article's sentence may be a link
+    return True if told else None
+
+
+def nearest(own: list[bool | None]) -> list[bool | None]:
+    """The label of the nearest decided block of each, itself included; of two as near, True if one is; else None."""
+    best: list[tuple[int, bool] | None] = [None] * len(own)
+    for order in (range(len(own)), range(len(own) - 1, -1, -1)):
+        last: tuple[int, bool] | None = None
+        for k in order:
+            if own[k] is not None:
+                last = (k, own[k])
+            if last:
+                far = (abs(k - last[0]), not last[1])
+                best[k] = far if best[k] is None else min(best[k], far)
+    return [b and not b[1] for b in best]
+
+
+def verdicts(found: list[tuple[str, int, bool, bool]], lenient: bool = False) -> list[bool]:
+    """Whether each block is main text; `lenient`: long blocks with few links are, whatever their words."""
     article = any(f[3] for f in found)
-    for k, v in enumerate(first):
-        near = v if v is not None else near
-        if v is None:
-            v = found[k][3] or not article and bool(near or after[k])
-        out.append(v)
-    return out
+    first = [decided(*f) for f in found]
+    if lenient:
+        first = [True if v is None and len(f[0]) >= SHORT else v for f, v in zip(found, first)]
+    # who is asked: blocks that their own text decided, on a page with an article those within it
+    near = nearest([v if not side and main >= article else None for v, (_, _, side, main) in zip(first, found)])
+    return [(main if n is None else n and main >= article) if v is None else v for v, n, (_, _, _, main) in zip(first, near, found)]
 
 
 def main_text(html: str | None) -> str:
     """The blocks of main text in page order, joined by one space."""
     found = blocks(html or "")
-    return " ".join(f[0] for f, v in zip(found, verdicts(found)) if v)
+    kept = verdicts(found)
+    if not any(kept):
+        kept = verdicts(found, True)
+    if found and not any(kept):
+        found = blocks(html or "", FIRM)
+        kept = verdicts(found, True)
+    return " ".join(f[0] for f, v in zip(found, kept) if v)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +211,8 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text of every page, from its whole html.
 
-    A null or empty page has an empty text, and so has one that is boilerplate throughout. White space within a block
+    A null or empty page has an empty text, and so has one that is boilerplate throughout. Very long pages are read
+    whole, unclosed elements do no harm but for scripts and styles, which then reach to the page's end. White space within a block
     is one space, character references are decoded, blocks are joined by one space. Null ids and addresses are kept,
     repeated rows extracted each; other columns are not read; an empty table gives none. No shuffle.
     """

@@ -2,6 +2,7 @@
 
 import random
 import sys
+import zlib
 from pathlib import Path
 
 import numpy as np
@@ -60,6 +61,52 @@ def test_pages(html, want):
     assert html_text.main_text(html) == want
 
 
+SAID = "The quick brown fox is in the garden and it was there for a long time with the other animals of the wood."
+FAR = "これは長い日本語の記事の段落です。" * 6
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        (f"<body class='has-sidebar'><p>{SAID}</p></body>", SAID),
+        (f"<article class='post comment-open'><p>{SAID}</p></article>", SAID),
+        (f"<div id='search-results-page'><article><p>{SAID}</p></article></div>", SAID),
+        (f"<html><head><title>x</title><meta a=b><body><p>{SAID}</p>", SAID),
+        (f"<p title=it's>{SAID}</p><p>{SAID}</p>", f"{SAID} {SAID}"),
+        (f"<p title = 'a > b'>{SAID}</p>", SAID),
+        (f"<p>{FAR}</p>", FAR),
+        (f"<article><p>{SAID}</p><p><a>{SAID}</a></p></article>", f"{SAID} {SAID}"),
+        (f"<nav><li><a>Home</a></nav><h1>Title</h1><p>{SAID}</p><div class=comments><p>{SAID} no</p></div>", f"Title {SAID}"),
+        (f"<article><p>{SAID}</p><section><article class=comment><p>{SAID}</p></article></section></article>", SAID),
+        (f"<noscript>x<p>{SAID}</p>", f"x {SAID}"),
+        (f"<p>{SAID}</p><script>var a = '<p>{SAID}</p>'", SAID),
+        (f"<div class=comments><p>{SAID}</p></div>", ""),
+        (f"<p>{SAID}</p><div>Next to it</div><div><a>Menu</a></div><div>short</div><div><a>More links</a></div>", f"{SAID} Next to it"),
+    ],
+)
+def test_names_open_ends_and_neighbours(html, want):
+    assert html_text.main_text(html) == want
+
+
+def test_nearest_labels_are_those_of_brute_force():
+    rng = random.Random(6)
+    for _ in range(300):
+        own = [rng.choice([None, None, None, True, False]) for _ in range(rng.randint(0, 12))]
+        sure = [(k, v) for k, v in enumerate(own) if v is not None]
+        want = [min((abs(k - j), not v) for j, v in sure)[1] is False if sure else None for k in range(len(own))]
+        assert html_text.nearest(own) == want
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_text.extract(none).count() == 0
+    docs, labels = split(spark, corpus(30))
+    for tool, label in ((quality, "quality"), (toxicity, "toxic")):
+        model = tool.fit(docs.limit(0), labels, F.lit(True))
+        assert tool.with_score(docs.limit(0), model).count() == 0
+        assert tool.with_score(docs, model).where("score between 0 and 1").count() == docs.count(), label
+
+
 def test_long_and_odd_pages(spark):
     deep = "<div class=ad>" * 20_000 + "</p>" * 20_000 + "<article><p>" + "word " * 200_000
     assert html_text.main_text(deep) == ""
@@ -98,6 +145,8 @@ def test_quality(spark):
     got = {r.doc_id: r for r in quality.with_score(docs, model).collect()}
     assert len(got) == 403 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) and r.y == 5 for r in got.values())
     assert np.mean([got[i].predicted == q for i, _, q, _ in rows]) > 0.97
+    unseen = [(i, q) for i, _, q, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert len(unseen) > 50 and np.mean([got[i].predicted == q for i, q in unseen]) > 0.95
     assert got[10_001].score == got[10_002].score
 
 
@@ -109,6 +158,8 @@ def test_toxicity(spark, monkeypatch):
     got = {r.doc_id: r for r in toxicity.with_score(docs, model).collect()}
     assert len(got) == 503 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got.values())
     assert np.mean([got[i].predicted == t for i, _, _, t in rows]) > 0.95
+    held = [(i, t) for i, _, _, t in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert len(held) > 100 and np.mean([got[i].predicted == t for i, t in held]) > 0.93
     unseen = toxicity._Scorer(model)(["the rand blarkling in las " + "rea ond " * 5, "the rand in las " + "rea ond " * 5])
     assert unseen[0] > 0.7 > unseen[1]
 
