@@ -191,7 +191,7 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id
     Two vectors link if their labels are equal and not null, they have as many dimensions, and their cosine in double
     precision is `cosine` or more. Vectors that are null, empty or zero, or hold a null or non-finite component, and
     rows with a null id link with nothing and stay. `n_links` counts the other rows linked to directly, repeated rows
-    included; `component_id` is the smallest id reachable. Other columns are not read; an empty table gives none.
+    included; a label that is no 32-bit integer is an error. `component_id` is the smallest id reachable. Other columns are not read; an empty table gives none.
     """
     named = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("int").alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
     usable = named.mapInArrow(_usable, "vec_id long, label int, vec binary")

@@ -288,6 +288,9 @@ def link_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that `link_documents` keeps, with all their columns; rows with a null id stay."""
-    kept = link_documents(docs, id_col, text_col).where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__kept")).distinct()
+    mark = "kept"
+    while mark in docs.columns:
+        mark += "_"
+    kept = link_documents(docs, id_col, text_col).where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias(mark)).distinct()
     key = F.col(id_col).cast("long")
-    return docs.where(key.isNotNull()).join(kept, key == F.col("__kept"), "left_semi").unionByName(docs.where(key.isNull()))
+    return docs.where(key.isNotNull()).join(kept, key == F.col(mark), "left_semi").unionByName(docs.where(key.isNull()))

@@ -81,31 +81,28 @@ def _spans(text: Column, pattern: str, kind: int, maybe: Column, group: int = 0)
 
 def peak_bits(candidate: Column) -> Column:
     """The highest Shannon entropy, in bits per character, of any window of WINDOW characters; 0 if it is shorter."""
-    term = F.array(*(F.lit(k * math.log2(k) if k else 0.0) for k in range(WINDOW + 2)))
-    count = lambda window, ch: F.length(window) - F.length(F.replace(window, ch, F.lit("")))
-    state = lambda window, total, best: F.struct(window.alias("window"), total.alias("total"), best.alias("best"))
-
-    def leave(s: Column) -> Column:
-        n = count(s["window"], F.substring(s["window"], 1, 1))
-        full = F.length(s["window"]) == WINDOW
-        return F.struct(
-            F.when(full, F.substring(s["window"], 2, WINDOW)).otherwise(s["window"]).alias("window"),
-            F.when(full, s["total"] - term[n] + term[n - 1]).otherwise(s["total"]).alias("total"),
-            s["best"].alias("best"),
-        )
-
-    def enter(s: Column, ch: Column) -> Column:
-        n = count(s["window"], ch)
-        total = s["total"] + term[n + 1] - term[n]
-        bits = F.when(F.length(s["window"]) == WINDOW - 1, F.lit(math.log2(WINDOW)) - total / WINDOW).otherwise(F.lit(0.0))
-        return state(F.concat(s["window"], ch), total, F.greatest(s["best"], bits))
-
-    empty = state(F.lit(""), F.lit(0.0), F.lit(0.0))
+    term = F.array(*(F.lit(k * math.log2(k) if k else 0.0) for k in range(WINDOW + 1)))
+
+    def step(s: Column, move: Column) -> Column:
+        """The window moves on by one character: one count falls, one rises, and the sum of their terms follows."""
+        gone = F.when(move["gone"] > 0, F.get(s["counts"], move["gone"] - 1)).otherwise(0)
+        left = s["total"] - F.when(gone > 0, term[gone] - term[F.greatest(gone - 1, F.lit(0))]).otherwise(0.0)
+        come = F.get(s["counts"], move["come"] - 1) - F.when(move["gone"] == move["come"], 1).otherwise(0)
+        total = left + term[come + 1] - term[come]
+        counts = F.transform(s["counts"], lambda n, k: n + F.when(k + 1 == move["come"], 1).otherwise(0) - F.when(k + 1 == move["gone"], 1).otherwise(0))
+        full = s["seen"] + 1 >= WINDOW
+        bits = F.when(full, F.lit(math.log2(WINDOW)) - total / WINDOW).otherwise(0.0)
+        return F.struct(counts.alias("counts"), (s["seen"] + 1).alias("seen"), total.alias("total"), F.greatest(s["best"], bits).alias("best"))
 
     def through(stretch: Column) -> Column:
-        chars = F.split(stretch, "")
-        once = F.aggregate(chars, F.array(empty), lambda a, ch: F.array(enter(leave(a[0]), ch)))
-        return once[0]["best"]
+        return _bound(F.split(stretch, ""), lambda chars: _bound(F.struct(chars.alias("chars"), F.array_distinct(chars).alias("kinds")), folded))
+
+    def folded(p: Column) -> Column:
+        come = F.transform(p["chars"], lambda ch: F.array_position(p["kinds"], ch).cast("int"))
+        moves = _bound(come, lambda c: F.zip_with(c, F.slice(F.concat(F.array_repeat(F.lit(0), WINDOW), c), F.lit(1), F.size(c)), lambda x, y: F.struct(x.alias("come"), y.alias("gone"))))
+        none = F.transform(p["kinds"], lambda _: F.lit(0))
+        start = F.struct(none.alias("counts"), F.lit(0).alias("seen"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
+        return F.aggregate(moves, start, step, lambda s: s["best"])
 
     stretches = F.regexp_extract_all(candidate, F.lit(rf"(?=(.{{1,{STRETCH + WINDOW - 1}}})).{{1,{STRETCH}}}"), F.lit(1))
     return F.array_max(F.transform(stretches, through))
@@ -121,26 +118,26 @@ def scan(docs: DataFrame, text_col: str = "text", spans_col: str = "spans") -> D
     """`docs` with the spans of its secrets: an array of (start, kind, end), in order of start, then kind.
 
     Positions count code points from 0, the end excluded; `kind` is an index into KINDS. Base kinds are found from
-    left to right without overlap within a kind; an entropy span is left out where it overlaps a base one. A null or
+    left to right without overlap within a kind, in the whole text however long; an entropy span is left out where it overlaps a base one. A null or
     empty text has no spans (an empty array). Repeated rows are scanned each; a column named `spans_col` is replaced.
     """
     keep = [c for c in docs.columns if c != spans_col]
     t = F.coalesce(F.col(text_col), F.lit(""))
     found = docs.select(
-        *keep,
-        F.filter(_spans(t, ASSIGN, 0, t.rlike("[:=]"), 2), lambda x: F.length(x["text"]) >= ASSIGN_LEAST).alias("__assign"),
-        _spans(t, ACCESS, 1, F.contains(t, F.lit("AKIA"))).alias("__access"),
-        _spans(t, HEX, 2, t.rlike("[0-9][0-9a-f]{15}|[a-f][0-9a-f]{15}")).alias("__hex"),
-        _spans(t, CANDIDATE, 3, t.rlike("[0-9]")).alias("__candidates"),
+        F.struct(*keep).alias("row"),
+        F.filter(_spans(t, ASSIGN, 0, t.rlike("[:=]"), 2), lambda x: F.length(x["text"]) >= ASSIGN_LEAST).alias("assign"),
+        _spans(t, ACCESS, 1, F.contains(t, F.lit("AKIA"))).alias("access"),
+        _spans(t, HEX, 2, t.rlike("[0-9][0-9a-f]{15}|[a-f][0-9a-f]{15}")).alias("hex"),
+        _spans(t, CANDIDATE, 3, t.rlike("[0-9]")).alias("candidates"),
     )
-    base = found.select(*keep, F.concat("__assign", "__access", "__hex").alias("__base"), _entropy_spans(F.col("__candidates")).alias("__more"))
+    base = found.select("row", F.concat("assign", "access", "hex").alias("base"), _entropy_spans(F.col("candidates")).alias("more"))
 
     def joined(p: Column) -> Column:
         clash = lambda x: F.exists(p["base"], lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
         both = F.concat(p["base"], F.filter(p["more"], lambda x: ~clash(x)))
         return F.array_sort(F.transform(both, lambda x: F.struct(x["start"], x["kind"], x["end"])))
 
-    return base.select(*keep, _bound(F.struct(F.col("__base").alias("base"), F.col("__more").alias("more")), joined).alias(spans_col))
+    return base.select("row", _bound(F.struct("base", "more"), joined).alias("spans")).select("row.*", F.col("spans").alias(spans_col))
 
 
 def spelled(spans: Column) -> Column:
@@ -152,12 +149,13 @@ def spelled(spans: Column) -> Column:
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """`docs` with every span of its texts replaced by `mark`; spans that overlap or touch are replaced as one.
 
-    A text without spans, a null one too, stays as it is.
+    A text without spans, a null one too, stays as it is. Other columns keep their names, whatever these are.
     """
-    t = F.col(text_col)
-    scanned = scan(docs, text_col, "__spans")
+    row = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("t"))
+    scanned = scan(row, "t", "spans")
+    t = F.col("t")
     runs = F.aggregate(
-        "__spans",
+        "spans",
         F.array().cast("array<struct<start:int,end:int>>"),
         lambda a, x: F.when(
             (F.size(a) > 0) & (F.element_at(a, -1)["end"] >= x["start"]),
@@ -167,9 +165,9 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
             ),
         ).otherwise(F.array_append(a, F.struct(x["start"].alias("start"), x["end"].alias("end")))),
     )
-    merged = scanned.withColumn("__runs", F.when(F.size("__spans") > 0, runs))
-    before = F.slice(F.concat(F.array(F.lit(0)), F.transform("__runs", lambda x: x["end"])), 1, F.size("__runs"))
-    parts = F.zip_with("__runs", before, lambda x, b: F.concat(F.substring(t, b + 1, x["start"] - b), F.lit(mark)))
-    rest = F.substring(t, F.element_at("__runs", -1)["end"] + 1, F.length(t))
-    out = F.when(F.size("__spans") > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(t)
-    return merged.withColumn(text_col, out).drop("__spans", "__runs")
+    merged = scanned.withColumn("runs", F.when(F.size("spans") > 0, runs))
+    before = F.slice(F.concat(F.array(F.lit(0)), F.transform("runs", lambda x: x["end"])), 1, F.size("runs"))
+    parts = F.zip_with("runs", before, lambda x, b: F.concat(F.substring(t, b + 1, x["start"] - b), F.lit(mark)))
+    rest = F.substring(t, F.element_at("runs", -1)["end"] + 1, F.length(t))
+    out = F.when(F.size("spans") > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(t)
+    return merged.select(*((out if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

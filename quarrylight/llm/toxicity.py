@@ -221,7 +221,13 @@ def _calibrated(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float
 
 
 def fit(docs: DataFrame, labels: DataFrame, fold: Column, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS, threshold: float = THRESHOLD) -> ToxicModel:
-    """Learn from at most `per_class` labelled documents of each class for which `fold` holds."""
+    """Learn from at most `per_class` labelled documents of each class for which `fold` holds.
+
+    Longer ones than `max_chars` characters aren't learnt from. Of all their windows an epoch trains on EPOCH_WINDOWS
+    of each class at most, drawn at random, and on the HARD_WINDOWS clean ones that look worst. These bounds are of the
+    fit alone: every window of every whole text is scored. Null and empty texts, repeated rows and an empty table do no
+    harm; without labels of a class, scores follow the share of the other.
+    """
     share = labels.where(F.col("toxic").isin(0, 1) & fold).agg(F.avg("toxic")).first()[0]
     rows = labelled_sample(docs, labels, "toxic", fold, per_class, max_chars).toPandas()
     rows = rows.sort_values(["text", "y"], kind="stable", na_position="first")

@@ -171,3 +171,14 @@ def test_fits_without_both_classes(labels):
     score = quality.fit_pairs(x, y, float((y == 0).mean()) if len(y) else 0.0).score(quality.features("x")[None])
     assert 0 <= score[0] <= 1
     assert 0 <= toxicity._Scorer(toxicity.fit_texts(["a b c"] * len(y), y, 0.5))(["x", ""])[0] <= 1
+
+
+def test_secrets_keep_columns_of_any_name(spark):
+    names = ["__assign", "__base", "__more", "__spans", "__runs", "row", "t", "base", "spans_"]
+    df = spark.createDataFrame([(1, "token=abcdefgh12 x", *range(9)), (1, "token=abcdefgh12 x", *range(9)), (None, None, *range(9))], ["doc_id", "text", *names])
+    scanned = secrets.scan(df)
+    assert scanned.columns == [*df.columns, "spans"] and sorted(len(r.spans) for r in scanned.collect()) == [0, 1, 1]
+    masked = secrets.redact(df)
+    assert masked.columns == df.columns
+    assert sorted(tuple(r)[1:] for r in masked.collect() if r.text) == [("[SECRET] x", *range(9))] * 2
+    assert secrets.scan(df.limit(0)).count() == 0
