@@ -2,7 +2,9 @@
 and what is left is packed into sequences.
 
 A stage takes the rows that the one before it kept, and its decisions take effect: all but the last return the columns
-of `documents`.
+of `documents`, extra ones of any name included. In every stage a null text counts as empty, very long texts are read
+whole, and an empty table gives none. Rows with a null id are never near copies. Rows that repeat id and text are exact
+copies, of which one stays.
 """
 
 from __future__ import annotations
@@ -35,9 +37,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with its secrets masked; `n_chars` follows the text where that changes."""
-    masked = secrets.redact(docs.withColumn("__before", F.col("text")))
-    n = F.when(F.col("text").eqNullSafe(F.col("__before")), F.col("n_chars")).otherwise(F.length("text").cast("long"))
-    return masked.withColumn("n_chars", n).select(*docs.columns)
+    rows = secrets.redact(docs.select(F.struct("*").alias("row"), "text"))
+    n = F.when(F.col("text").eqNullSafe(F.col("row.text")), F.col("row.n_chars")).otherwise(F.length("text").cast("long"))
+    made = {"text": F.col("text"), "n_chars": n}
+    return rows.select(*(made.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
