@@ -8,8 +8,9 @@ sets.
 
 No bucket gives all its pairs. First each bucket is a star around its busiest set; what the confirmed stars connect
 needs no further look. Buckets that still hold several components are looked at in pieces, every piece against every
-other, by their sketches alone: only pairs across components that the sketches let through come out, each from the
-first bucket it shares. A bucket with very many sets is cut into pieces of sets of like size: sets as similar as asked
+other: pairs across components that the sketches let through come out, each from the first bucket it shares. Sets
+that aren't very large go along, so that of their pairs only links come out, and of these only such as join what
+others of the two pieces have not joined: no more than there are components. A bucket with very many sets is cut into pieces of sets of like size: sets as similar as asked
 for differ little in size, so a piece only meets those of its own class of sizes and of the next ones.
 """
 
@@ -34,6 +35,9 @@ BINS, BITS, DEVIATIONS = 1024, 2048, 5.0
 #: CLASS times the least: a little more than a pair may differ by, so rounding never puts a pair two classes apart.
 PIECE, LARGE, CLASS = 512, 20_000, 1.34
 
+#: Elements of the sets that go along with their entries, so that links are confirmed where the pieces meet.
+CARRIED = 2048
+
 _K = BANDS * ROWS
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(1, 1 << 63, _K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -136,6 +140,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
 
 
+def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of `_sets` as bytes."""
+    for part in _sets(batches):
+        sets = [s.values.to_numpy().tobytes() for s in part.column(1)]
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["id", "s"])
+
+
 def _differ(a: Column, b: Column) -> Column:
     """Bits in which two odd sketches differ."""
     return sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(1, BITS // 64)), F.bit_count(a[0].bitwiseXOR(b[0])))
@@ -154,6 +165,11 @@ def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return near.select("a", "b", "na", "nb")
 
 
+def _texts(needed: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, key, text) of sets (id, key, first, h)."""
+    return docs.withColumnRenamed("id", "first").join(needed, ["first", "h"]).select("id", "key", "text")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """The links among near pairs (a, b, na, nb), on the full sets, made again from the texts of the sets left.
 
@@ -162,18 +178,42 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     near = written(pairs, "near")
     needed = near.select(F.col("a").alias("id")).distinct().union(near.select("b").distinct()).distinct()
     needed = sets.select("id", "key", "first", "h").join(needed, "id", "left_semi")
-    texts = docs.withColumnRenamed("id", "first").join(needed, ["first", "h"]).select("id", "key", "text")
-    full = written(texts.mapInArrow(_sets, "id long, s array<long>").dropDuplicates(["id"]), "sets")
+    full = written(_texts(needed, docs).mapInArrow(_sets, "id long, s array<long>").dropDuplicates(["id"]), "sets")
     both = near.join(full.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
     return written(both.where(100 * shared >= PERCENT * (F.col("na") + F.col("nb") - shared)).select("a", "b"), "confirmed")
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, and their sizes) across components that sizes and sketches let through, from rows sorted by bucket and pieces."""
+    """Pairs (a, b, and their sizes) across components that sizes and sketches let through, from rows sorted by bucket and pieces.
+
+    Pairs whose sets came along are compared on these, too, and left out if those before them join their components.
+    """
+
+    def joining(one, two, ca, cb, na, nb, i, j) -> tuple[np.ndarray, np.ndarray]:
+        """Of the pairs i, j, the links that join components which those before them didn't, and all without their sets."""
+        up: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in up:
+                c = up[c] = up.get(up[c], up[c])
+            return c
+
+        kept = []
+        for k, (x, y) in enumerate(zip(i.tolist(), j.tolist())):
+            if one[x] is not None and two[y] is not None:
+                c, d = root(int(ca[x])), root(int(cb[y]))
+                if c == d:
+                    continue
+                shared = len(np.intersect1d(np.frombuffer(one[x], np.uint64), np.frombuffer(two[y], np.uint64), True))
+                if 100 * shared < PERCENT * (int(na[x]) + int(nb[y]) - shared):
+                    continue
+                up[max(c, d)] = min(c, d)
+            kept.append(k)
+        return i[kept], j[kept]
 
     def pairs(one: list[tuple], two: list[tuple], same: bool) -> pa.RecordBatch:
-        (ia, ca, na, sa, ba, oa, ha), (ib, cb, nb, sb, bb, ob, hb) = ([np.array(c) for c in zip(*rows)] for rows in (one, two))
+        (ia, ca, na, sa, ba, oa, ha), (ib, cb, nb, sb, bb, ob, hb) = ([np.array(c) for c in zip(*rows)] for rows in ([r[:7] for r in one], [r[:7] for r in two]))
         at = []
         for k in range(len(ia)):
             fits = (cb != ca[k]) & (PERCENT * np.maximum(nb, na[k]) <= 100 * np.minimum(nb, na[k])) & ~(hb | ha[k])
@@ -184,7 +224,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at.append(np.stack([np.full(len(j), k), j]))
         i, j = np.concatenate(at, 1)
         own = (ba[i] == bb[j]).argmax(1) == band  # each pair in the first bucket that it shares
-        i, j = i[own], j[own]
+        i, j = joining([r[7] for r in one], [r[7] for r in two], ca, cb, na, nb, i[own], j[own])
         one_first = ia[i] < ib[j]
         ordered = [np.where(one_first, x, y) for x, y in ((ia[i], ib[j]), (ib[j], ia[i]), (na[i], nb[j]), (nb[j], na[i]))]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in ordered], ["a", "b", "na", "nb"])
@@ -198,7 +238,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pairs(sides[0], sides[1] or sides[0], not sides[1])
                 group, sides = key, ([], [])
                 band = r["bands"].index(r["bucket"])
-            row = (r["id"], r["component"], r["n"], r["samples"], r["bands"], r["sketch"], r["id"] == r["hub"])
+            row = (r["id"], r["component"], r["n"], r["samples"], r["bands"], r["sketch"], r["id"] == r["hub"], r["s"])
             sides[r["piece"] != r["p"]].append(row)
     if sides[0] and (sides[1] or group[1] == group[2]):
         yield pairs(sides[0], sides[1] or sides[0], not sides[1])
@@ -267,9 +307,12 @@ def link_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = components(links)
 
     left = _mixed_buckets(_labelled(starred.select("bucket", "id", "hub"), groups))
-    left = _pieces(written(left, "left"), sets)
+    left = written(left, "left")
+    carried = left.select("id").distinct().join(sets.where(F.col("n") <= CARRIED).select("id", "key", "first", "h"), "id")
+    carried = written(_texts(carried, docs).mapInArrow(_carried, "id long, s binary").dropDuplicates(["id"]), "carried")
+    left = _pieces(left, sets).join(carried, "id", "left")
     meets = F.transform(F.sequence("first", "last"), lambda k: F.struct(F.least(k, "piece").alias("p"), F.greatest(k, "piece").alias("q")))
-    dealt = left.select("bucket", "id", "hub", "component", "piece", "n", "samples", "bands", "sketch", F.explode(meets).alias("m")).select("*", "m.*").drop("m")
+    dealt = left.select("bucket", "id", "hub", "component", "piece", "n", "samples", "bands", "sketch", "s", F.explode(meets).alias("m")).select("*", "m.*").drop("m")
     order = ["bucket", "p", "q"]
     across = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_across, "a long, b long, na long, nb long").distinct()
     more = _confirmed(across, sets, docs)
