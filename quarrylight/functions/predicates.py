@@ -68,8 +68,8 @@ def is_bot_author(name: Column, email: Column) -> Column:
 
 
 def is_bot_login(login: Column, kind: Column) -> Column:
-    """A platform's own bot type decides; else a login that holds 'bot'; an empty login is none."""
-    return F.when(kind == "Bot", True).when(login.isNull() | (login == ""), False).otherwise(F.contains(F.lower(login), F.lit("bot")))
+    """A platform's own bot type decides; else a login that holds 'bot' or is a known bot's name; an empty login is none."""
+    return F.when(kind == "Bot", True).when(login.isNull() | (login == ""), False).otherwise(F.contains(F.lower(login), F.lit("bot")) | is_bot_author(login, F.lit("")))
 
 
 def folders(path: Column) -> Column:

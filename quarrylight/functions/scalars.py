@@ -15,6 +15,8 @@ GITLAB_BODY = r"See merge request (?:\S+)?!(\d+)"
 BITBUCKET_MERGE = r"^Merged in (.+) \(pull request #(\d+)\)$"
 #: Fixed value: credentials in an address.
 CREDENTIAL = r"(?i)(https?://)(?:x-access-token|oauth2):[^@/\s]+@"
+#: Fixed value: settings that are never written to a log.
+SECRET_KEYS = ("openai_key", "password", "api_key", "token", "secret")
 #: Fixed value: folders that name a platform, not an organisation.
 PLATFORM_ROOTS = ("github", "gitlab", "local")
 
@@ -84,17 +86,18 @@ def merge_marker(subject: Column, body: Column) -> Column:
     """What a commit's text says about a merged change: struct (pr_number, method, source_branch, title), or null.
 
     Tried in this order: a merge of a pull request, one of Bitbucket's kind, a merge request named in the body, a
-    number in brackets at the subject's end.
+    number in brackets at the subject's end. Only the first kind takes its title from the body, the first line of it.
     """
-    first_line = F.trim(F.get(F.split(F.trim(F.coalesce(body, F.lit(""))), "\n"), F.lit(0)))
+    told = F.regexp_replace(F.coalesce(body, F.lit("")), r"(?U)^\s+|\s+\z", "")
+    first_line = F.get(F.split(told, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), F.lit(0))
     title = F.when(first_line != "", first_line).otherwise(subject)
     got = lambda c, p, k: F.regexp_extract(c, p, k)
     row = lambda number, method, branch, text: F.struct(number.alias("pr_number"), F.lit(method).alias("method"), branch.alias("source_branch"), text.alias("title"))
     none = F.lit("")
     return (
         F.when(subject.rlike(GITHUB_MERGE), row(got(subject, GITHUB_MERGE, 1), "merge-commit", got(subject, GITHUB_MERGE, 2), title))
-        .when(subject.rlike(BITBUCKET_MERGE), row(got(subject, BITBUCKET_MERGE, 2), "merge-commit", got(subject, BITBUCKET_MERGE, 1), title))
-        .when(body.rlike(GITLAB_BODY), row(got(body, GITLAB_BODY, 1), "merge-commit", none, title))
+        .when(subject.rlike(BITBUCKET_MERGE), row(got(subject, BITBUCKET_MERGE, 2), "merge-commit", got(subject, BITBUCKET_MERGE, 1), subject))
+        .when(body.rlike(GITLAB_BODY), row(got(body, GITLAB_BODY, 1), "merge-commit", none, subject))
         .when(subject.rlike(SQUASH), row(got(subject, SQUASH, 1), "squash", none, squash_title(subject)))
     )
 
@@ -141,9 +144,10 @@ def percent_done(done: Column, total: Column) -> Column:
 
 def json_truthy(text: Column, *fields: str) -> Column:
     """Whether a JSON object has a value that counts as true in one of the fields; false for broken JSON."""
-    value = lambda f: F.get_json_object(text, f"$.{f}")
-    empty = ("", "false", "0", "null", "[]", "{}")
-    any_ = [F.coalesce(~value(f).isin(*empty), F.lit(False)) for f in fields]
+    # as JSON again, which tells a string from a number, a truth value and null
+    value = lambda f: F.to_json(F.try_variant_get(F.try_parse_json(text), f"$.{f}", "variant"))
+    empty = r'^(""|false|null|\[\]|\{\}|-?0(\.0+)?([eE][+-]?[0-9]+)?)$'
+    any_ = [F.coalesce(~value(f).rlike(empty), F.lit(False)) for f in fields]
     out = any_[0]
     for x in any_[1:]:
         out = out | x
@@ -167,13 +171,19 @@ def log_total(line: Column) -> Column:
 
 def log_outcome(line: Column) -> Column:
     """'OK' or 'FAIL' if a line reports how a repository ended, else null."""
-    found = F.regexp_extract(line, r"\b(OK|FAIL) [^\s:]+", 1)
-    return F.when(found != "", found)
+    return F.when(F.contains(line, F.lit(" OK ")), "OK").when(F.contains(line, F.lit("FAIL ")), "FAIL")
 
 
-def redact_map(settings: Column, blocked: tuple[str, ...]) -> Column:
-    """A map without the blocked keys and without `command`."""
-    return F.map_filter(settings, lambda k, v: ~k.isin("command", *blocked))
+def log_name(line: Column) -> Column:
+    """The repository that such a line is about: what follows the first mark, up to a colon."""
+    after = F.get(F.split(line, F.when(log_outcome(line) == "OK", " OK ").otherwise("FAIL "), 2), F.lit(1))
+    return F.regexp_replace(F.get(F.split(after, ":", 2), F.lit(0)), r"(?U)^\s+|\s+\z", "")
+
+
+def redact_map(settings: Column, blocked: tuple[str, ...] = SECRET_KEYS) -> Column:
+    """A map without the blocked keys, in whatever case, and without `command`; a null map is empty."""
+    kept = F.map_filter(settings, lambda k, v: ~F.lower(k).isin("command", *(b.lower() for b in blocked)))
+    return F.coalesce(kept, F.create_map().cast("map<string,string>"))
 
 
 def redact_arguments(arguments: Column, flags: tuple[str, ...]) -> Column:

@@ -12,15 +12,15 @@ from ..functions import scalars as S
 def commits_of_lines(lines: DataFrame, header: str = r"^[0-9a-f]{40}\t") -> DataFrame:
     """Commits with their files from log lines (repo, line_no, line): a header line, then its numstat lines.
 
-    A header holds sha, name, e-mail, date and subject, tab-separated. A running count of headers within a repository
+    A header holds sha, name, e-mail, date and subject, tab-separated; the subject may hold tabs itself. A running count of headers within a repository
     tells which commit a numstat line belongs to; lines before the first header are dropped.
     """
     w = Window.partitionBy("repo").orderBy("line_no")
     numbered = lines.withColumn("is_header", F.col("line").rlike(header)).withColumn("log_pos", F.sum(F.col("is_header").cast("long")).over(w)).where("log_pos > 0")
-    part = lambda k: F.get(F.split("line", "\t"), F.lit(k))
+    part = lambda k: F.get(F.split("line", "\t", 5), F.lit(k))
     head = lambda k, name: F.max(F.when(F.col("is_header"), part(k))).alias(name)
     stat = F.struct(F.col("line_no").alias("n"), part(2).alias("path"), S.digits_or_zero(part(0)).alias("additions"), S.digits_or_zero(part(1)).alias("deletions"))
-    numstat = ~F.col("is_header") & (F.size(F.split("line", "\t")) >= 3)
+    numstat = ~F.col("is_header") & (F.size(F.split("line", "\t")) == 3)
     grouped = numbered.groupBy("repo", "log_pos").agg(
         head(0, "sha"), head(1, "author_name"), head(2, "author_email"), head(3, "author_date"), head(4, "subject"),
         F.array_sort(F.collect_list(F.when(numstat, stat))).alias("f"),

@@ -11,12 +11,12 @@ from ..functions import scalars as S
 def progress_aggregates(line: Column, seq: Column) -> list[Column]:
     """What a run's lines say: the last announced total, how many ended and failed, the last that ended."""
     total, outcome = S.log_total(line), S.log_outcome(line)
-    name = F.regexp_extract(line, r"\b(?:OK|FAIL) ([^\s:]+)", 1)
+    name = S.log_name(line)
     return [
         F.coalesce(F.max_by(total, F.when(total.isNotNull(), seq)), F.lit(0)).alias("total"),
         F.count_if(outcome == "OK").alias("completed"),
         F.count_if(outcome == "FAIL").alias("failed"),
-        F.max_by(name, F.when(outcome.isNotNull(), seq)).alias("current"),
+        F.coalesce(F.max_by(name, F.when(outcome.isNotNull(), seq)), F.lit("")).alias("current"),
     ]
 
 
@@ -31,12 +31,13 @@ def progress(lines: DataFrame, *keys: str) -> DataFrame:
 
 
 def completion(lines: DataFrame, *keys: str) -> DataFrame:
-    """How a run ended: the last summary and archive it names, and the last line that is a JSON object."""
+    """How a run ended: the last summary and archive it names (the whole rest of the line), and the last JSON object with `run_dir`."""
     line, seq = F.col("line"), F.col("seq")
     last = lambda value, ok: F.max_by(value, F.when(ok, seq))
-    named = lambda p: (F.regexp_extract(line, p, 1), line.rlike(p))
-    json = F.trim(line).startswith("{") & F.try_parse_json(line).isNotNull()
-    return lines.groupBy(*keys).agg(last(*named(r"Done\. summary=(\S+)")).alias("summary"), last(*named(r"Zip=(\S+)")).alias("archive"), last(line, json).alias("manifest"))
+    named = lambda mark: (F.trim(F.get(F.split(line, mark, 2), F.lit(1))), F.contains(line, F.lit(mark)))
+    run = F.array_contains(F.json_object_keys(line), "run_dir")
+    json = F.trim(line).startswith("{") & F.try_parse_json(line).isNotNull() & F.coalesce(run, F.lit(False))
+    return lines.groupBy(*keys).agg(last(*named("Done. summary=")).alias("summary"), last(*named("Zip=")).alias("archive"), last(line, json).alias("manifest"))
 
 
 def log_tail(lines: DataFrame, n: int, *keys: str) -> DataFrame:

@@ -27,7 +27,8 @@ def merge_selectors(*groups: DataFrame) -> DataFrame:
 def select_targets(targets: DataFrame, selectors: DataFrame) -> DataFrame:
     """Targets that a selector names: in full, by a suffix that begins at a slash, or all if there are no selectors.
 
-    A target's suffixes are its keys, so this is an equi-join whatever the number of selectors.
+    A target's suffixes are its keys, so this is an equi-join whatever the number of selectors. Selectors that name no
+    target at all are an error, which a job tells when the plan is made.
     """
     wanted = selectors.select(F.lower(F.trim("selector")).alias("__key")).where("__key <> ''").distinct()
     parts = F.split(F.lower("full_name"), "/")
@@ -37,6 +38,8 @@ def select_targets(targets: DataFrame, selectors: DataFrame) -> DataFrame:
         return targets
     keyed = targets.withColumn("__id", F.struct("platform", "full_name"))
     hits = keyed.select("__id", F.explode(suffixes).alias("__key")).join(wanted, "__key", "left_semi").select("__id").distinct()
+    if hits.isEmpty():
+        raise ValueError("the selectors match no target")
     return keyed.join(hits, "__id", "left_semi").drop("__id")
 
 

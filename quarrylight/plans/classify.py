@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
-#: Kinds of repository that a classifier may answer; anything else becomes 'other'.
-TYPES = ("application", "library", "service", "tool", "infrastructure", "documentation", "data", "other")
+#: Kinds of repository that a classifier may answer; anything else becomes 'other'.
+TYPES = ("backend", "frontend", "fullstack", "mobile", "data_ml", "library_sdk", "infra_devops", "other")
 SCHEMA = "repo string, codebase_description string, industry_domain string, vibe_code_signals string, repo_type string, llm_analysis_error string"
 
 

@@ -228,7 +228,7 @@ def clone_stats(spark, d):
 
 def _log(spark, d) -> DataFrame:
     kind, n = F.col("event_type"), F.col("event_id").cast("string")
-    line = F.when(kind == "purchase", F.concat(F.lit("OK r/"), n, F.lit(": 1"))).when(kind == "error", F.concat(F.lit("FAIL r/"), n, F.lit(": x"))).when(kind == "signup", F.concat(F.lit("Extracting "), n, F.lit(" repos")))
+    line = F.when(kind == "purchase", F.concat(F.lit("[1/1] OK r/"), n, F.lit(": 1"))).when(kind == "error", F.concat(F.lit("FAIL r/"), n, F.lit(": x"))).when(kind == "signup", F.concat(F.lit("Extracting "), n, F.lit(" repos")))
     return table(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"), F.coalesce(line, F.lit("...")).alias("line"))
 
 
@@ -237,7 +237,7 @@ def _log(spark, d) -> DataFrame:
     """
     WITH g AS (
         SELECT user_id AS run, coalesce(arg_max(event_id, event_id) FILTER (event_type = 'signup'), 0) AS total, count(*) FILTER (event_type = 'purchase') AS completed,
-            count(*) FILTER (event_type = 'error') AS failed, 'r/' || arg_max(event_id, event_id) FILTER (event_type IN ('purchase', 'error')) AS current
+            count(*) FILTER (event_type = 'error') AS failed, coalesce('r/' || arg_max(event_id, event_id) FILTER (event_type IN ('purchase', 'error')), '') AS current
         FROM events GROUP BY 1)
     SELECT run, CAST(total AS INTEGER) AS total, completed, failed, current, completed + failed AS done,
         CAST(CASE WHEN total > 0 THEN trunc((completed + failed)::DOUBLE / total * 100) ELSE 0 END AS INTEGER) AS percent FROM g""",
@@ -314,7 +314,7 @@ def mask_credentials(spark, d):
     return table(spark, d, "pages").select("page_id", S.mask_credentials(address).alias("masked"))
 
 
-@query("json_prop", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k, coalesce(json_extract_string(props, '$.k') NOT IN ('', '0', 'false', 'null'), false) AS truthy FROM events")
+@query("json_prop", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k, coalesce(CAST(json_extract(props, '$.k') AS VARCHAR) NOT IN ('""', '0', 'false', 'null', '[]', '{}'), false) AS truthy FROM events")
 def json_prop(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), S.json_truthy(F.col("props"), "k").alias("truthy"))
 

@@ -23,14 +23,14 @@ def fill(rows: DataFrame) -> DataFrame:
     return rows.select(*(column(n, k) for n, k in SUMMARY.items()))
 
 
-def summary(targets: DataFrame, commits: DataFrame, files: DataFrame, languages: DataFrame, lines: DataFrame, as_of: Column, errors: DataFrame | None = None) -> DataFrame:
+def summary(targets: DataFrame, commits: DataFrame, files: DataFrame, languages: DataFrame, lines: DataFrame, as_of: Column, errors: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
     """One row per target (org, full_name): left joins on the full name, so a missing fact leaves its default.
 
     `lines` (repo, language, code) wins over `languages` for the label; `errors` (repo, error) marks failed targets,
-    which keep what was known before they failed. Ordered by organisation and repository.
+    which keep what was known before they failed. `texts` are the commits with their bodies, if `commits` lack them. Ordered by organisation and repository.
     """
     stats = history.git_stats(commits, as_of).withColumnRenamed("last_commit", "last_commit_date").drop("authors", "bot_commit_count")
-    merged = history.fold_merged(commits).groupBy("repo").agg(F.count(F.lit(1)).alias("merged_prs"))
+    merged = history.fold_merged(commits if texts is None else texts).groupBy("repo").agg(F.count(F.lit(1)).alias("merged_prs"))
     loc = lines.groupBy("repo").agg(F.sum("code").alias("loc"))
     shares = lambda df, by_name, p: trees.language_shares(df, by_name).select(F.col("full_name").alias("repo"), F.col("languages_breakdown").alias(f"{p}l"), F.col("primary_language").alias(f"{p}p"))
     counted = lines.select(F.col("repo").alias("full_name"), F.lit(0).alias("map_pos"), "language", F.col("code").cast("double").alias("value"))

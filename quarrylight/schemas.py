@@ -8,6 +8,7 @@ COMMITS = (
     "files array<struct<path:string,additions:long,deletions:long>>"
 )
 COMMIT_LINES = "repo string, line_no long, line string"
+COMMIT_TEXTS = "repo string, log_pos long, sha string, author_date string, author_name string, author_email string, subject string, body string"
 FILES = "repo string, path string, bytes long, lines long, sample string"
 LANGUAGES = "full_name string, map_pos int, language string, value double"
 PERSON = "struct<login:string,__typename:string>"

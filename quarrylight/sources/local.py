@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.predicates import SKIP_DIRS
-from ..schemas import COMMIT_LINES, FILES
+from ..schemas import COMMIT_LINES, COMMIT_TEXTS, FILES
 
 #: Seconds that a git command may take.
 GIT_SECONDS, LOG_SECONDS = 300, 600
@@ -63,6 +63,19 @@ class CommitLogReader(_Reader):
             yield partition.repo, n, line
 
 
+class CommitTextReader(_Reader):
+    """Commits with subject and body, newest first."""
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        if not partition.repo:
+            return
+        text = git(self._folder(partition), "log", "--format=%H%x1f%aI%x1f%an%x1f%ae%x1f%s%x1f%b%x1e", seconds=LOG_SECONDS)
+        for n, record in enumerate(text.split("\x1e")):
+            fields = record.strip("\n").split("\x1f")
+            if len(fields) >= 5:
+                yield partition.repo, n, *fields[:5], "".join(fields[5:6])
+
+
 class FileTreeReader(_Reader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         if not partition.repo:
@@ -72,12 +85,15 @@ class FileTreeReader(_Reader):
             below[:] = [d for d in below if d not in SKIP_DIRS]
             for name in sorted(names):
                 path = Path(folder, name)
+                size, lines, start, block = 0, 0, b"", b"\n"
                 try:
-                    raw = path.read_bytes()
+                    with path.open("rb") as file:
+                        while part := file.read(1 << 20):
+                            start = start or part[: 4 * SAMPLE]
+                            size, lines, block = size + len(part), lines + part.count(b"\n"), part
                 except OSError:
                     continue
-                lines = raw.count(b"\n") + (not raw.endswith(b"\n") and bool(raw))
-                yield partition.repo, path.relative_to(base).as_posix(), len(raw), lines, raw[: 4 * SAMPLE].decode("utf-8", "replace")[:SAMPLE]
+                yield partition.repo, path.relative_to(base).as_posix(), size, lines + (not block.endswith(b"\n")), start.decode("utf-8", "replace")[:SAMPLE]
 
 
 class CommitLog(DataSource):
@@ -92,6 +108,18 @@ class CommitLog(DataSource):
         return CommitLogReader(self.options)
 
 
+class CommitTexts(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "commit_texts"
+
+    def schema(self) -> str:
+        return COMMIT_TEXTS
+
+    def reader(self, schema) -> DataSourceReader:
+        return CommitTextReader(self.options)
+
+
 class FileTree(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -109,12 +137,16 @@ def commit_lines(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("commit_log").load(root)
 
 
+def commit_texts(spark: SparkSession, root: str) -> DataFrame:
+    spark.dataSource.register(CommitTexts)
+    return spark.read.format("commit_texts").load(root)
+
+
 def files(spark: SparkSession, root: str) -> DataFrame:
     spark.dataSource.register(FileTree)
     return spark.read.format("file_tree").load(root)
 
 
 def default_branch(folder: str) -> str:
-    """The branch that a clone's remote head names, or else the one that is checked out."""
-    head = git(folder, "symbolic-ref", "--short", "refs/remotes/origin/HEAD").strip()
-    return head.rsplit("/", 1)[-1] if head else git(folder, "rev-parse", "--abbrev-ref", "HEAD").strip()
+    """The branch that a clone has checked out."""
+    return git(folder, "symbolic-ref", "--short", "HEAD").strip() or "not_collected_offline"

@@ -3,6 +3,7 @@
 import json
 import subprocess
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarrylight.operators import history, progress, targets, trees
@@ -73,12 +74,14 @@ def test_targets(spark):
     assert [r.selector for r in targets.merge_selectors(sel("A/b", " ", "a/B")).collect()] == ["A/b"]
     base = t(("g", "org/Repo", 0), ("g", "org/other", 1))
     assert [r.full_name for r in targets.select_targets(base, sel("repo")).collect()] == ["org/Repo"]
-    assert targets.select_targets(base, sel()).count() == 2 and targets.select_targets(base, sel("x")).count() == 0
+    assert targets.select_targets(base, sel()).count() == 2
+    with pytest.raises(ValueError):
+        targets.select_targets(base, sel("x"))
     groups = spark.createDataFrame([("a",), ("a/b",), ("ab",), ("a",)], "id string")
     assert {r.id for r in targets.top_level(groups).collect()} == {"a", "ab"}
 
 
-LINES = ["Extracting 4 repos", "OK a/b: 1", "noise", "FAIL a/c: x"]
+LINES = ["Extracting 4 repos", "[1/4] OK a/b: 1", "noise", "FAIL a/c: x"]
 
 
 def test_progress_batch_and_stream_agree(spark, tmp_path):
@@ -145,3 +148,37 @@ def test_hosted_pages():
 def test_config(spark):
     lines = spark.createDataFrame([("# c",), ("a=b=c",), ("",), (" k = v ",)], "value string")
     assert {tuple(r) for r in targets.config(lines).collect()} == {("a", "b=c"), ("k", "v")}
+
+
+def test_lines_that_tell_how_a_repository_ended(spark):
+    lines = ["OK a/a: no space before", "[1/2] OK a/b c: 1", "x OK ", "a FAIL b OK c: FAIL d: e", "FAIL a/c FAIL y", "nothing"]
+    df = spark.createDataFrame([("r", k, x) for k, x in enumerate(lines)] + [("s", 0, "nothing")], "run string, seq long, line string")
+    got = {r.run: r for r in progress.progress(df, "run").collect()}
+    assert (got["r"].completed, got["r"].failed, got["r"].current) == (3, 1, "a/c FAIL y")
+    assert (got["s"].total, got["s"].completed, got["s"].percent, got["s"].current) == (0, 0, 0, "")
+
+
+def test_completion_reads_whole_paths_and_the_run_object(spark):
+    lines = ["Done. summary=/a b/s.csv ", "Zip=/a b/x.zip", '{"run_dir": "/a b", "ok": 3}', '{"other": 1}', "{broken", "[1]"]
+    got = progress.completion(spark.createDataFrame(list(enumerate(lines)), "seq long, line string")).first()
+    assert (got.summary, got.archive, got.manifest) == ("/a b/s.csv", "/a b/x.zip", '{"run_dir": "/a b", "ok": 3}')
+
+
+def test_merged_changes_of_a_clone(spark, tmp_path):
+    at = tmp_path / "org" / "repo"
+    at.mkdir(parents=True)
+    git = lambda *a: subprocess.run(["git", "-C", str(at), "-c", "user.name=A", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    git("init", "-q")
+    for text in ("Merge branch 'x'\n\nWork\n\nSee merge request g/p!9", "fix\ttabs (#3)", "Merge pull request #5 from a/b\n\nTitle"):
+        git("commit", "-q", "--allow-empty", "-m", text)
+    texts = local.commit_texts(spark, str(tmp_path))
+    got = {r.pr_number: (r.method, r.source_branch, r.title, r.merged_by_name) for r in history.fold_merged(texts).collect()}
+    assert got == {"9": ("merge-commit", "", "Merge branch 'x'", "A"), "3": ("squash", "", "fix\ttabs", "A"), "5": ("merge-commit", "a/b", "Title", "A")}
+    commits_ = history.commits_of_lines(local.commit_lines(spark, str(tmp_path)))
+    assert {r.subject for r in commits_.collect()} == {"Merge branch 'x'", "fix\ttabs (#3)", "Merge pull request #5 from a/b"}
+    one = spark.createDataFrame([("org", "org/repo")], "org string, full_name string")
+    empty = spark.createDataFrame([], "full_name string, map_pos int, language string, value double")
+    loc = spark.createDataFrame([], "repo string, language string, code long")
+    rows = summary.summary(one, commits_, local.files(spark, str(tmp_path)), empty, loc, NOW(), texts=texts).collect()
+    assert [(r.repo, r.merged_prs, r.total_commits) for r in rows] == [("org/repo", 3, 3)]
+    assert local.default_branch(str(at)) not in ("", "not_collected_offline") and local.default_branch(str(tmp_path)) == "not_collected_offline"

@@ -53,7 +53,9 @@ def test_in_range(spark):
     [
         ("Merge pull request #5 from a/b", "Title here\nmore", ("5", "merge-commit", "a/b", "Title here")),
         ("Merged in topic (pull request #7)", "", ("7", "merge-commit", "topic", "Merged in topic (pull request #7)")),
-        ("Merge branch 'x'", "Work\n\nSee merge request g/p!9", ("9", "merge-commit", "", "Work")),
+        ("Merge branch 'x'", "Work\n\nSee merge request g/p!9", ("9", "merge-commit", "", "Merge branch 'x'")),
+        ("Merged in topic (pull request #7)", "Body line", ("7", "merge-commit", "topic", "Merged in topic (pull request #7)")),
+        ("Merge pull request #5 from a/b", " \r\n kept\r\nmore ", ("5", "merge-commit", "a/b", "kept")),
         ("Fix it (#12)", "", ("12", "squash", "", "Fix it")),
         ("Fix it", "", None),
     ],
@@ -101,3 +103,12 @@ def test_paths(spark):
     assert one(spark, P.shows_runner(c("p"), c("s")), p="package.json", s='{"x": "jest"}') is True
     assert one(spark, P.shows_library(c("p"), c("s")), p="package.json", s='{"main": "x"}') is True
     assert one(spark, P.shows_library(c("p"), c("s")), p="a/lib/b.c", s="") is True
+
+
+def test_truth_bots_and_secret_settings(spark):
+    truthy = lambda t: one(spark, S.json_truthy(c("t"), "main"), t=t)
+    assert all(truthy(t) for t in ('{"main": "0"}', '{"main": "false"}', '{"main": "null"}', '{"main": [0]}', '{"main": 0.5}', '{"main": true}'))
+    assert not any(truthy(t) for t in ('{"main": ""}', '{"main": 0}', '{"main": 0.0}', '{"main": false}', '{"main": null}', '{"main": []}', '{"main": {}}', "{}", "[1]", "{broken"))
+    assert [one(spark, P.is_bot_login(c("n"), c("k")), n=n, k="User") for n in ("renovate", "mergify", "greenkeeper", "anna")] == [True, True, True, False]
+    settings = F.create_map(F.lit("Token"), F.lit("x"), F.lit("API_KEY"), F.lit("y"), F.lit("org"), c("n"))
+    assert one(spark, S.redact_map(settings), n="z") == {"org": "z"}
