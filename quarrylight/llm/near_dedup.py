@@ -196,7 +196,8 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         def root(c: int) -> int:
             while c in up:
-                c = up[c] = up.get(up[c], up[c])
+                up[c] = up.get(up[c], up[c])
+                c = up[c]
             return c
 
         kept = []

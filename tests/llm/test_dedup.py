@@ -216,3 +216,19 @@ def test_components_never_end_half_merged(spark):
     with pytest.raises(RuntimeError):
         graph.components(chain, most_rounds=0)
     assert {r.component for r in graph.components(chain).collect()} == {0}
+
+
+def test_links_where_pieces_meet_join_each_component_once():
+    """Many sets that all are near each other: what comes out is a spanning tree, and the search for roots ends."""
+    import pyarrow as pa
+
+    rows = []
+    for k in range(40):
+        s = near_dedup.shingles(" ".join(f"w{j}" for j in range(200)) + f" end{k}")
+        bands, sketch, samples = near_dedup.signature(s)
+        row = {"bucket": 7, "p": 0, "q": 0, "piece": 0, "bands": [7, *bands[1:]], "id": k, "component": k % 20, "n": len(s)}
+        rows.append(row | {"samples": samples, "sketch": sketch, "hub": -1, "s": s.tobytes()})
+    out = [r for b in near_dedup._across(iter([pa.RecordBatch.from_pylist(rows)])) for r in b.to_pylist()]
+    assert len(out) == 19  # 20 components
+    low = brute_components(range(20), [(r["a"] % 20, r["b"] % 20) for r in out])
+    assert set(low.values()) == {0}
