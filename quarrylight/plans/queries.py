@@ -65,33 +65,47 @@ def company_period(spark, d):
     return history.company_periods(g.select("org", "repo", day("f").alias("first_commit"), day("l").alias("last_commit_date"))).select("org", "repo", "company_period")
 
 
-@query("author_tally", f"SELECT n_name AS repo, c_name AS author_name, count(*) AS commits, c_mktsegment = '{BOT}' AS is_bot FROM {_COMMITS} GROUP BY ALL")
+def _authored(spark, d) -> DataFrame:
+    """The same commits as a clone gives them: repo, author_name, author_email, author_date; bots by their name."""
+    name = F.concat("c_name", F.when(F.col("c_mktsegment") == BOT, F.lit(" renovate")).otherwise(F.lit("")))
+    email = F.concat(F.col("c_custkey").cast("string"), F.lit("@people.org"))
+    return _commits(spark, d).select(F.col("n_name").alias("repo"), name.alias("author_name"), email.alias("author_email"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("author_date"))
+
+
+_AUTHOR = f"c_name || CASE WHEN c_mktsegment = '{BOT}' THEN ' renovate' ELSE '' END"
+
+
+@query(
+    "author_tally",
+    f"""SELECT n_name AS repo, {_AUTHOR} AS author_name, c_custkey || '@people.org' AS author_email, count(*) AS commits,
+        coalesce(c_mktsegment = '{BOT}', false) AS is_bot FROM {_COMMITS} GROUP BY ALL""",
+)
 def author_tally(spark, d):
-    by = _commits(spark, d).groupBy(F.col("n_name").alias("repo"), F.col("c_name").alias("author_name"), (F.col("c_mktsegment") == BOT).alias("is_bot"))
-    return by.agg(F.count(F.lit(1)).alias("commits")).select("repo", "author_name", "commits", "is_bot")
+    return history.author_tally(_authored(spark, d))
+
+
+def _stats(spark, d, top: int) -> DataFrame:
+    return history.git_stats(_authored(spark, d), F.lit("2000-01-01").cast("timestamp"), top)
 
 
 @query(
     "bot_ratio",
     f"""SELECT n_name AS repo, count(*) AS commits, count(*) FILTER (c_mktsegment = '{BOT}') AS bot_commits,
-        count(*) FILTER (c_mktsegment = '{BOT}') / count(*) AS bot_commit_ratio, count(DISTINCT o_custkey) AS contributor_count FROM {_COMMITS} GROUP BY ALL""",
+        round(count(*) FILTER (c_mktsegment = '{BOT}') / count(*), 4) AS bot_commit_ratio, count(DISTINCT o_custkey) AS contributor_count FROM {_COMMITS} GROUP BY ALL""",
 )
 def bot_ratio(spark, d):
-    bots = F.count_if(F.col("c_mktsegment") == BOT)
-    return _commits(spark, d).groupBy(F.col("n_name").alias("repo")).agg(
-        F.count(F.lit(1)).alias("commits"), bots.alias("bot_commits"), (bots / F.count(F.lit(1))).alias("bot_commit_ratio"), F.count_distinct("o_custkey").alias("contributor_count")
-    )
+    people = F.col("human_authors") + F.col("bot_authors")
+    return _stats(spark, d, 50).select("repo", F.col("total_commits").alias("commits"), F.col("bot_commit_count").alias("bot_commits"), "bot_commit_ratio", people.alias("contributor_count"))
 
 
 def _top(spark, d, n):
-    tally = _commits(spark, d).groupBy(F.col("n_name").alias("repo"), F.col("o_custkey").alias("author")).agg(F.count(F.lit(1)).alias("commits"))
-    rank = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("commits"), "author"))
-    return tally.withColumn("rank", rank.cast("long")).where(F.col("rank") <= n)
+    rows = _stats(spark, d, n).select("repo", F.posexplode("authors").alias("at", "a"))
+    return rows.select("repo", F.col("a.name").alias("author"), F.col("a.commits").alias("commits"), (F.col("at") + 1).cast("long").alias("rank"))
 
 
 _TOP = (
-    "SELECT repo, author, commits, rank FROM (SELECT n_name AS repo, o_custkey AS author, count(*) AS commits, "
-    f"row_number() OVER (PARTITION BY n_name ORDER BY count(*) DESC, o_custkey) AS rank FROM {_COMMITS} GROUP BY n_name, o_custkey) WHERE rank <= "
+    f"SELECT repo, author, commits, rank FROM (SELECT n_name AS repo, {_AUTHOR} AS author, count(*) AS commits, "
+    f"row_number() OVER (PARTITION BY n_name ORDER BY count(*) DESC, {_AUTHOR}, o_custkey || '') AS rank FROM {_COMMITS} GROUP BY n_name, {_AUTHOR}, o_custkey) WHERE rank <= "
 )
 
 
@@ -157,9 +171,14 @@ def tree_size_kb(spark, d):
     return table(spark, d, "documents").groupBy(F.col("source").alias("repo")).agg(F.sum("n_chars").alias("size")).withColumn("size_kb", S.kib(F.col("size")))
 
 
-@query("file_count", "SELECT source AS repo, count(*) AS total_files FROM documents WHERE source NOT IN ('src1', 'src2') GROUP BY 1")
+@query("file_count", "SELECT source AS repo, count(*) FILTER (lang IS DISTINCT FROM 'de') AS total_files FROM documents GROUP BY 1")
 def file_count(spark, d):
-    return table(spark, d, "documents").where(~F.col("source").isin("src1", "src2")).groupBy(F.col("source").alias("repo")).agg(F.count(F.lit(1)).alias("total_files"))
+    folder = F.when(F.col("lang") == "de", F.lit("node_modules/")).otherwise(F.lit("lib/"))  # vendored files aren't walked
+    files = table(spark, d, "documents").select(
+        F.col("source").alias("repo"), F.concat(folder, F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
+        F.col("n_chars").alias("bytes"), F.lit(0).cast("long").alias("lines"), F.lit("").alias("sample"),
+    )
+    return trees.tree_facts(files).select("repo", "total_files")
 
 
 _LINES = "CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(text) - len(replace(text, chr(10), '')) + CASE WHEN text LIKE '%' || chr(10) THEN 0 ELSE 1 END END"
