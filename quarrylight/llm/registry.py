@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, embed_dedup, exact_dedup, html_text, near_dedup, packing, quality, secrets, token_files, toxicity
+from . import bpe, embed_dedup, exact_dedup, html_text, near_dedup, packing, quality, runs, secrets, token_files, toxicity
 from .common import remainder
 
 #: The public vocabularies; no copy is kept here.
@@ -194,3 +194,66 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_html_text")
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def _repeating(docs: DataFrame) -> DataFrame:
+    """`docs` with a period put into a tenth of the texts: from word a on, the p words from there are repeated.
+
+    With h the crc32 of the id and g = h div 10, that is done where h mod 10 is 0, with a = g mod n and
+    p = 1 + (n - a) div (3 + g mod 8); n is the number of words.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
+    counted = docs.select("doc_id", "text", words.alias("w"), F.floor(h / 10).alias("g")).withColumn("n", F.size("w"))
+    placed = counted.withColumn("a", F.expr("if(n > 0, g % n, 0)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    tail = F.slice(F.flatten(F.array_repeat(F.expr("slice(w, int(a + 1), int(p))"), F.expr("int((n - a + p - 1) div p)"))), F.lit(1), F.expr("int(n - a)"))
+    text = F.concat_ws(" ", F.expr("slice(w, 1, int(a))"), tail)
+    return placed.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+@query(
+    "op11_runs",
+    r"""
+    WITH t AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+            doc_id::VARCHAR AS s
+        FROM documents),
+    h AS (
+        SELECT doc_id, w, len(w) AS n, xor(4294967295, list_reduce(
+            [4294967295::BIGINT] || list_transform(range(8 * length(s)), lambda k: (ascii(s[(k // 8 + 1)::INT]) >> (k % 8)::INT) & 1),
+            lambda a, b: xor(a >> 1, CASE WHEN xor(a, b) & 1 = 1 THEN 3988292384 ELSE 0 END))) AS h
+        FROM t),
+    a AS (SELECT *, h // 10 AS g, CASE WHEN n > 0 THEN h // 10 % n ELSE 0 END AS a FROM h),
+    d AS (
+        SELECT doc_id, n, CASE WHEN h % 10 = 0 THEN list_transform(range(n), lambda i:
+            w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE w END AS w
+        FROM a),
+    i AS (SELECT doc_id, n, unnest(w) AS x, unnest(range(n)) AS i FROM d),
+    m AS (SELECT p.doc_id, q.i - p.i AS q, p.i FROM i p JOIN i q ON p.doc_id = q.doc_id AND p.x = q.x AND q.i > p.i AND 4 * (q.i - p.i) <= p.n),
+    l AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM m),
+    r AS (
+        SELECT doc_id, s, l, min(q) AS q FROM (SELECT doc_id, q, min(i) AS s, count(*) + q AS l FROM l GROUP BY doc_id, q, k)
+        WHERE l >= 6 AND l >= 4 * q GROUP BY doc_id, s, l),
+    o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY l::DOUBLE / q DESC, s, q) AS n FROM r),
+    b AS (
+        SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS f,
+            list({'a': s + q, 'b': s + l}) AS gone, max(s) FILTER (n = 1) AS s, max(l) FILTER (n = 1) AS l, max(q) FILTER (n = 1) AS q
+        FROM o GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.l AS length, b.q AS period, 1000 * b.l // b.q AS exponent_milli,
+        sha256(coalesce(f, '')) AS runs_sha256,
+        sha256(array_to_string(CASE WHEN gone IS NULL THEN d.w ELSE list_transform(list_filter(range(d.n), lambda i:
+            len(list_filter(gone, lambda y: i >= y.a AND i < y.b)) = 0), lambda i: d.w[i + 1]) END, ' ')) AS collapsed_sha256
+    FROM d LEFT JOIN b ON b.doc_id = d.doc_id""",
+)
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(_repeating(table(spark, sf_dir, "documents")))
+    more = lambda x, y: x["length"] * y["period"] - y["length"] * x["period"]  # noqa: E731  the sign of x's exponent less y's
+    order = lambda x, y: F.coalesce(F.nullif(F.signum(more(y, x)), F.lit(0.0)), F.nullif(F.signum(x["start"] - y["start"]), F.lit(0.0)), F.signum(x["period"] - y["period"])).cast("int")
+    best = F.get(F.array_sort("runs", order), F.lit(0))
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
