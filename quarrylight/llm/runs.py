@@ -172,7 +172,7 @@ def maximal_runs(key: np.ndarray, min_length: int, min_exponent: int) -> tuple[n
     return start[keep], length[keep], period[keep]
 
 
-def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words of texts between ASCII white space, and how many each text has."""
     parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     words, size = parts.flatten(), np.diff(parts.offsets.to_numpy())
@@ -186,7 +186,7 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 def _in_one(texts: pa.Array, min_length: int, min_exponent: int) -> tuple[pa.Array, pa.Array, np.ndarray]:
     """Runs and collapsed text of each text, and its number of words."""
-    words, size = _words(texts)
+    words, size = words_of(texts)
     n_docs, first = len(size), np.cumsum(size) - size
     coded = words.dictionary_encode()
     doc = np.repeat(np.arange(n_docs), size)
