@@ -126,7 +126,7 @@ _SPELL_SQL = "array_to_string(list_transform(list_sort({0}), lambda y: ['assign'
             {_spans_sql("[0-9a-f]{32,}", 2)} AS h, {_spans_sql("[A-Za-z0-9+/_=-]{20,}", 3, 0, _RANDOM_SQL)} AS e
         FROM d),
     b AS (SELECT *, a || c || h AS base FROM f),
-    g AS (SELECT *, list_filter(e, lambda y: len(list_filter(base, lambda z: z.s < y.s + y.n AND y.s < z.s + z.n)) = 0) AS more FROM b)
+    g AS (SELECT *, list_filter(e, lambda y: len(list_filter(base, lambda z: z.s <= y.s AND y.s + y.n <= z.s + z.n)) = 0) AS more FROM b)
     SELECT doc_id, len(a) AS n_assign, len(c) AS n_access, len(h) AS n_hex,
         sha256({_SPELL_SQL.format("base")}) AS base_sha256, {_SPELL_SQL.format("base || more")} AS spans
     FROM g""",

@@ -118,7 +118,8 @@ def scan(docs: DataFrame, text_col: str = "text", spans_col: str = "spans") -> D
     """`docs` with the spans of its secrets: an array of (start, kind, end), in order of start, then kind.
 
     Positions count code points from 0, the end excluded; `kind` is an index into KINDS. Base kinds are found from
-    left to right without overlap within a kind, in the whole text however long; an entropy span is left out where it overlaps a base one. A null or
+    left to right without overlap within a kind, in the whole text however long; an entropy span is left
+    out only where it lies within a base one. A null or
     empty text has no spans (an empty array). Repeated rows are scanned each; a column named `spans_col` is replaced.
     """
     keep = [c for c in docs.columns if c != spans_col]
@@ -133,8 +134,8 @@ def scan(docs: DataFrame, text_col: str = "text", spans_col: str = "spans") -> D
     base = found.select("row", F.concat("assign", "access", "hex").alias("base"), _entropy_spans(F.col("candidates")).alias("more"))
 
     def joined(p: Column) -> Column:
-        clash = lambda x: F.exists(p["base"], lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        both = F.concat(p["base"], F.filter(p["more"], lambda x: ~clash(x)))
+        within = lambda x: F.exists(p["base"], lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"]))
+        both = F.concat(p["base"], F.filter(p["more"], lambda x: ~within(x)))
         return F.array_sort(F.transform(both, lambda x: F.struct(x["start"], x["kind"], x["end"])))
 
     return base.select("row", _bound(F.struct("base", "more"), joined).alias("spans")).select("row.*", F.col("spans").alias(spans_col))

@@ -32,7 +32,7 @@ def scan(text):
         s = m[0]
         if len(s) < 20 or not re.search("[0-9]", s) or not re.search("[A-Za-z]", s) or ALLOW.search(s):
             continue
-        if any(a < m.end() and m.start() < b for a, _, b in base):
+        if any(a <= m.start() and m.end() <= b for a, _, b in base):
             continue
         if peak(s) >= (3.0 if re.fullmatch("[0-9a-fA-F]+", s) else 3.75) - 1e-9:
             more.append((m.start(), 3, m.end()))

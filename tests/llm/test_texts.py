@@ -34,6 +34,12 @@ def test_secrets(spark):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def test_random_characters_beside_a_base_span_go_too(spark):
+    key, rest = "AKIA" + "QWERTYUIOP123456", "kJ8sD0fLq2ZxC7vB9nM1wE5rT6yU3iO4pA1sD2fG"
+    df = spark.createDataFrame([(1, f"id {key}/{rest} end"), (2, f"{'0f' * 16}_{rest}")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in secrets.redact(df).collect()} == {1: "id [SECRET] end", 2: "[SECRET]"}
+
+
 def test_entropy_of_windows(spark):
     texts = ["a" * 30, "kJ8sD0fLq2ZxC7vB9nM1", "abab" * 200 + "kJ8sD0fLq2ZxC7vB9nM1" + "ab" * 300, "short"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(secrets.peak_bits(F.col("t")).alias("p")).collect()
