@@ -2,7 +2,8 @@
 
 The index is a table bucketed and sorted by digest, with one row per distinct text ever added: the digest and the
 id that stays. A batch is reduced to one row per digest (partial aggregation, so a huge group of copies never
-meets in one task), anti-joined with the index by sort-merge on the bucketing, and what is new is appended.
+meets in one task), anti-joined with the index by sort-merge on the bucketing, and what is new is appended. A table of
+documents is added in batches of ascending id, so the smallest id of a text is the one that the index holds.
 """
 
 from __future__ import annotations
@@ -11,9 +12,12 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .common import new_path, written
 
+#: Batches that a table is added in.
+BATCHES = 3
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -41,16 +45,17 @@ class DigestIndex:
         self.path = path or new_path(spark, "digest-index")
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.table)
-
     def attach(self, id_type: str = "bigint") -> None:
-        """Make an index written by an earlier session at `path` known to this one."""
+        """Make the index at `path` known to this session: an empty one, or one that an earlier session wrote."""
         self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id {id_type}) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
         )
 
+    def forget(self) -> None:
+        """Take the index out of the session's catalog; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
@@ -68,32 +73,50 @@ class DigestIndex:
         )
 
 
-def add_batch(digests: DataFrame, index: DigestIndex) -> DataFrame:
-    """Add (id, digest) rows to the index; return one row per digest of the batch: digest, keep_id, group_size.
+def add_batch(digests: DataFrame, index: DigestIndex) -> None:
+    """Add (id, digest) rows to the index: of a digest that it lacks, the smallest id of the batch (null if all are).
 
-    `keep_id` is what the index holds: of a text that was already known, the id kept then; of a new one, the
-    smallest id of the batch (null only if all are null). Adding the same batch again changes nothing, so a job
-    that failed after the append can simply be run anew.
+    Adding the same batch again changes nothing, so a job that failed after the append can simply be run anew.
     """
-    batch = written(digests.groupBy("digest").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "batch")
-    if index.exists():
-        fresh = batch.join(index.read().select("digest").hint("merge"), "digest", "left_anti")
-    else:
-        fresh = batch
-    index.append(fresh)
-    return batch.select("digest", "group_size").join(index.read().hint("merge"), "digest")
+    batch = digests.groupBy("digest").agg(F.min("id").alias("keep_id"))
+    index.append(written(batch.join(index.read().select("digest").hint("merge"), "digest", "left_anti"), "fresh"))
+
 
+def add_in_order(digests: DataFrame, index: DigestIndex, batches: int) -> None:
+    """Add (id, digest) rows in batches of about equal size by ascending id, null ids last.
 
-def find_copies(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    Ids that aren't numbers, and a single batch, are added at once.
+    """
+    kind = digests.schema["id"].dataType
+    index.attach(kind.simpleString())
+    cuts: list = []
+    if batches > 1 and isinstance(kind, NumericType):
+        shares = [k / batches for k in range(1, batches)]
+        cuts = sorted(set(digests.agg(F.percentile_approx("id", shares)).first()[0] or []))
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        above = F.lit(True) if low is None else (F.col("id") > low) | F.col("id").isNull()
+        below = F.lit(True) if high is None else F.col("id") <= high
+        add_batch(digests.where(above & below), index)
+
+
+def find_copies(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
     """One row per row of `docs`: id, keep_id, group_size, kept, text_sha256.
 
+    `keep_id` is what the index holds: of a text that it knew before, the id kept then; of a new one, the smallest id.
+    `group_size` counts the rows of `docs`. Without an `index`, a new one is made for this call.
+
     Nulls: a null text equals an empty one; a null id is smaller than none, so it stays only if its whole group has
     null ids. Rows that repeat id and text all count in `group_size` and carry the same `kept`. An empty table gives
     none. Other columns are not read, whatever their names.
     """
+    own = index is None
     index = index or DigestIndex(docs.sparkSession)
     digests = written(docs.select(F.col(id_col).alias("id"), digest_of(F.col(text_col)).alias("digest")), "digests")
-    entries = written(add_batch(digests, index), "entries")
+    add_in_order(digests, index, batches)
+    sizes = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
+    entries = written(sizes.join(index.read().hint("merge"), "digest"), "entries")
+    if own:
+        index.forget()
     return digests.join(entries.hint("merge"), "digest").select(
         F.col("id").alias(id_col),
         F.col("keep_id").cast(digests.schema["id"].dataType).alias("keep_id"),
@@ -103,16 +126,20 @@ def find_copies(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     )
 
 
-def drop_copies(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_copies(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
     """The rows of `docs` that stay, one per text: that of the smallest id, if its text is new to the index.
 
     Of rows that repeat the id and the text, one stays. All columns of `docs` are returned. One shuffle: the row
     that stays is chosen by partial aggregation before it, so a group of copies is not gathered.
     """
+    own = index is None
     index = index or DigestIndex(docs.sparkSession)
     order = F.struct(F.col(f"r.{id_col}").isNull(), F.col(f"r.{id_col}"))
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("r")).withColumn("digest", digest_of(F.col(f"r.{text_col}")))
     first = written(rows.groupBy("digest").agg(F.min_by("r", order).alias("r")), "first")
-    ids = first.select(F.col(f"r.{id_col}").alias("id"), "digest")
-    known = add_batch(ids, index).select("digest", "keep_id")
-    return first.join(known.hint("merge"), "digest").where(F.col(f"r.{id_col}").eqNullSafe(F.col("keep_id"))).select("r.*")
+    add_in_order(first.select(F.col(f"r.{id_col}").alias("id"), "digest"), index, batches)
+    stays = first.join(index.read().hint("merge"), "digest").where(F.col(f"r.{id_col}").eqNullSafe(F.col("keep_id"))).select("r.*")
+    if own:
+        stays = written(stays, "stays")
+        index.forget()
+    return stays
