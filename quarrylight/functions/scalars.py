@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -209,14 +208,40 @@ def line_count(text: Column) -> Column:
     return F.when(text.isNull() | (text == ""), 0).when(text.endswith("\n"), parts - 1).otherwise(parts).cast("long")
 
 
+def _exact_product(value: Column, factor: float) -> tuple[Column, Column]:
+    """The product as rounded, and what it lacks: together they are the exact one (by halves of 26 bits)."""
+    split = 134217729.0
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        big = x * split
+        high = big - (big - x)
+        return high, x - high
+
+    (vh, vl), (fh, fl) = halves(value), halves(F.lit(factor))
+    product = value * factor
+    return product, ((vh * fh - product) + vh * fl + vl * fh) + vl * fl
+
+
+def exact_units(value: Column, digits: int) -> Column:
+    """A number in units of its `digits`-th decimal, as a whole double: the exact binary value, ties to even."""
+    product, rest = _exact_product(F.abs(value), float(10**digits))
+    whole = F.floor(product).cast("double")
+    over = (product - whole) - 0.5
+    up = (over > 0) | ((over == 0) & ((rest > 0) | ((rest == 0) & (whole % 2 == 1))))
+    return F.signum(value) * F.when(product < 2.0**52, whole + F.when(up, 1.0).otherwise(0.0)).otherwise(product)
+
+
 def exact_round(value: Column, digits: int) -> Column:
-    """Rounding of the exact binary value, ties to even, which no built-in function gives; null stays null.
+    """Rounding of the exact binary value to so many decimals, ties to even; null stays null.
 
-    Only for bit parity of a few final figures: it leaves the JVM.
+    Built-in rounding looks at the shortest decimal text of a number instead, which differs where that ends in a five.
+    Right for values below 2**52 units; larger ones have no decimals to round.
     """
+    return F.when(F.abs(value) * float(10**digits) < 2.0**52, exact_units(value, digits) / float(10**digits)).otherwise(value)
 
-    @F.pandas_udf("double")
-    def rounded(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: round(v, digits), na_action="ignore")
 
-    return rounded(value)
+def fixed_text(value: Column, digits: int) -> Column:
+    """A number that is not negative with exactly so many decimals, at least one."""
+    units = exact_units(value, digits).cast("long").cast("string")
+    padded = F.lpad(units, F.greatest(F.length(units), F.lit(digits + 1)), F.lit("0"))
+    return F.concat(F.substring(padded, F.lit(1), F.length(padded) - digits), F.lit("."), F.right(padded, F.lit(digits)))

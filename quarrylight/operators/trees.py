@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
@@ -18,7 +18,7 @@ def language_shares(languages: DataFrame, by_name: bool = False) -> DataFrame:
     rows = languages.where(F.col("value").isNotNull() & ((F.col("value") != 0) if by_name else F.lit(True)))
     tie = "language" if by_name else "map_pos"
     total = F.sum("value").over(Window.partitionBy("full_name"))
-    share = F.concat("language", F.lit(":"), F.format_string("%.1f", S.exact_round(F.col("value") / F.col("total") * 100, 1)), F.lit("%"))
+    share = F.concat("language", F.lit(":"), S.fixed_text(100.0 * F.col("value") / F.col("total"), 1), F.lit("%"))
     parts = rows.withColumn("total", total).where("total > 0").withColumn("part", F.struct((-F.col("value")).alias("k"), F.col(tie).alias("t"), F.col("language").alias("l"), share.alias("s")))
     grouped = parts.groupBy("full_name").agg(F.array_sort(F.collect_list("part")).alias("p"))
     known = grouped.select("full_name", F.array_join(F.transform("p", lambda x: x["s"]), "; ").alias("languages_breakdown"), F.col("p")[0]["l"].alias("primary_language"))
@@ -57,20 +57,43 @@ def tree_facts(files: DataFrame) -> DataFrame:
     return facts.withColumn("test_source_loc_pct", S.exact_round(ratio, 1)).drop("test_loc", "source_loc")
 
 
+def walk_key(path: Column) -> Column:
+    """A sortable key of a file's place in a walk: a folder's files by name, then its subfolders by name, each whole."""
+    return F.concat(F.transform(P.folders(path), lambda d: F.concat(F.lit("1"), d)), F.array(F.concat(F.lit("0"), F.element_at(F.split(path, "/"), -1))))
+
+
 def evidence(files: DataFrame, paths: int = 250, samples: int = 4) -> DataFrame:
-    """What a classifier gets to see of a repository: first paths, first readme, first source samples, all cut."""
-    path = F.col("path")
-    walked = files.where(P.is_walked(path))
-    nth = lambda which: F.row_number().over(Window.partitionBy("repo", which.alias("w")).orderBy("path"))
-    readme, source = P.file_name(path).startswith("readme"), F.coalesce(P.is_sampled(path, F.col("bytes"), F.col("sample")), F.lit(False))
-    every = F.lit(True)
-    ranked = walked.withColumn("is_readme", readme).withColumn("is_source", source)
-    ranked = ranked.withColumn("np", nth(every)).withColumn("nr", nth(F.col("is_readme"))).withColumn("ns", nth(F.col("is_source")))
-    ranked = ranked.where(f"np <= {paths} or (is_readme and nr = 1) or (is_source and ns <= {samples})")
-    listed = lambda c: F.array_sort(F.collect_list(c))
-    cut = F.struct("path", F.left("sample", F.lit(1500)).alias("content"))
-    return ranked.groupBy("repo").agg(
-        F.first(F.when(F.col("is_readme") & (F.col("nr") == 1), F.left("sample", F.lit(4000))), ignorenulls=True).alias("readme_excerpt"),
-        listed(F.when(F.col("np") <= paths, path)).alias("file_paths"),
-        listed(F.when(F.col("is_source") & (F.col("ns") <= samples), cut)).alias("source_excerpts"),
+    """What a classifier gets to see of a repository: first paths, first readme, first source samples, all cut.
+
+    First is the order of a walk (`walk_key`). A readme or sample that is empty is passed over. A file goes once to each need that it meets,
+    and each need keeps its first files; the largest limit applies before the shuffle, so no repository's files
+    meet in one task.
+    """
+    path, text = F.col("path"), F.coalesce("sample", F.lit(""))
+    need = lambda name, ok, shown: F.when(F.coalesce(ok, F.lit(False)), F.struct(F.lit(name).alias("need"), shown.alias("shown")))
+    readme = P.file_name(path).startswith("readme") & (text != "")
+    needs = F.array(
+        need("path", F.lit(True), F.lit(None).cast("string")),
+        need("readme", readme, F.left(text, F.lit(4000))),
+        need("source", P.is_sampled(path, F.col("bytes"), F.col("sample")), F.left(text, F.lit(1500))),
+    )
+    rows = files.where(P.is_walked(path)).select("repo", "path", walk_key(path).alias("at"), F.explode(F.array_compact(needs)).alias("x")).select("repo", "path", "at", "x.*")
+    rank = F.row_number().over(Window.partitionBy("repo", "need").orderBy("at"))
+    limit = F.when(F.col("need") == "path", paths).when(F.col("need") == "source", samples).otherwise(1)
+    kept = rows.withColumn("n", rank).where(F.col("n") <= max(paths, samples, 1)).where(F.col("n") <= limit)
+    listed = lambda name, value: F.transform(F.array_sort(F.collect_list(F.when(F.col("need") == name, F.struct("n", value.alias("v"))))), lambda x: x["v"])
+    return kept.groupBy("repo").agg(
+        F.max(F.when(F.col("need") == "readme", F.col("shown"))).alias("readme_excerpt"),
+        listed("path", path).alias("file_paths"),
+        listed("source", F.struct("path", F.col("shown").alias("content"))).alias("source_excerpts"),
     )
+
+
+#: The facts of a repository that go with its evidence.
+REPOSITORY_FACTS = ("repo", "org", "primary_language", "languages_breakdown", "loc", "total_commits", "has_tests")
+
+
+def with_repository(shown: DataFrame, rows: DataFrame) -> DataFrame:
+    """Evidence with the known facts of its repository (rows of the summary), null where there are none."""
+    facts = rows.select("repo", F.struct(*(F.col(c).alias("name" if c == "repo" else c) for c in REPOSITORY_FACTS)).alias("repository"))
+    return shown.join(facts, "repo", "left")

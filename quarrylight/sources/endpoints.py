@@ -49,6 +49,20 @@ def gitlab(base: str, what: str, name: str = "", item: int | None = None, archiv
     return f"{base}/{paths[what]}"
 
 
+#: The query that tells how many changes a repository has merged.
+COUNT_QUERY = "query($owner: String!, $name: String!) { repository(owner: $owner, name: $name) { pullRequests(states: MERGED) { totalCount } } }"
+
+
+def connection(body: object, repo: str) -> dict:
+    """The list of changes in a GraphQL answer; its errors, or a repository that isn't there, are an error."""
+    if not isinstance(body, dict) or body.get("errors"):
+        raise RuntimeError(str(body.get("errors") if isinstance(body, dict) else body)[:500])
+    found = (body.get("data") or {}).get("repository")
+    if not found:
+        raise RuntimeError(f"Repository not found: {repo}")
+    return found["pullRequests"]
+
+
 def first_filled(fetch: Callable[[str], list], *addresses: str) -> list:
     """The first list that is neither missing (HTTP 404) nor empty."""
     for address in addresses:
@@ -89,7 +103,8 @@ def cursor_pages(ask: Callable[[str | None], dict]) -> Iterator[dict]:
     cursor = None
     while True:
         page = ask(cursor)
-        yield from page["nodes"]
-        if not page["pageInfo"]["hasNextPage"]:
+        yield from page.get("nodes") or []
+        info = page.get("pageInfo") or {}
+        if not info.get("hasNextPage"):
             return
-        cursor = page["pageInfo"]["endCursor"]
+        cursor = info.get("endCursor")

@@ -1,17 +1,24 @@
-"""Python data sources: commit logs and file trees of local clones, one partition per clone."""
+"""Python data sources: commit logs, commit texts, file trees and facts of local clones, one partition per clone.
+
+A clone that can't be read, or a git command that fails or takes too long, gives a row with its `error` beside the rows
+read before; the others finish. `routed` parts the two.
+"""
 
 from __future__ import annotations
 
 import os
 import subprocess
+import threading
 from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.predicates import SKIP_DIRS
-from ..schemas import COMMIT_LINES, COMMIT_TEXTS, FILES
+from ..operators import history
+from ..schemas import CLONE_FACTS, COMMIT_LINES, COMMIT_RECORDS, FILES
 
 #: Seconds that a git command may take.
 GIT_SECONDS, LOG_SECONDS = 300, 600
@@ -29,13 +36,46 @@ def find_clones(root: str) -> list[str]:
     return sorted(found, key=str.lower)
 
 
-def git(folder: str, *args: str, seconds: int = GIT_SECONDS) -> str:
-    """A git command's output; empty if it fails or takes too long."""
+def git_parts(folder: str, *args: str, seconds: float = GIT_SECONDS, end: bytes = b"\n") -> Iterator[str]:
+    """What a git command prints, part by part as it comes; an OSError if it fails or takes too long."""
+    with subprocess.Popen(["git", "-C", folder, *args], stdout=subprocess.PIPE, stderr=subprocess.PIPE) as run:
+        late = threading.Event()
+        clock = threading.Timer(seconds, lambda: (late.set(), run.kill()))
+        said: list[bytes] = []
+        reader = threading.Thread(target=lambda: said.append(run.stderr.read()), daemon=True)
+        clock.start()
+        reader.start()
+        try:
+            rest = b""
+            while block := run.stdout.read1(1 << 16):
+                *parts, rest = (rest + block).split(end)
+                yield from (p.decode("utf-8", "replace") for p in parts)
+            if rest:
+                yield rest.decode("utf-8", "replace")
+        finally:
+            clock.cancel()
+            run.kill()
+            code = run.wait()
+            reader.join()
+        if late.is_set():
+            raise TimeoutError(f"git {args[0]} took more than {seconds:g} s")
+        if code:
+            raise OSError(f"git {args[0]} failed: {b''.join(said).decode('utf-8', 'replace').strip()[-300:]}")
+
+
+def git(folder: str, *args: str, seconds: float = GIT_SECONDS) -> str:
+    """A git command's output; empty if it fails."""
     try:
-        done = subprocess.run(["git", "-C", folder, *args], capture_output=True, timeout=seconds)
-    except (OSError, subprocess.TimeoutExpired):
+        return "\n".join(git_parts(folder, *args, seconds=seconds))
+    except TimeoutError:
+        raise
+    except OSError:
         return ""
-    return done.stdout.decode("utf-8", "replace") if done.returncode == 0 else ""
+
+
+def default_branch(folder: str) -> str:
+    """The branch that a clone has checked out."""
+    return git(folder, "symbolic-ref", "--short", "HEAD").strip() or "not_collected_offline"
 
 
 class _Clone(InputPartition):
@@ -44,109 +84,149 @@ class _Clone(InputPartition):
 
 
 class _Reader(DataSourceReader):
+    """Reads one clone after the other; `rows` gives tuples without the repository, `width` of them."""
+
+    width = 0
+
     def __init__(self, options: dict):
-        self.root = options["path"]
+        self.root, self.seconds = options["path"], float(options.get("seconds", LOG_SECONDS))
 
     def partitions(self) -> list[InputPartition]:
         return [_Clone(r) for r in find_clones(self.root)] or [_Clone("")]
 
-    def _folder(self, partition: InputPartition) -> str:
-        return os.path.join(self.root, partition.repo)
-
+    def rows(self, folder: str) -> Iterator[tuple]:
+        raise NotImplementedError
 
-class CommitLogReader(_Reader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         if not partition.repo:
             return
-        text = git(self._folder(partition), "log", "--numstat", "--format=%H%x09%aN%x09%aE%x09%aI%x09%s", seconds=LOG_SECONDS)
-        for n, line in enumerate(x for x in text.split("\n") if x):
-            yield partition.repo, n, line
+        try:
+            for row in self.rows(os.path.join(self.root, partition.repo)):
+                yield partition.repo, *row, None
+        except (OSError, ValueError) as e:  # the reason is data; the other clones go on
+            yield partition.repo, *[None] * self.width, f"{type(self).stage}: {e}"[:500]
+
+
+class CommitLogReader(_Reader):
+    """Lines of the log, newest commit first, each with its commit's place; a clone without commits has none."""
+
+    width, stage = 3, "commit log"
+
+    def rows(self, folder: str) -> Iterator[tuple]:
+        if not git(folder, "rev-parse", "-q", "--verify", "HEAD", seconds=self.seconds):
+            return
+        form = history.HEADER + history.FIELD.join(history.LINE_FIELDS)
+        place = 0
+        for n, line in enumerate(git_parts(folder, "log", "--numstat", f"--format={form}", seconds=self.seconds)):
+            if line:
+                place += line.startswith(history.HEADER)
+                yield place, n, line
 
 
 class CommitTextReader(_Reader):
-    """Commits with subject and body, newest first."""
+    """Commits with subject and body as printed, one record each, newest first."""
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if not partition.repo:
+    width, stage = 2, "commit texts"
+
+    def rows(self, folder: str) -> Iterator[tuple]:
+        if not git(folder, "rev-parse", "-q", "--verify", "HEAD", seconds=self.seconds):
             return
-        text = git(self._folder(partition), "log", "--format=%H%x1f%aI%x1f%an%x1f%ae%x1f%s%x1f%b%x1e", seconds=LOG_SECONDS)
-        for n, record in enumerate(text.split("\x1e")):
-            fields = record.strip("\n").split("\x1f")
-            if len(fields) >= 5:
-                yield partition.repo, n, *fields[:5], "".join(fields[5:6])
+        form = history.FIELD.join(history.TEXT_FIELDS)
+        yield from enumerate(git_parts(folder, "log", "-z", f"--format={form}", seconds=self.seconds, end=b"\0"), 1)
 
 
 class FileTreeReader(_Reader):
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if not partition.repo:
-            return
-        base = self._folder(partition)
-        for folder, below, names in os.walk(base):
-            below[:] = [d for d in below if d not in SKIP_DIRS]
+    width, stage = 4, "file tree"
+
+    def rows(self, base: str) -> Iterator[tuple]:
+        failed: list[OSError] = []
+        for folder, below, names in os.walk(base, onerror=failed.append):
+            below[:] = sorted(d for d in below if d not in SKIP_DIRS)
             for name in sorted(names):
                 path = Path(folder, name)
+                if not path.is_file():  # a link to nowhere, a pipe
+                    continue
                 size, lines, start, block = 0, 0, b"", b"\n"
                 try:
                     with path.open("rb") as file:
                         while part := file.read(1 << 20):
                             start = start or part[: 4 * SAMPLE]
                             size, lines, block = size + len(part), lines + part.count(b"\n"), part
-                except OSError:
+                except OSError as e:
+                    failed.append(e)
                     continue
-                yield partition.repo, path.relative_to(base).as_posix(), size, lines + (not block.endswith(b"\n")), start.decode("utf-8", "replace")[:SAMPLE]
+                yield path.relative_to(base).as_posix(), size, lines + (not block.endswith(b"\n")), start.decode("utf-8", "replace")[:SAMPLE]
+        if failed:
+            raise OSError(f"{len(failed)} unread, first {failed[0]}")
 
 
-class CommitLog(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "commit_log"
+class CloneFactsReader(_Reader):
+    width, stage = 1, "clone"
 
-    def schema(self) -> str:
-        return COMMIT_LINES
+    def rows(self, folder: str) -> Iterator[tuple]:
+        yield (default_branch(folder),)
 
-    def reader(self, schema) -> DataSourceReader:
-        return CommitLogReader(self.options)
 
+class _Source(DataSource):
+    """A source of one kind of rows below the folder `path`; `seconds` bounds a git command."""
+
+    label, form, kind = "", "", _Reader
 
-class CommitTexts(DataSource):
     @classmethod
     def name(cls) -> str:
-        return "commit_texts"
+        return cls.label
 
     def schema(self) -> str:
-        return COMMIT_TEXTS
+        return self.form
 
     def reader(self, schema) -> DataSourceReader:
-        return CommitTextReader(self.options)
+        return self.kind(self.options)
 
 
-class FileTree(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "file_tree"
+class CommitLog(_Source):
+    label, form, kind = "commit_log", COMMIT_LINES, CommitLogReader
 
-    def schema(self) -> str:
-        return FILES
 
-    def reader(self, schema) -> DataSourceReader:
-        return FileTreeReader(self.options)
+class CommitTexts(_Source):
+    label, form, kind = "commit_texts", COMMIT_RECORDS, CommitTextReader
 
 
-def commit_lines(spark: SparkSession, root: str) -> DataFrame:
-    spark.dataSource.register(CommitLog)
-    return spark.read.format("commit_log").load(root)
+class FileTree(_Source):
+    label, form, kind = "file_tree", FILES, FileTreeReader
 
 
-def commit_texts(spark: SparkSession, root: str) -> DataFrame:
-    spark.dataSource.register(CommitTexts)
-    return spark.read.format("commit_texts").load(root)
+class CloneFacts(_Source):
+    label, form, kind = "clone_facts", CLONE_FACTS, CloneFactsReader
 
 
-def files(spark: SparkSession, root: str) -> DataFrame:
-    spark.dataSource.register(FileTree)
-    return spark.read.format("file_tree").load(root)
+def _load(spark: SparkSession, source: type[_Source], root: str, **options: object) -> DataFrame:
+    spark.dataSource.register(source)
+    return spark.read.format(source.label).options(**options).load(root)
 
 
-def default_branch(folder: str) -> str:
-    """The branch that a clone has checked out."""
-    return git(folder, "symbolic-ref", "--short", "HEAD").strip() or "not_collected_offline"
+def commit_lines(spark: SparkSession, root: str, **options: object) -> DataFrame:
+    return _load(spark, CommitLog, root, **options)
+
+
+def commit_records(spark: SparkSession, root: str, **options: object) -> DataFrame:
+    return _load(spark, CommitTexts, root, **options)
+
+
+def commit_texts(spark: SparkSession, root: str, **options: object) -> DataFrame:
+    """Commits with subject and body."""
+    return history.commits_of_records(commit_records(spark, root, **options).where("error is null"))
+
+
+def files(spark: SparkSession, root: str, **options: object) -> DataFrame:
+    return _load(spark, FileTree, root, **options)
+
+
+def clone_facts(spark: SparkSession, root: str, **options: object) -> DataFrame:
+    """(repo, default_branch, error)."""
+    return _load(spark, CloneFacts, root, **options)
+
+
+def routed(rows: DataFrame, stage: int) -> tuple[DataFrame, DataFrame]:
+    """The data of a reader's rows, and its errors as (repo, stage, error). Both read `rows`: write these first if it is dear."""
+    bad = rows.where("error is not null").select("repo", F.lit(stage).alias("stage"), "error")
+    return rows.where("error is null").drop("error"), bad

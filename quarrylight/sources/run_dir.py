@@ -24,8 +24,12 @@ def targets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def merged_prs(spark: SparkSession, path: str) -> DataFrame:
-    """Merged pull requests, each with whether a bot wrote it and whether any list was cut off."""
-    rows = spark.read.schema(MERGED_PRS).json(path, multiLine=True)
+    """Merged pull requests of JSON files."""
+    return with_flags(spark.read.schema(MERGED_PRS).json(path, multiLine=True))
+
+
+def with_flags(rows: DataFrame) -> DataFrame:
+    """Merged pull requests with whether a bot wrote each and whether any of its lists was cut off."""
     more = F.coalesce(F.col("files.pageInfo.hasNextPage") | F.col("comments.pageInfo.hasNextPage") | F.col("reviews.pageInfo.hasNextPage"), F.lit(False))
     return rows.withColumn("author_is_bot", P.is_bot_login(F.col("author.login"), F.col("author.__typename"))).withColumn("has_more", more)
 

@@ -31,7 +31,7 @@ def test_fold_orders_by_text(spark):
 
 
 def test_git_stats(spark):
-    rows = [("r", k, str(k), n, "e", f"2024-01-0{k}T00:00:00+00:00", "s", "") for k, n in ((1, "Ann"), (2, "renovate"), (3, "Ann"))]
+    rows = [("r", 4 - k, str(k), n, "e", f"2024-01-0{k}T00:00:00+00:00", "s", "") for k, n in ((1, "Ann"), (2, "renovate"), (3, "Ann"))]
     got = history.git_stats(commits(spark, rows), NOW()).first()
     assert (got.total_commits, got.human_authors, got.bot_authors, got.bot_commit_count, got.span_days, got.bot_commit_ratio) == (3, 1, 1, 1, 2, 0.3333)
     assert got.authors[0].name == "Ann" and got.recency_days == 58
@@ -39,9 +39,10 @@ def test_git_stats(spark):
 
 def test_commit_lines(spark):
     sha = "a" * 40
-    lines = [f"{sha}\tAnn\ta@x\t2024-01-01\tSubject", "3\t1\tsrc/a.py", "-\t-\tlogo.png"]
+    lines = [f"\x1e{sha}\x1fp1 p2\x1fAnn\x1fa@x\x1f2024-01-01\x1fSubject", "3\t1\tsrc/a.py", "-\t-\tlogo.png"]
     got = history.commits_of_lines(spark.createDataFrame([("r", k, x) for k, x in enumerate(lines)], "repo string, line_no long, line string")).first()
     assert (got.sha, got.additions, got.deletions, [f.path for f in got.files]) == (sha, 3, 1, ["src/a.py", "logo.png"])
+    assert got.parents == ["p1", "p2"] and got.log_pos == 1
 
 
 def test_language_shares(spark):
