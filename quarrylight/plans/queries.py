@@ -15,6 +15,8 @@ from ..functions import scalars as S
 from ..operators import history, progress, targets, trees
 from ..registry import query
 from ..session import table
+from ..sources import platforms
+from . import classify
 
 BOT = "MACHINERY"
 
@@ -43,13 +45,60 @@ _DAYS = "CAST(floor((epoch_us({b}) - epoch_us({a})) / 86400000000.0) AS BIGINT)"
     FROM g""",
 )
 def repo_git_stats(spark, d):
-    g = _commits(spark, d).groupBy(F.col("r_name").alias("org"), F.col("n_name").alias("repo")).agg(
-        F.count(F.lit(1)).alias("total_commits"), F.min("o_orderdate").alias("f"), F.max("o_orderdate").alias("l"),
-        F.count_distinct("o_custkey").alias("authors"), F.count_if(F.col("c_mktsegment") == BOT).alias("bot_commit_count"),
+    rows = _stats(spark, d, 50).join(F.broadcast(_repos(spark, d)), "repo").withColumnRenamed("last_commit", "last_commit_date")
+    people = (F.col("human_authors") + F.col("bot_authors")).alias("authors")
+    return history.company_periods(rows).select(
+        "org", "repo", "total_commits", F.left("first_commit", F.lit(10)).alias("first_commit"), F.left("last_commit_date", F.lit(10)).alias("last_commit"), "span_days", people, "bot_commit_count", "company_period"
+    )
+
+
+_LOG = f"""
+    c AS (
+        SELECT n_name AS repo, o_orderkey AS sha, o_orderpriority AS p, strftime(o_orderdate, '%Y-%m-%d') AS author_date, o_orderdate AS t,
+            row_number() OVER w AS log_pos, lead(o_orderkey) OVER w AS one, lead(o_orderkey, 2) OVER w AS two
+        FROM {_COMMITS} WINDOW w AS (PARTITION BY n_name ORDER BY o_orderkey DESC)),
+    e AS (
+        SELECT *, list_filter(CASE p WHEN '1-URGENT' THEN [] WHEN '2-HIGH' THEN [one, two] ELSE [one] END, lambda x: x IS NOT NULL) AS parents FROM c)"""
+
+
+def _graph(spark, d) -> DataFrame:
+    """The same commits as a graph: a commit's parent is the one before it, a 2-HIGH one merges the two before it, a
+    1-URGENT one is a root."""
+    rows = _commits(spark, d)
+    w = Window.partitionBy("n_name").orderBy(F.desc("o_orderkey"))
+    near = rows.withColumn("log_pos", F.row_number().over(w)).withColumn("one", F.lead("o_orderkey").over(w)).withColumn("two", F.lead("o_orderkey", 2).over(w))
+    kind = F.col("o_orderpriority")
+    parents = F.when(kind == "1-URGENT", F.array().cast("array<bigint>")).when(kind == "2-HIGH", F.array_compact(F.array("one", "two"))).otherwise(F.array_compact(F.array("one")))
+    name, email = F.col("c_name"), F.col("c_custkey").cast("string")
+    return near.select(
+        F.col("n_name").alias("repo"), "log_pos", F.col("o_orderkey").cast("string").alias("sha"), parents.cast("array<string>").alias("parents"),
+        name.alias("author_name"), email.alias("author_email"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("author_date"),
     )
-    day = lambda c: F.date_format(c, "yyyy-MM-dd")
-    rows = g.withColumn("first_commit", day("f")).withColumn("last_commit_date", day("l")).withColumn("span_days", S.floor_days(F.col("f"), F.col("l")))
-    return history.company_periods(rows).withColumnRenamed("last_commit_date", "last_commit").drop("f", "l")
+
+
+@query(
+    "commit_graph",
+    f"""
+    WITH {_LOG},
+    x AS (SELECT DISTINCT repo, unnest(parents) AS sha FROM e),
+    n AS (SELECT repo, count(*) AS commits, count(*) FILTER (len(parents) = 0) AS roots, count(*) FILTER (len(parents) > 1) AS merges FROM e GROUP BY repo),
+    t AS (SELECT repo, count(*) AS tips FROM e ANTI JOIN x USING (repo, sha) GROUP BY repo)
+    SELECT repo, commits, roots, merges, coalesce(tips, 0) AS tips FROM n LEFT JOIN t USING (repo)""",
+)
+def commit_graph(spark, d):
+    return history.graph_facts(_graph(spark, d))
+
+
+@query(
+    "first_and_last_commit",
+    f"""
+    WITH {_LOG}
+    SELECT repo, arg_min(author_date, log_pos) FILTER (len(parents) = 0) AS first_commit, arg_min(author_date, log_pos) AS last_commit,
+        date_diff('day', arg_min(t, log_pos) FILTER (len(parents) = 0), arg_min(t, log_pos)) AS span_days
+    FROM e GROUP BY repo""",
+)
+def first_and_last_commit(spark, d):
+    return history.git_stats(_graph(spark, d), F.lit("2000-01-01").cast("timestamp")).select("repo", "first_commit", "last_commit", "span_days")
 
 
 @query(
@@ -65,6 +114,11 @@ def company_period(spark, d):
     return history.company_periods(g.select("org", "repo", day("f").alias("first_commit"), day("l").alias("last_commit_date"))).select("org", "repo", "company_period")
 
 
+def _repos(spark, d) -> DataFrame:
+    """(org, repo): 25 rows, whatever the scale."""
+    return table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("org"), F.col("n_name").alias("repo"))
+
+
 def _authored(spark, d) -> DataFrame:
     """The same commits as a clone gives them: repo, author_name, author_email, author_date; bots by their name."""
     name = F.concat("c_name", F.when(F.col("c_mktsegment") == BOT, F.lit(" renovate")).otherwise(F.lit("")))
@@ -91,7 +145,7 @@ def _stats(spark, d, top: int) -> DataFrame:
 @query(
     "bot_ratio",
     f"""SELECT n_name AS repo, count(*) AS commits, count(*) FILTER (c_mktsegment = '{BOT}') AS bot_commits,
-        round(count(*) FILTER (c_mktsegment = '{BOT}') / count(*), 4) AS bot_commit_ratio, count(DISTINCT o_custkey) AS contributor_count FROM {_COMMITS} GROUP BY ALL""",
+        CAST(printf('%.4f', count(*) FILTER (c_mktsegment = '{BOT}') / count(*)) AS DOUBLE) AS bot_commit_ratio, count(DISTINCT o_custkey) AS contributor_count FROM {_COMMITS} GROUP BY ALL""",
 )
 def bot_ratio(spark, d):
     people = F.col("human_authors") + F.col("bot_authors")
@@ -99,8 +153,8 @@ def bot_ratio(spark, d):
 
 
 def _top(spark, d, n):
-    rows = _stats(spark, d, n).select("repo", F.posexplode("authors").alias("at", "a"))
-    return rows.select("repo", F.col("a.name").alias("author"), F.col("a.commits").alias("commits"), (F.col("at") + 1).cast("long").alias("rank"))
+    rows = history.top_authors(history.author_tally(_authored(spark, d)), n)
+    return rows.select("repo", F.col("author_name").alias("author"), "commits", F.col("rank").cast("long").alias("rank"))
 
 
 _TOP = (
@@ -121,9 +175,13 @@ def top_authors_small(spark, d):
 
 @query("commit_churn", "SELECT l_orderkey AS sha, CAST(sum(l_quantity) AS BIGINT) AS additions, CAST(sum(l_linenumber) AS BIGINT) AS deletions, count(*) AS files FROM lineitem GROUP BY 1")
 def commit_churn(spark, d):
-    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("sha")).agg(
-        F.sum("l_quantity").cast("long").alias("additions"), F.sum("l_linenumber").alias("deletions"), F.count(F.lit(1)).alias("files")
-    )
+    items = table(spark, d, "lineitem")
+    fields = F.concat_ws(history.FIELD, F.col("l_orderkey").cast("string"), F.lit(""), F.lit("A"), F.lit("a@x"), F.lit("2024-01-01"), F.lit("Work"))
+    heads = items.select("l_orderkey").distinct().select(F.lit("all").alias("repo"), (F.col("l_orderkey") + 1).alias("log_pos"), F.lit(0).cast("long").alias("line_no"), F.concat(F.lit(history.HEADER), fields).alias("line"))
+    stat = F.concat_ws("\t", F.col("l_quantity").cast("long"), F.col("l_linenumber"), F.col("l_partkey"))
+    rows = items.select(F.lit("all").alias("repo"), (F.col("l_orderkey") + 1).alias("log_pos"), F.col("l_linenumber").cast("long").alias("line_no"), stat.alias("line"))
+    commits = history.commits_of_lines(heads.unionByName(rows))
+    return commits.select(F.col("sha").cast("long").alias("sha"), "additions", "deletions", F.size("files").cast("long").alias("files"))
 
 
 @query("commit_files_nested", "SELECT l_orderkey AS sha, count(*) AS files, CAST(sum(l_quantity) AS BIGINT) AS additions, CAST(sum(l_linenumber) AS BIGINT) AS deletions FROM lineitem GROUP BY 1")
@@ -151,13 +209,11 @@ def _languages(spark, d) -> DataFrame:
     "language_breakdown",
     f"""
     WITH g AS ({_LANG}), t AS (SELECT *, sum(size) OVER (PARTITION BY repo) AS total FROM g)
-    SELECT repo, string_agg(language || ':' || CAST(size * 1000 // total AS VARCHAR), '; ' ORDER BY size DESC, language) AS languages FROM t GROUP BY repo""",
+    SELECT repo, string_agg(language || ':' || printf('%.1f', 100.0::DOUBLE * size / total) || '%', '; ' ORDER BY size DESC, language) AS languages FROM t GROUP BY repo""",
 )
 def language_breakdown(spark, d):
-    total = F.sum("value").over(Window.partitionBy("full_name"))
-    rows = _languages(spark, d).withColumn("total", total)
-    part = F.struct((-F.col("value")).alias("k"), "language", F.concat("language", F.lit(":"), F.floor(F.col("value") * 1000 / F.col("total")).cast("string")).alias("s"))
-    return rows.groupBy(F.col("full_name").alias("repo")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["s"]), "; ").alias("languages"))
+    shares = trees.language_shares(_languages(spark, d).withColumn("map_pos", F.lit(0)))
+    return shares.select(F.col("full_name").alias("repo"), F.col("languages_breakdown").alias("languages"))
 
 
 @query("primary_language", f"SELECT repo, arg_min(language, (-size, language)) AS primary_language FROM ({_LANG}) GROUP BY repo")
@@ -235,8 +291,7 @@ def merged_in_range(spark, d):
 
 @query("run_ok_failed", "SELECT user_id AS run, count(*) FILTER (event_type = 'purchase') AS ok, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY 1")
 def run_ok_failed(spark, d):
-    of = lambda k: F.count_if(F.col("event_type") == k)
-    return table(spark, d, "events").groupBy(F.col("user_id").alias("run")).agg(of("purchase").alias("ok"), of("error").alias("failed"))
+    return progress.progress(_log(spark, d), "run").select("run", F.col("completed").alias("ok"), "failed")
 
 
 @query("clone_stats", "SELECT user_id AS target, count(*) AS listed, count(*) FILTER (event_type = 'purchase') AS cloned, count(*) FILTER (event_type = 'signup') AS skipped, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY 1")
@@ -265,23 +320,87 @@ def progress_fold(spark, d):
     return progress.progress(_log(spark, d), "run")
 
 
+def _events(spark, d) -> DataFrame:
+    """Events of runs: a view names the summary, a click is a run's object, a sale above 250 ends it with its code."""
+    kind, n = F.col("event_type"), F.col("event_id").cast("string")
+    made = F.concat(F.lit('{"run_dir": "/out/'), n, F.lit('", "ok": '), F.length(n).cast("string"), F.lit("}"))
+    line = F.when(kind == "view", F.concat(F.lit("Done. summary=/out/"), n, F.lit("/summary.csv"))).when((kind == "click") & (F.col("value") > 100), made)
+    ends = (kind == "purchase") & (F.col("value") > 250)
+    code = F.when(ends, F.when(F.col("value") > 300, 0).otherwise(1))
+    rows = _log(spark, d).join(table(spark, d, "events").select(F.col("event_id").alias("seq"), line.alias("more"), ends.alias("ends"), code.alias("returncode")), "seq")
+    return rows.select(F.col("run").cast("string").alias("run"), "seq", F.when(~F.col("ends"), F.coalesce("more", "line")).alias("line"), "returncode")
+
+
+@query(
+    "run_state",
+    """
+    WITH e AS (
+        SELECT user_id AS run, event_id AS i, event_type AS k, value, event_type = 'purchase' AND value > 250 AS ends, event_type = 'click' AND value > 100 AS made FROM events),
+    g AS (
+        SELECT run, count(*) FILTER (k = 'purchase' AND NOT ends) AS completed, count(*) FILTER (k = 'error') AS failed,
+            coalesce(max(i) FILTER (k = 'signup'), 0)::INTEGER AS total, max(i) FILTER (k IN ('purchase', 'error') AND NOT ends) AS c,
+            max(i) FILTER (k = 'view') AS s, max(i) FILTER (made) AS m, arg_max(CASE WHEN value > 300 THEN 0 ELSE 1 END, i) FILTER (ends) AS code
+        FROM e GROUP BY run)
+    SELECT run::VARCHAR AS run, CASE WHEN code = 0 THEN 'completed' WHEN code IS NULL THEN 'running' ELSE 'failed' END AS phase, code AS returncode, total, completed, failed,
+        CASE WHEN total > 0 THEN trunc((completed + failed)::DOUBLE / total * 100) ELSE 0 END::INTEGER AS percent, coalesce('r/' || c, '') AS current,
+        '/out/' || s || '/summary.csv' AS summary_path, '/out/' || coalesce(m, s) AS run_dir, length(m::VARCHAR) AS repos_ok
+    FROM g""",
+)
+def run_state(spark, d):
+    states = progress.run_state(_events(spark, d))
+    return states.select("run", "phase", "returncode", "total", "completed", "failed", "percent", "current", "summary_path", "run_dir", "repos_ok")
+
+
 @query("log_tail", "SELECT run, seq FROM (SELECT user_id AS run, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n <= 3")
 def log_tail(spark, d):
     return progress.log_tail(_log(spark, d), 3, "run").select("run", "seq")
 
 
-@query("detectors", "SELECT source AS repo, bool_or(regexp_matches(text, '\\bidiot\\b')) AS a, bool_or(text LIKE '%License%') AS b, bool_or(regexp_matches(lower(text), 'password|token')) AS c FROM documents GROUP BY 1")
+_FILES = """
+    f AS (
+        SELECT 'NATION_' || source[4:] AS repo, doc_id, n_chars, text, lang,
+            CASE lang WHEN 'de' THEN 'tests/test_' || doc_id || '.py' WHEN 'fr' THEN '.github/workflows/' || doc_id || '.yml' WHEN 'es' THEN 'lib/' || doc_id || '.go' ELSE 'src/' || doc_id || '.py' END AS path
+        FROM documents)"""
+
+
+def _files(spark, d) -> DataFrame:
+    """Documents as files: German ones are tests, French ones run them, Spanish ones are a library."""
+    n, lang = F.col("doc_id").cast("string"), F.col("lang")
+    path = (
+        F.when(lang == "de", F.concat(F.lit("tests/test_"), n, F.lit(".py"))).when(lang == "fr", F.concat(F.lit(".github/workflows/"), n, F.lit(".yml")))
+        .when(lang == "es", F.concat(F.lit("lib/"), n, F.lit(".go"))).otherwise(F.concat(F.lit("src/"), n, F.lit(".py")))
+    )
+    return table(spark, d, "documents").select(
+        F.concat(F.lit("NATION_"), F.substring("source", F.lit(4), F.length("source"))).alias("repo"), path.alias("path"),
+        F.col("n_chars").alias("bytes"), S.line_count(F.col("text")).alias("lines"), F.col("text").alias("sample"), F.col("doc_id"),
+    )
+
+
+@query(
+    "detectors",
+    f"""
+    WITH {_FILES}, l AS (SELECT repo, path, lang, {_LINES} AS n FROM f)
+    SELECT repo, bool_or(lang = 'de') AS has_tests, bool_or(lang = 'fr') AS has_ci_cd, bool_or(lang = 'es') AS has_library_code, false AS has_test_runner,
+        CASE WHEN sum(n) FILTER (lang IN ('en', 'es')) > 0
+            THEN CAST(printf('%.1f', 100.0::DOUBLE * coalesce(sum(n) FILTER (lang = 'de'), 0) / sum(n) FILTER (lang IN ('en', 'es'))) AS DOUBLE) END AS test_source_loc_pct
+    FROM l GROUP BY repo""",
+)
 def detectors(spark, d):
-    t = F.col("text")
-    return table(spark, d, "documents").groupBy(F.col("source").alias("repo")).agg(
-        F.bool_or(t.rlike(r"\bidiot\b")).alias("a"), F.bool_or(t.contains("License")).alias("b"), F.bool_or(F.lower(t).rlike("password|token")).alias("c")
-    )
+    return trees.tree_facts(_files(spark, d)).select("repo", "has_tests", "has_ci_cd", "has_library_code", "has_test_runner", "test_source_loc_pct")
 
 
-@query("test_path_predicate", "SELECT page_id, list_contains(string_split(lower(url), '/'), 'fr') AS part, lower(url) LIKE '%.html' AS suffix, contains(lower(url), 'blog') AS hint FROM pages")
+@query(
+    "test_path_predicate",
+    """
+    WITH p AS (SELECT page_id, lower(replace(replace(url, '/de/', '/Tests/'), '/fr/', '/src/test_')) AS p FROM pages)
+    SELECT page_id, len(list_filter(string_split(p, '/'), lambda x: x IN ('test', 'tests', 'spec', 'specs', '__tests__'))) > 0
+        OR starts_with(string_split(p, '/')[-1], 'test_') AS strict,
+        len(list_filter(string_split(p, '/')[:-2], lambda x: contains(x, 'test') OR contains(x, 'spec'))) > 0 OR starts_with(string_split(p, '/')[-1], 'test_') AS loose
+    FROM p""",
+)
 def test_path_predicate(spark, d):
-    low = F.lower("url")
-    return table(spark, d, "pages").select("page_id", F.array_contains(F.split(low, "/"), "fr").alias("part"), low.endswith(".html").alias("suffix"), F.contains(low, F.lit("blog")).alias("hint"))
+    path = F.replace(F.replace(F.col("url"), F.lit("/de/"), F.lit("/Tests/")), F.lit("/fr/"), F.lit("/src/test_"))
+    return table(spark, d, "pages").select("page_id", P.is_test_path(path).alias("strict"), P.shows_tests(path).alias("loose"))
 
 
 @query("bot_login", "SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN true WHEN coalesce(role, '') = '' THEN false ELSE contains(lower(role), 'bot') END AS is_bot FROM conversations")
@@ -387,37 +506,77 @@ def unclassified(spark, d):
 
 @query("member_count", "SELECT n_name AS repo, count(s_suppkey) AS members FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
 def member_count(spark, d):
-    count = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("members"))
-    return table(spark, d, "nation").join(count, F.col("n_nationkey") == F.col("s_nationkey"), "left").select(F.col("n_name").alias("repo"), F.coalesce("members", F.lit(0)).alias("members"))
+    n = table(spark, d, "nation")
+    blank = [F.lit("").alias(c) for c in ("repo_created_at", "primary_language", "default_branch")]
+    repos = n.select(F.col("n_name").alias("full_name"), *blank, F.lit(0).alias("size_kb"))
+    people = table(spark, d, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("repo"), F.col("s_name").alias("login"))
+    return platforms.facts(repos, people, repos.select(F.col("full_name").alias("repo"), F.lit(0).alias("merged"))).select("repo", F.col("contributor_count").alias("members"))
 
 
-@query("mr_enrichment", "SELECT d.doc_id AS iid, coalesce(quality, -1) AS quality, coalesce(toxic, -1) AS toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+@query(
+    "mr_enrichment",
+    """
+    WITH n AS (SELECT conv_id AS iid, count(*) AS n, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY 1),
+    c AS (SELECT item_id AS iid, count(*) AS n FROM benchmark GROUP BY 1)
+    SELECT d.doc_id AS iid, coalesce('quality ' || quality, 'merged') AS state, contains(source, 'bot') AS author_is_bot, coalesce(n.n, 0) AS notes,
+        coalesce(roles, '') AS roles, coalesce(c.n, 0) AS changes
+    FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN n ON n.iid = d.doc_id LEFT JOIN c ON c.iid = d.doc_id""",
+)
 def mr_enrichment(spark, d):
-    rows = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
-    return rows.select(F.col("doc_id").alias("iid"), F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"))
+    person = F.struct(F.col("source").alias("username")).alias("author")
+    requests = table(spark, d, "documents").select(F.col("doc_id").alias("iid"), F.lit("merged").alias("state"), person)
+    detail = table(spark, d, "labels").select(F.col("doc_id").alias("iid"), F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("state"), F.lit(None).cast("struct<username:string>").alias("author"))
+    notes = table(spark, d, "conversations").select(F.col("conv_id").alias("iid"), F.col("turn").alias("seq"), F.col("role").alias("note"))
+    changes = table(spark, d, "benchmark").select(F.col("item_id").alias("iid"), F.col("text").alias("change"))
+    rows = history.enrich_requests(requests, detail, notes, changes)
+    return rows.select("iid", "state", "author_is_bot", F.size("notes").cast("long").alias("notes"), F.array_join("notes", ",").alias("roles"), F.size("changes").cast("long").alias("changes"))
 
 
 _SUMMARY = f"""
-    WITH g AS (SELECT n_nationkey AS k, count(*) AS total_commits, max(o_orderdate) AS l, count(*) FILTER (o_orderstatus = 'F') AS merged_prs FROM {_COMMITS} WHERE n_nationkey % 7 > 0 GROUP BY 1)
-    SELECT r_name AS org, n_name AS repo, coalesce(merged_prs, 0) AS merged_prs, total_commits, strftime(l, '%Y-%m-%d') AS last_commit_date, CAST(0 AS BIGINT) AS loc,
-        false AS has_tests, CASE WHEN k IS NULL THEN 'no commits' END AS error
-    FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN g ON k = n_nationkey"""
+    WITH {_FILES.strip()},
+    c AS (
+        SELECT n_name AS repo, o_custkey AS author, c_mktsegment = '{BOT}' AS bot, o_orderstatus AS status, strftime(o_orderdate, '%Y-%m-%d') AS day,
+            row_number() OVER (PARTITION BY n_name ORDER BY o_orderkey DESC) AS log_pos
+        FROM {_COMMITS}),
+    g AS (
+        SELECT repo, count(*) AS total_commits, arg_max(day, log_pos) AS first_commit, arg_min(day, log_pos) AS last_commit_date, count(DISTINCT author) AS contributor_count,
+            count(DISTINCT author) FILTER (status = 'F') AS merged_prs
+        FROM c GROUP BY repo),
+    t AS (SELECT repo, count(*) AS total_files, bool_or(lang = 'de') AS has_tests, CAST(round_even(sum(n_chars) / 1024, 0) AS BIGINT) AS size_kb FROM f GROUP BY repo),
+    l AS (SELECT n_name AS repo, sum(p_size)::BIGINT AS loc FROM part JOIN nation ON n_nationkey = p_size GROUP BY 1),
+    e AS (SELECT n_name AS repo, 'overdrawn: ' || min(c_custkey) AS error FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < -900 GROUP BY 1)
+    SELECT r_name AS org, n_name AS repo, coalesce(merged_prs, 0) AS merged_prs, total_commits, first_commit, last_commit_date, contributor_count, coalesce(loc, 0) AS loc,
+        CASE WHEN error IS NULL THEN size_kb END AS size_kb, CASE WHEN error IS NULL THEN coalesce(total_files, 0) ELSE 0 END AS total_files,
+        error IS NULL AND coalesce(has_tests, false) AS has_tests, error
+    FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN g ON g.repo = n_name LEFT JOIN t ON t.repo = n_name LEFT JOIN l ON l.repo = n_name LEFT JOIN e ON e.repo = n_name"""
 
 
 def _summary(spark, d) -> DataFrame:
+    """The summary of all tables: a status F is a squash of its author's change, parts are lines of the repository that
+    their size numbers, and an overdrawn account fails its repository's file tree."""
     from . import summary
 
-    g = _commits(spark, d).where("n_nationkey % 7 > 0").groupBy("n_name").agg(
-        F.count(F.lit(1)).alias("total_commits"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("last_commit_date"), F.count_if(F.col("o_orderstatus") == "F").alias("merged_prs")
-    )
-    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("org"), "n_name")
-    rows = n.join(g, "n_name", "left").withColumnRenamed("n_name", "repo")
-    return summary.fill(rows.withColumn("error", F.when(F.col("total_commits").isNull(), "no commits")))
+    nation = table(spark, d, "nation")
+    w = Window.partitionBy("n_name").orderBy(F.desc("o_orderkey"))
+    subject = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("Work (#"), F.col("o_custkey").cast("string"), F.lit(")"))).otherwise(F.lit("Work"))
+    commits = _commits(spark, d).select(
+        F.col("n_name").alias("repo"), F.row_number().over(w).alias("log_pos"), F.col("o_orderkey").cast("string").alias("sha"), F.col("c_name").alias("author_name"),
+        F.col("c_custkey").cast("string").alias("author_email"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("author_date"), subject.alias("subject"), F.lit("").alias("body"),
+    )
+    lines = table(spark, d, "part").join(F.broadcast(nation), F.col("p_size") == F.col("n_nationkey")).select(F.col("n_name").alias("repo"), F.col("p_type").alias("language"), F.col("p_size").cast("long").alias("code"))
+    owing = table(spark, d, "customer").where("c_acctbal < -900").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    errors = owing.groupBy(F.col("n_name").alias("repo")).agg(F.concat(F.lit("overdrawn: "), F.min("c_custkey").cast("string")).alias("error")).withColumn("stage", F.lit(summary.TREE))
+    targets_ = _repos(spark, d).withColumnRenamed("repo", "full_name")
+    none = spark.createDataFrame([], "full_name string, map_pos int, language string, value double")
+    return summary.summary(targets_, commits, _files(spark, d), none, lines, F.lit("2000-01-01").cast("timestamp"), errors)
+
+
+_SUMMARY_COLUMNS = "org repo merged_prs total_commits first_commit last_commit_date contributor_count loc size_kb total_files has_tests error".split()
 
 
 @query("summary_row", _SUMMARY)
 def summary_row(spark, d):
-    return _summary(spark, d).select("org", "repo", "merged_prs", "total_commits", "last_commit_date", "loc", "has_tests", "error")
+    return _summary(spark, d).select(*_SUMMARY_COLUMNS)
 
 
 @query("failures", f"SELECT org, repo, error FROM ({_SUMMARY}) WHERE length(error) > 0")
@@ -427,6 +586,13 @@ def failures(spark, d):
     return summary.failures(_summary(spark, d))
 
 
+@query("outcome_counts", f"SELECT count(*) AS repos, count(*) FILTER (error IS NULL) AS ok, count(*) FILTER (length(error) > 0) AS failed FROM ({_SUMMARY})")
+def outcome_counts(spark, d):
+    from . import summary
+
+    return summary.outcome_counts(_summary(spark, d))
+
+
 @query("summary_top", f"SELECT org, repo, total_commits FROM ({_SUMMARY}) ORDER BY org, repo LIMIT 10")
 def summary_top(spark, d):
     return _summary(spark, d).orderBy("org", "repo").limit(10).select("org", "repo", "total_commits")
@@ -450,17 +616,38 @@ def redact_arguments(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.array_join(S.redact_arguments(arguments, ("--token",)), " ").alias("safe"))
 
 
-@query("llm_normalise", "SELECT doc_id, CASE WHEN quality = 1 THEN 'library' ELSE 'other' END AS repo_type FROM labels")
+@query("llm_normalise", "SELECT doc_id, CASE WHEN quality = 1 THEN 'library_sdk' ELSE 'other' END AS repo_type FROM labels")
 def llm_normalise(spark, d):
-    raw = F.when(F.col("quality") == 1, " Library ").otherwise("nonsense")
-    return table(spark, d, "labels").select("doc_id", S.normalised_type(raw, ("library", "service")).alias("repo_type"))
+    raw = F.when(F.col("quality") == 1, " Library_SDK ").otherwise("nonsense")
+    return table(spark, d, "labels").select("doc_id", S.normalised_type(raw, classify.TYPES).alias("repo_type"))
 
 
 @query(
     "evidence_sample",
-    "SELECT source AS repo, doc_id, left(text, 1500) AS content FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE n_chars <= 250000 AND length(text) > 0) WHERE n <= 4",
+    f"""
+    WITH {_FILES.strip()},
+    s AS (
+        SELECT repo, path, text, row_number() OVER (PARTITION BY repo ORDER BY ['1' || string_split(path, '/')[1], '0' || string_split(path, '/')[2]]) AS n
+        FROM f WHERE lang IN ('en', 'es') AND n_chars <= 250000 AND length(text) > 0)
+    SELECT repo, path, left(text, 1500) AS content FROM s WHERE n <= 4""",
 )
 def evidence_sample(spark, d):
-    rows = table(spark, d, "documents").where((F.col("n_chars") <= 250_000) & (F.length("text") > 0))
-    rank = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return rows.withColumn("n", rank).where("n <= 4").select(F.col("source").alias("repo"), "doc_id", F.left("text", F.lit(1500)).alias("content"))
+    rows = trees.evidence(_files(spark, d)).select("repo", F.explode("source_excerpts").alias("x"))
+    return rows.select("repo", "x.path", "x.content")
+
+
+@query(
+    "evidence_paths",
+    f"""
+    WITH {_FILES.strip()},
+    p AS (SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY string_split(path, '/')[:-2], string_split(path, '/')[-1]) AS n FROM f),
+    q AS (SELECT repo, string_agg(path, ' ' ORDER BY n) AS file_paths FROM p WHERE n <= 250 GROUP BY repo)
+    SELECT n_name AS repo, file_paths, n_regionkey AS loc, true AS has_tests FROM q JOIN nation ON n_name = repo""",
+)
+def evidence_paths(spark, d):
+    facts = table(spark, d, "nation").select(
+        F.col("n_name").alias("repo"), F.lit("o").alias("org"), F.lit("").alias("primary_language"), F.lit("").alias("languages_breakdown"),
+        F.col("n_regionkey").alias("loc"), F.lit(1).alias("total_commits"), F.lit(True).alias("has_tests"),
+    )
+    rows = trees.with_repository(trees.evidence(_files(spark, d)), facts)
+    return rows.where("repository is not null").select("repo", F.array_join("file_paths", " ").alias("file_paths"), "repository.loc", "repository.has_tests")
\ No newline at end of file

@@ -63,10 +63,11 @@ class RunFold(StatefulProcessor):
         lines = [(int(n), x) for n, x in lines]
         self.held.update(tuple(facts[c.split()[0]] for c in _HELD.split(", ")))
         self.lines.put(lines) if lines else self.lines.clear()
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if self.idle_ms and facts["returncode"] is None:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        if self.idle_ms:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            if facts["returncode"] is None:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
         yield from self._out(key, facts, lines)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -84,17 +85,22 @@ def run_states(events: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
     Events may come in any order: places in the log decide. `idle_ms` 0 sets no timer.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    folded = marked(events).groupBy("run").transformWithStateInPandas(RunFold(idle_ms), "run string, " + STATE, "Update", "ProcessingTime")
+    folded = marked(events).groupBy("run").transformWithStateInPandas(RunFold(idle_ms), "run string, " + STATE, "Update", "ProcessingTime" if idle_ms else "None")
     return described(folded)
 
 
 def start(states: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Write what changes in each batch to a folder of `out` named by the batch, over a half-written one of the same
-    number, until all that is there is read; a restart goes on from the checkpoint."""
+    number, until all that is there is read; a restart goes on from the checkpoint.
+
+    Batches without data, which would wait for timers without an end, are turned off for the query: a timer fires with
+    the next batch that has any.
+    """
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
+    states.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     return states.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
