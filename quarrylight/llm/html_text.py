@@ -6,16 +6,20 @@ and the share of its characters that are links. Blocks that are too short to tel
 block inherits from the nearest neighbour that was decided by its own text; a tie is decided for text. On a page with
 an article only blocks within it are asked, and what has no such neighbour there is text.
 
-Class names and ids of whole pages and of articles say nothing about their text. If a page has no text by these rules
-(its language has no stop words here, or a name marks the element that holds everything), long blocks with few links
-are text, and then names are left out, too, but for those of adverts, notices and comments.
+An element is judged by its text before its name: a class name, an id or a form marks boilerplate only if the element
+does not hold most of the page's prose; names of adverts, notices and comments always do. Names of whole pages and of
+articles say nothing. Where articles hold most of the prose, nothing outside them is text. Links in a row are a menu
+wherever they stand, with the heading over them. A header's text is none, an article's own header included. If a page
+has no text by these rules (its language has no stop words here), long blocks with few links are text.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,8 +29,12 @@ from pyspark.sql import functions as F
 MUTE = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "title", "textarea", "select", "button"}
 #: Elements whose text is boilerplate.
 SIDE = {"nav", "footer", "aside", "form", "header", "menu", "dialog"}
-#: Elements within which open blocks are text.
-MAIN = {"article", "main"}
+#: Those of them that may hold a whole page, as some servers write them.
+WRAPS = {"form"}
+#: Elements within which open blocks are text, and those that end at them if their own end tag is missing.
+MAIN, ENDED = {"article", "main"}, {"nav", "header", "aside", "footer", "menu"}
+#: Elements that name what follows them.
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "dt", "caption", "legend", "summary"}
 #: Elements that end a block. Others (b, i, a, span ...) are part of one.
 BREAK = set(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 "
@@ -55,6 +63,8 @@ STOP = frozenset(
 )
 #: Shorter blocks are open; so are those without enough stop words. Longer ones may hold so many links.
 SHORT, STOP_SHARE, LINK_SHARE = 60, 0.12, 0.33
+#: What the last line of a page says about rights.
+_RIGHTS = re.compile(r"©|\(c\) *\d{4}|\bcopyright +\d{4}|all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados", re.I)
 _SPACE = " \t\n\r\x0b\x0c"
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -69,21 +79,34 @@ def hinted(attributes: str, hints: set[str] = HINTS) -> bool:
     return False
 
 
-def blocks(html: str, hints: set[str] = HINTS) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters of it in links, boilerplate by its place, within an article) of each non-empty block."""
-    out: list[tuple[str, int, bool, bool]] = []
+class Block(NamedTuple):
+    """A non-empty block: its text, its characters in links, whether its place makes it boilerplate, the named elements
+    that would (by number), whether it lies within an article, and whether it is a heading."""
+
+    text: str
+    linked: int
+    side: bool
+    named: tuple[int, ...]
+    main: bool
+    heading: bool
+
+
+def blocks(html: str) -> list[Block]:
+    """The blocks of a page, in order."""
+    out: list[Block] = []
     parts: list[str] = []
     linked, at, end = 0, 0, len(html)
-    stack: list[tuple[str, bool]] = []  # open elements that count, and whether they are boilerplate
+    stack: list[tuple[str, bool, int]] = []  # open elements that count: name, boilerplate for sure, number if by its name
     opened: dict[str, int] = {}
     unclosed: set[str] = set()
-    side = main = link = 0
+    tags: dict[str, list[list[int]]] = {}
+    side = main = link = heading = numbers = 0
 
     def close() -> None:
         nonlocal linked
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            out.append((text, linked, side > 0, main > 0))
+            out.append(Block(text, linked, side > 0, tuple(n for _, _, n in stack if n), main > 0, heading > 0))
         parts.clear()
         linked = 0
 
@@ -95,11 +118,12 @@ def blocks(html: str, hints: set[str] = HINTS) -> list[tuple[str, int, bool, boo
                 linked += len(raw.strip(_SPACE))
 
     def leave() -> str:
-        nonlocal side, main
-        name, bad = stack.pop()
+        nonlocal side, main, heading
+        name, sure, _ = stack.pop()
         opened[name] -= 1
-        side -= bad
+        side -= sure
         main -= name in MAIN
+        heading -= name in HEADINGS
         return name
 
     def ending(name: str) -> int:
@@ -111,6 +135,13 @@ def blocks(html: str, hints: set[str] = HINTS) -> list[tuple[str, int, bool, boo
             unclosed.add(name)
         return end if name in ("script", "style") else at
 
+    def left_open(name: str) -> bool:
+        """Whether fewer elements of a name end from here on than begin, besides the open ones."""
+        if name not in tags:
+            tags[name] = [[m.start() for m in re.finditer(rf"<{mark}{name}\b", html, re.I)] for mark in ("", "/")]
+        begins, ends = (len(x) - bisect_left(x, at) for x in tags[name])
+        return ends < begins + opened[name]
+
     while at < end:
         m = _TAG.search(html, at)
         if not m:
@@ -142,25 +173,43 @@ def blocks(html: str, hints: set[str] = HINTS) -> list[tuple[str, int, bool, boo
             continue
         if name in BREAK and stack and stack[-1][0] in ("p", "li") and (stack[-1][0] == "p" or name == "li"):
             leave()  # its end tag may be left out
+        if name in MAIN:
+            while stack and stack[-1][0] in ENDED and left_open(stack[-1][0]):
+                leave()
         asked = "=" in m[3] and (name not in WHOLE or (name == "article" and main))
-        bad = name in SIDE or (asked and hinted(m[3], hints))
-        if not bad and name not in MAIN and not opened.get(name):
+        sure = (name in SIDE and name not in WRAPS) or (asked and hinted(m[3], FIRM))
+        by_name = not sure and (name in WRAPS or (asked and hinted(m[3])))
+        if not sure and not by_name and name not in MAIN and name not in HEADINGS and not opened.get(name):
             continue  # nothing hangs on where it ends
-        stack.append((name, bad))
+        numbers += by_name
+        stack.append((name, sure, numbers if by_name else 0))
         opened[name] = opened.get(name, 0) + 1
-        side += bad
+        side += sure
         main += name in MAIN
+        heading += name in HEADINGS
     close()
     return out
 
 
-def decided(text: str, linked: int, side: bool, main: bool) -> bool | None:
-    """First pass: whether a block is main text, or None if it is open."""
+def is_prose(text: str) -> bool:
+    """Whether a text is long and has the stop words of running text."""
     words = text.lower().split()
-    told = len(text) >= SHORT and sum(w.strip(".,;:!?") in STOP for w in words) >= STOP_SHARE * len(words)
-    if side or linked > LINK_SHARE * len(text):
-        return None if told and main and not side else False  # an article's sentence may be a link
-    return True if told else None
+    return len(text) >= SHORT and sum(w.strip(".,;:!?") in STOP for w in words) >= STOP_SHARE * len(words)
+
+
+def is_links(b: Block) -> bool:
+    return b.linked > LINK_SHARE * len(b.text)
+
+
+def placed(found: list[Block], prose: list[bool]) -> list[bool]:
+    """Whether each block is boilerplate by its place or by the name of an element that doesn't hold most of the prose."""
+    weight = [len(b.text) if p and not b.side and not is_links(b) else 0 for b, p in zip(found, prose)]
+    held: dict[int, int] = {}
+    for b, w in zip(found, weight):
+        for n in b.named:
+            held[n] = held.get(n, 0) + w
+    most = sum(weight)
+    return [b.side or any(2 * held[n] <= most for n in b.named) for b in found]
 
 
 def nearest(own: list[bool | None]) -> list[bool | None]:
@@ -177,15 +226,32 @@ def nearest(own: list[bool | None]) -> list[bool | None]:
     return [b and not b[1] for b in best]
 
 
-def verdicts(found: list[tuple[str, int, bool, bool]], lenient: bool = False) -> list[bool]:
+def verdicts(found: list[Block], lenient: bool = False) -> list[bool]:
     """Whether each block is main text; `lenient`: long blocks with few links are, whatever their words."""
-    article = any(f[3] for f in found)
-    first = [decided(*f) for f in found]
-    if lenient:
-        first = [True if v is None and len(f[0]) >= SHORT else v for f, v in zip(found, first)]
+    prose = [is_prose(b.text) or (lenient and len(b.text) >= SHORT) for b in found]
+    side = placed(found, prose)
+    links = [is_links(b) for b in found]
+    inside = [0 if s or k or not p else len(b.text) for b, p, s, k in zip(found, prose, side, links)]
+    article = any(b.main for b in found)
+    # an article that is but a part of the prose, such as a teaser, says nothing about the rest
+    gated = article and 2 * sum(n for b, n in zip(found, inside) if b.main) >= sum(inside)
+
+    def first(k: int) -> bool | None:
+        """First pass: whether a block is main text, or None if it is open."""
+        b = found[k]
+        if side[k] or (gated and not b.main) or (not b.main and len(b.text) < 2 * SHORT and _RIGHTS.search(b.text)):
+            return False
+        row = any(links[j] and not side[j] for j in (k - 1, k + 1) if 0 <= j < len(found))
+        if links[k]:
+            return None if prose[k] and b.main and not row else False  # an article's sentence may be a link, a row of them is a menu
+        if b.heading and k + 2 < len(found) and links[k + 1] and links[k + 2]:
+            return False
+        return True if prose[k] else None
+
+    own = [first(k) for k in range(len(found))]
     # who is asked: blocks that their own text decided, on a page with an article those within it
-    near = nearest([v if not side and main >= article else None for v, (_, _, side, main) in zip(first, found)])
-    return [(main if n is None else n and main >= article) if v is None else v for v, n, (_, _, _, main) in zip(first, near, found)]
+    near = nearest([v if not s and b.main >= gated else None for v, s, b in zip(own, side, found)])
+    return [(b.main if n is None else n and b.main >= gated) if v is None else v for v, n, b in zip(own, near, found)]
 
 
 def main_text(html: str | None) -> str:
@@ -194,10 +260,7 @@ def main_text(html: str | None) -> str:
     kept = verdicts(found)
     if not any(kept):
         kept = verdicts(found, True)
-    if found and not any(kept):
-        found = blocks(html or "", FIRM)
-        kept = verdicts(found, True)
-    return " ".join(f[0] for f, v in zip(found, kept) if v)
+    return " ".join(b.text for b, v in zip(found, kept) if v)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

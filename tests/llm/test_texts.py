@@ -40,6 +40,51 @@ def test_random_characters_beside_a_base_span_go_too(spark):
     assert {r.doc_id: r.text for r in secrets.redact(df).collect()} == {1: "id [SECRET] end", 2: "[SECRET]"}
 
 
+PROSE = [
+    "The one and the other of it all is here for you and me to see now, and it was the best of the lot for all to read.",
+    "It is the second of the parts that the man in the house has to say to us, and that is it for the day and the night.",
+    "There was a time when all of it was in the hands of the few, but that is not how it is with the many of today.",
+]
+HEADLINE = "A headline that is long enough to be taken for the text of it all"
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ("<div class='social news'><p>{0}</p><p>{1}</p></div><aside>Box on the side</aside>", [0, 1]),
+        ("<nav><a href=x>one</a><article><p>{0}</p></article>", [0]),
+        ("<aside><article><a href=x>{h}</a></article></aside><div><p>{0}</p><p>{1}</p></div>", [0, 1]),
+        ("<main><p>{0}</p><h3>Read more</h3><ul><li><a href=1>{h}</a></li><li><a href=2>{h} too</a></li></ul></main>", [0]),
+        ("<article><p>{0}</p><p>{1}</p></article><div>{2}</div>", [0, 1]),
+        ("<article><header><h1>Title</h1></header><p>{0}</p></article>", [0]),
+        ("<p>{0}</p><p>{1}</p><p>All rights reserved 2020</p>", [0, 1]),
+        ("<form id=page><div id=menu><a href=x>Home</a></div><p>{0}</p><p>{1}</p></form>", [0, 1]),
+        ("<p>{0}</p><div id=comments><p>{1}</p><p>{2}</p><p>{1}</p></div>", [0]),
+        ("<div class=sidebar><p>{0}</p></div><div><p>{1}</p><p>{2}</p></div>", [1, 2]),
+    ],
+)
+def test_places_and_names(html, want):
+    assert html_text.main_text(html.format(*PROSE, h=HEADLINE)) == " ".join(PROSE[k] for k in want)
+
+
+def test_generated_pages_without_an_article():
+    """Pages put together from parts whose labels are known: what comes out is the paragraphs, in order."""
+    rng = random.Random(8)
+    small = "the of and to in is that it was for on with he as at by from this".split()
+    large = "river market engine window garden letter winter doctor paper signal".split()
+    for _ in range(300):
+        sentence = lambda n: " ".join(rng.choice(small if rng.random() < 0.5 else large) for _ in range(n)).capitalize() + "."
+        links = lambda n, words: "".join(f"<li><a href='/{k}'>{sentence(words)}</a></li>" for k in range(n))
+        paragraphs = [sentence(rng.randint(20, 60)) for _ in range(rng.randint(2, 6))]
+        mess = lambda t: t.replace(" of ", " <i>of</i> ", 1).replace(" and ", " &#97;nd\n\t", 1)
+        body = "".join(f"<p>{mess(t)}" + rng.choice(["</p>", ""]) for t in paragraphs)
+        before = rng.sample([f"<nav><ul>{links(5, 2)}</ul></nav>", f"<header><h1>{sentence(3)}</h1><p>{sentence(25)}</p></header>", f"<div class='ad-box'>{sentence(30)}</div>", "<script>var t='<p>of the and</p>';</script>", f"<div id='cookie-notice'><p>{sentence(40)}</p></div>"], rng.randint(0, 4))
+        after = rng.sample([f"<div><h4>Read more</h4><ul>{links(4, 14)}</ul></div>", f"<section class='comments'><p>{sentence(50)}</p><p>{sentence(50)}</p></section>", f"<footer><p>{sentence(30)}</p></footer>", f"<form><label>{sentence(3)}</label><input><button>Go</button></form>", "<p>&copy; 2021 Somebody</p>"], rng.randint(0, 4))
+        wrap = rng.choice(["{}", "<div>{}</div>", "<div class='content'><div>{}</div></div>", "<div class='widget page'>{}</div>", "<table><tr><td>{}</td></tr></table>"])
+        page = f"<html><body>{''.join(before)}{wrap.format(body)}{''.join(after)}</body></html>"
+        assert html_text.main_text(page) == " ".join(paragraphs), page
+
+
 def test_entropy_of_windows(spark):
     texts = ["a" * 30, "kJ8sD0fLq2ZxC7vB9nM1", "abab" * 200 + "kJ8sD0fLq2ZxC7vB9nM1" + "ab" * 300, "short"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(secrets.peak_bits(F.col("t")).alias("p")).collect()
