@@ -3,10 +3,12 @@
 Unit vectors with cosine c lie at squared distance 2 - 2c. Vectors are rotated and split into blocks of few
 dimensions; each block gets the share of the squared distance that its dimensions have of all. Two vectors within
 the distance are within the share in one block at least, so the union of the range joins of all blocks loses no
-pair. A range join lays a grid over a block's first dimensions: each vector lives in one cell and visits all cells
-that its ball touches, and where the two meet the block distance, then the exact cosine decide. A pair counts in the
-first block that brings it together, so nothing is counted twice and no pair is ever written: a cell gives sums for
-its vectors and a spanning forest of its links. Identical vectors are one vector with a multiplicity.
+pair. A range join lays a grid over a block's first dimensions, over the more of them the more vectors share a label:
+each vector lives in one cell and visits those cells of greater number that its ball touches, so of two vectors one
+comes to the other; where they meet the block distance, then the exact cosine decide. A pair counts in the first block
+that brings it together, so nothing is counted twice and no pair is ever written: a cell gives sums for its vectors and
+a spanning forest of its links. Identical vectors of a label are one vector with a multiplicity and a number of its
+own; ids come back at the end.
 """
 
 from __future__ import annotations
@@ -21,24 +23,50 @@ from pyspark.sql import functions as F
 from .common import written
 from .graph import _forest, components
 
-#: Dimensions of a block, dimensions of its grid, and the grid's cell width in radii of a block's ball.
-BLOCK, GRID, WIDTH = 16, 2, 2.0
+#: Dimensions of a block, and the grid's cell width in radii of a block's ball.
+BLOCK, WIDTH = 16, 2.0
+#: A grid has one dimension, and one more for each time that its vectors are FEW times MORE as many; at most DEEPEST.
+FEW, MORE, DEEPEST = 100, 4, 10
 #: Vectors that the rotation is fitted on at most. It is orthogonal whatever they are, so results don't depend on them.
 SAMPLE = 4096
-#: Residents and visitors of a cell that meet in one group; more are dealt into pieces, every piece meeting every other.
+#: Residents and visitors of a cell that meet in one group; more, such as very many vectors that are nearly the same, are
+#: dealt into pieces, every piece meeting every other.
 RESIDENTS, VISITORS = 256, 512
 #: Added to squared budgets against rounding; the exact cosine decides afterwards.
 SLACK = 1e-9
 
 
 def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """vec_id, label, vec: the vector's 32- or 64-bit floats as 64-bit bytes, null where it can't link."""
+    """vec_id, label, lot, vec: the vector as bytes (32-bit floats where they hold it exactly, else 64-bit ones after an
+    empty byte), null where it can't link."""
     for batch in batches:
         vecs = []
-        for v in batch.column(2).to_pylist():
+        for v in batch.column(3).to_pylist():
             x = None if not v or None in v else np.array(v, np.float64) + 0.0
-            vecs.append(None if x is None or not np.isfinite(x).all() or not x.any() else x.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(vecs, pa.binary())], ["vec_id", "label", "vec"])
+            vecs.append(None if x is None or not np.isfinite(x).all() or not x.any() else packed(x))
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(vecs, pa.binary())], ["vec_id", "label", "lot", "vec"])
+
+
+def packed(x: np.ndarray) -> bytes:
+    with np.errstate(over="ignore"):
+        small = x.astype(np.float32)
+    return small.tobytes() if (small.astype(np.float64) == x).all() else b"\0" + x.tobytes()
+
+
+def dimensions(vec: bytes) -> int:
+    return len(vec) // 8 if len(vec) % 4 else len(vec) // 4
+
+
+def unpacked(vecs: list[bytes], dim: int) -> np.ndarray:
+    """Vectors of `dim` dimensions as rows of 64-bit floats."""
+    out = np.empty((len(vecs), dim))
+    small = [k for k, v in enumerate(vecs) if len(v) % 4 == 0]
+    large = [k for k, v in enumerate(vecs) if len(v) % 4]
+    if small:
+        out[small] = np.frombuffer(b"".join(vecs[k] for k in small), np.float32).reshape(-1, dim)
+    if large:
+        out[large] = np.frombuffer(b"".join(vecs[k][1:] for k in large), np.float64).reshape(-1, dim)
+    return out
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -50,12 +78,12 @@ class Plan:
     """The rotation of each dimension, its blocks and budgets."""
 
     def __init__(self, sample: list[bytes], cosine: float):
-        self.cosine, self.rotations = cosine, {}
+        self.cosine, self.few, self.rotations = cosine, FEW, {}
         by: dict[int, list[bytes]] = {}
         for v in sample:
-            by.setdefault(len(v) // 8, []).append(v)
+            by.setdefault(dimensions(v), []).append(v)
         for dim, vs in by.items():
-            x = _unit(np.frombuffer(b"".join(vs)).reshape(-1, dim))
+            x = _unit(unpacked(vs, dim))
             _, axes = np.linalg.eigh(np.cov(x.T) if len(x) > 1 and dim > 1 else np.eye(dim))
             self.rotations[dim] = self._dealt(axes[:, ::-1])
 
@@ -77,41 +105,56 @@ class Plan:
         return [(e - s, e, (2 - 2 * self.cosine) * s / dim + SLACK) for s, e in zip(sizes, ends)]
 
 
+def depth(population: np.ndarray, few: int = FEW) -> np.ndarray:
+    """Dimensions of the grids for so many vectors."""
+    times = np.log(np.maximum(population, 1) / few) / np.log(MORE)
+    return np.clip(1 + np.round(times), 1, DEEPEST).astype(np.int64)
+
+
+def _touched(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell) of all cells that the balls around rows touch; y: coordinates in cell widths, a ball's radius is 1 / WIDTH."""
+    home = np.floor(y).astype(np.int64)
+    row, gap, cells = np.arange(len(y)), np.zeros(len(y)), np.zeros((len(y), 0), np.int64)
+    reach = int(np.ceil(1 / WIDTH))
+    for k in range(y.shape[1]):
+        parts = []
+        for step in range(-reach, reach + 1):
+            cell = home[row, k] + step
+            far = np.maximum(np.maximum(cell - y[row, k], y[row, k] - cell - 1), 0)
+            now = gap + (far * WIDTH) ** 2
+            ok = now <= 1
+            parts.append((row[ok], now[ok], np.column_stack([cells[ok], cell[ok]])))
+        row, gap, cells = (np.concatenate(x) for x in zip(*parts))
+    return row, cells
+
+
 def _cells(plan: Plan, with_vec: bool):
-    """Rows (cell, visits, id, mult, vec) of vectors: one as resident, one for each cell that its ball touches, per block."""
+    """Rows (cell, visits, lot, dim, block, id, mult, vec) of vectors: in each block one as resident of its cell, and one
+    for each other cell that its ball touches and that has a greater number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, mult = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            labels, vecs = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            dims = np.array([len(v) // 8 for v in vecs])
-            for dim in np.unique(dims).tolist():
-                at = np.flatnonzero(dims == dim)
-                x = _unit(np.frombuffer(b"".join(vecs[i] for i in at)).reshape(-1, dim)) @ plan.rotation(dim)
-                rows: list[tuple[np.ndarray, np.ndarray, bool]] = []
+            ids, mult, lot, population = (batch.column(k).to_numpy() for k in range(4))
+            vecs = batch.column(4).to_pylist()
+            dims = np.array([dimensions(v) for v in vecs], np.int64)
+            deep = depth(population, plan.few)
+            for dim, g in sorted(set(zip(dims.tolist(), deep.tolist()))):
+                at = np.flatnonzero((dims == dim) & (deep == g))
+                x = _unit(unpacked([vecs[i] for i in at], dim)) @ plan.rotation(dim)
                 for b, (first, end, budget) in enumerate(plan.blocks(dim)):
-                    r, g = np.sqrt(budget) + 1e-6, min(GRID, end - first)
-                    y = x[:, first : first + g] / (WIDTH * r)
-                    home = np.floor(y).astype(np.int64)
-                    reach = int(np.ceil(1 / WIDTH))
-                    rows.append((_named(b, home), np.arange(len(at)), False))
-                    for step in np.ndindex(*[2 * reach + 1] * g):
-                        cell = home + np.array(step) - reach
-                        gap = np.maximum(np.maximum(cell - y, y - cell - 1), 0)
-                        near = np.flatnonzero((gap**2).sum(1) * WIDTH**2 <= 1)
-                        rows.append((_named(b, cell[near]), near, True))
-                who = np.concatenate([w for _, w, _ in rows])
-                cells = [pa.array(np.concatenate([c for c, _, _ in rows])), pa.array(np.concatenate([np.full(len(w), v) for _, w, v in rows]))]
-                label = np.array([hash_label(labels[i], dim) for i in at], np.int64)[who]
-                block = np.concatenate([np.full(len(w), k) for k, (_, w, _) in enumerate(rows)])
-                per = 1 + (2 * reach + 1) ** np.array([min(GRID, e - s) for s, e, _ in plan.blocks(dim)])
-                block = np.repeat(np.arange(len(per)), per)[block].astype(np.int32)
-                cols = [*cells, pa.array(label), pa.array(block), pa.array(ids[at][who]), pa.array(mult[at][who])]
-                names = ["cell", "visits", "lot", "block", "id", "mult"]
-                if with_vec:
-                    cols.append(pa.array([vecs[at[i]] for i in who], pa.binary()))
-                    names.append("vec")
-                yield pa.RecordBatch.from_arrays(cols, names)
+                    y = x[:, first : min(end, first + g)] / (WIDTH * (np.sqrt(budget) + 1e-6))
+                    home = _named(b, np.floor(y).astype(np.int64))
+                    row, cells = _touched(y)
+                    name = _named(b, cells)
+                    up = name > home[row]
+                    who, cell = at[np.concatenate([np.arange(len(at)), row[up]])], np.concatenate([home, name[up]])
+                    visits = np.arange(len(who)) >= len(at)
+                    cols = [pa.array(c) for c in (cell, visits, lot[who], np.full(len(who), dim, np.int32), np.full(len(who), b, np.int32), ids[who], mult[who])]
+                    names = ["cell", "visits", "lot", "dim", "block", "id", "mult"]
+                    if with_vec:
+                        cols.append(pa.array([vecs[i] for i in who], pa.binary()))
+                        names.append("vec")
+                    yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
@@ -126,60 +169,59 @@ def _named(block: int, cells: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def hash_label(label: int, dim: int) -> int:
-    """Label and dimension as one number: only vectors that agree in both are compared."""
-    return int(label) * 65536 + dim
-
-
-CELLS = "cell long, visits boolean, lot long, block int, id long, mult long"
+CELLS = "cell long, visits boolean, lot long, dim int, block int, id long, mult long"
+#: What a row is in its group: a resident, a visitor, or a resident that visits the pieces of its own cell.
+RESIDENT, VISITOR, AT_HOME = 0, 1, 2
 
 
 def _meet(plan: Plan):
     """From rows sorted by group, the links of each: (id, other, n): n links of id if other is null, else a link."""
 
-    def links(res: list, vis: list, dim: int, block: int) -> list[tuple[np.ndarray, np.ndarray | None, np.ndarray | None]]:
+    def links(rows: list[tuple[int, int, int, bytes]], dim: int, block: int, split: bool) -> list[tuple[np.ndarray, np.ndarray | None, np.ndarray | None]]:
+        kind, ids, mult = (np.array([r[k] for r in rows]) for k in range(3))
+        res = np.flatnonzero(kind == RESIDENT)
+        vis = np.flatnonzero(kind != RESIDENT) if split else np.arange(len(rows))  # in a whole cell residents meet each other, too
+        if not len(res) or not len(vis):
+            return []
         spans = plan.blocks(dim)
         first, end, budget = spans[block]
-        (ri, rm, rv), (vi, vm, vv) = (
-            (np.array([x[0] for x in s]), np.array([x[1] for x in s]), np.frombuffer(b"".join(x[2] for x in s)).reshape(-1, dim)) for s in (res, vis)
-        )
-        ru, vu = _unit(rv), _unit(vv)
-        rx, vx = ru @ plan.rotation(dim), vu @ plan.rotation(dim)
-        a, b = vx[:, first:end], rx[:, first:end]
+        raw = unpacked([r[3] for r in rows], dim)
+        x = _unit(raw) @ plan.rotation(dim)
+        a, b = x[vis, first:end], x[res, first:end]
         near = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T <= budget + SLACK
-        i, j = np.nonzero(near & (vi[:, None] < ri[None]))
+        i, j = np.nonzero(near & ((kind[vis] == VISITOR)[:, None] | (ids[vis][:, None] < ids[res][None])))
+        i, j = vis[i], res[j]
         ok = np.zeros(len(i), bool)
         for lo in range(0, len(i), 20_000):
             p, q = i[lo : lo + 20_000], j[lo : lo + 20_000]
-            apart = np.add.reduceat((vx[p] - rx[q]) ** 2, [s for s, _, _ in spans], axis=1)
+            apart = np.add.reduceat((x[p] - x[q]) ** 2, [s for s, _, _ in spans], axis=1)
             hit = apart <= np.array([w for _, _, w in spans])
             mine = hit[:, block] & ~hit[:, :block].any(1)
-            dot = (vv[p] * rv[q]).sum(1) / np.sqrt((vv[p] ** 2).sum(1) * (rv[q] ** 2).sum(1))
+            dot = (raw[p] * raw[q]).sum(1) / np.sqrt((raw[p] ** 2).sum(1) * (raw[q] ** 2).sum(1))
             ok[lo : lo + 20_000] = mine & (dot >= plan.cosine)
         i, j = i[ok], j[ok]
         if not len(i):
             return []
-        nv, nr = np.bincount(i, rm[j], len(vi)), np.bincount(j, vm[i], len(ri))
-        out = [(vi[nv > 0], None, nv[nv > 0]), (ri[nr > 0], None, nr[nr > 0])]
-        return [*out, (*_forest(vi[i], ri[j]), None)]
+        n = np.bincount(i, mult[j], len(ids)) + np.bincount(j, mult[i], len(ids))
+        return [(ids[n > 0], None, n[n > 0]), (*_forest(ids[i], ids[j]), None)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, sides = None, ([], [])
+        group, rows = None, []
 
         def closed() -> Iterator[pa.RecordBatch]:
-            if sides[0] and sides[1]:
-                for ids, other, n in links(sides[0], sides[1], group[1] % 65536, group[2]):
+            if len(rows) > 1:
+                for ids, other, n in links(rows, group[2], group[3], group[6]):
                     empty = lambda: pa.nulls(len(ids), pa.int64())
                     cols = [pa.array(ids, pa.int64()), empty() if other is None else pa.array(other, pa.int64()), empty() if n is None else pa.array(n.astype(np.int64))]
                     yield pa.RecordBatch.from_arrays(cols, ["id", "other", "n"])
 
         for batch in batches:
-            c = {n: batch.column(k).to_pylist() for k, n in enumerate(batch.schema.names)}
-            for cell, visits, lot, block, i, mult, vec, rp, vp in zip(*(c[k] for k in ("cell", "visits", "lot", "block", "id", "mult", "vec", "rp", "vp"))):
-                if group != (cell, lot, block, rp, vp):
+            c = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
+            for row in zip(*c):
+                if group != row[:7]:
                     yield from closed()
-                    group, sides = (cell, lot, block, rp, vp), ([], [])
-                sides[visits].append((i, mult, vec))
+                    group, rows = row[:7], []
+                rows.append(row[7:])
         yield from closed()
 
     return run
@@ -189,39 +231,50 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id
     """One row per row of `vectors`: vec_id, n_links, component_id, kept.
 
     Two vectors link if their labels are equal and not null, they have as many dimensions, and their cosine in double
-    precision is `cosine` or more. Vectors that are null, empty or zero, or hold a null or non-finite component, and
-    rows with a null id link with nothing and stay. `n_links` counts the other rows linked to directly, repeated rows
-    included; a label that is no 32-bit integer is an error. `component_id` is the smallest id reachable. Other columns are not read; an empty table gives none.
+    precision is `cosine` or more. Labels may be of any type but a map. Vectors that are null, empty or zero, or hold a
+    null or non-finite component, and rows with a null id link with nothing and stay. `n_links` counts the other rows
+    linked to directly, rows of the same id included, each row by its own vector. `component_id` is the smallest id
+    reachable from the row's vector. Other columns are not read; an empty table gives none.
     """
-    named = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("int").alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
-    usable = named.mapInArrow(_usable, "vec_id long, label int, vec binary")
+    label = F.col(label_col)
+    named = vectors.select(F.col(id_col).cast("long").alias("vec_id"), label.cast("string").alias("label"), F.xxhash64(label).alias("lot"), F.col(vec_col).cast("array<double>").alias("v"))
+    usable = named.mapInArrow(_usable, "vec_id long, label string, lot long, vec binary")
     able = F.col("vec").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
-    key = F.when(able, F.unhex(F.sha2(F.concat(F.col("label").cast("string").cast("binary"), F.lit(":").cast("binary"), F.col("vec")), 256)))
-    rows = written(usable.select("vec_id", "label", F.when(able, F.col("vec")).alias("vec"), key.alias("key")), "vectors")
-    distinct = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("mult"), F.first("label").alias("label"), F.first("vec").alias("vec"))
-    distinct = written(distinct.select("id", "mult", "label", "vec", "key"), "distinct")
-    sample = distinct.select("vec", F.xxhash64("id").alias("h")).orderBy("h", "vec").limit(SAMPLE).collect()
+    key = F.when(able, F.unhex(F.sha2(F.concat(F.sha2(F.col("label").cast("binary"), 256).cast("binary"), F.col("vec")), 256)))
+    rows = written(usable.select("vec_id", "lot", F.when(able, F.col("vec")).alias("vec"), key.alias("key")), "vectors")
+    sets = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("mult"), F.first("lot").alias("lot"), F.first("vec").alias("vec"))
+    # an id may have several vectors, so the sets are numbered by themselves; what is written keeps its numbers
+    distinct = written(sets.withColumn("id", F.monotonically_increasing_id()), "distinct")
+    sample = distinct.select("vec", F.xxhash64("key").alias("h")).orderBy("h", "vec").limit(SAMPLE).collect()
     plan = Plan([r["vec"] for r in sample], cosine)
 
-    source = distinct.select("id", "mult", "label", "vec")
-    cell = ["cell", "lot", "block"]
+    lots = distinct.groupBy("lot").agg(F.count(F.lit(1)).alias("population"))
+    source = distinct.join(lots, "lot").select("id", "mult", "lot", "population", "vec")
+    cell = ["cell", "lot", "dim", "block"]
     count = source.mapInArrow(_cells(plan, False), CELLS).groupBy(*cell).agg(F.count_if(~F.col("visits")).alias("r"), F.count_if("visits").alias("v"))
     # Cells in which nobody can meet go; the number of pieces of the others is the only thing that is joined.
-    live = count.where("r > 0 and v > 1").select(*cell, F.ceil(F.col("r") / RESIDENTS).cast("int").alias("rs"), F.ceil(F.col("v") / VISITORS).cast("int").alias("vs"))
+    whole = (F.col("r") <= RESIDENTS) & (F.col("v") <= VISITORS)
+    pieces = lambda n, most: F.when(whole, 1).otherwise(F.ceil(n / most).cast("int"))
+    live = count.where("r > 0 and r + v > 1").select(*cell, (~whole).alias("split"), pieces(F.col("r"), RESIDENTS).alias("rs"), pieces(F.col("r") + F.col("v"), VISITORS).alias("vs"))
     entries = source.mapInArrow(_cells(plan, True), CELLS + ", vec binary").join(live, cell)
     piece = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    entries = entries.withColumn("rp", F.explode(F.when(F.col("visits"), every("rs")).otherwise(F.array(piece("rs")))))
-    entries = entries.withColumn("vp", F.explode(F.when(F.col("visits"), F.array(piece("vs"))).otherwise(every("vs"))))
-    order = ["cell", "lot", "block", "rp", "vp"]
-    met = entries.select("cell", "visits", "lot", "block", "id", "mult", "vec", "rp", "vp").repartition(*order).sortWithinPartitions(*order)
+    # (kind, residents' piece, visitors' piece) of a row: once in a whole cell, else once for each piece of the others
+    all_of = lambda kind, ns, make: F.transform(every(ns), lambda k: F.struct(F.lit(kind).alias("kind"), *make(k)))
+    lives = all_of(RESIDENT, "vs", lambda k: (piece("rs").alias("rp"), k.alias("vp")))
+    comes = lambda kind: all_of(kind, "rs", lambda k: (k.alias("rp"), piece("vs").alias("vp")))
+    entries = entries.withColumn("e", F.explode(F.when(F.col("visits"), comes(VISITOR)).when(F.col("split"), F.concat(lives, comes(AT_HOME))).otherwise(lives)))
+    order = [*cell, "rp", "vp"]
+    met = entries.select(*cell, "e.rp", "e.vp", "split", "e.kind", "id", "mult", "vec").repartition(*order).sortWithinPartitions(*order)
     found = written(met.mapInArrow(_meet(plan), "id long, other long, n long"), "links")
 
     sums = found.where("n is not null").groupBy("id").agg(F.sum("n").alias("n"))
     groups = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    known = distinct.select("key", "id", "mult").join(sums, "id", "left").join(groups, "id", "left")
-    known = written(known.select("key", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "known")
-    linked = rows.where("key is not null").select("vec_id", "key").join(known, "key").select("vec_id", "n_links", "component_id")
+    linked = distinct.select("key", "id", "vec_id", "mult").join(sums, "id", "left").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    linked = written(linked.select("key", "component", "vec_id", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links")), "linked")
+    least = linked.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    known = written(linked.join(least, "component").select("key", "n_links", "component_id"), "known")
+    out = rows.where("key is not null").select("vec_id", "key").join(known, "key").select("vec_id", "n_links", "component_id")
     alone = rows.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    both = linked.unionByName(alone)
+    both = out.unionByName(alone)
     return both.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
