@@ -7,11 +7,16 @@ precisely where it is high, so most candidates are dropped without their sets. T
 sets.
 
 No bucket gives all its pairs. First each bucket is a star around its busiest set; what the confirmed stars connect
-needs no further look. Buckets that still hold several components are looked at in pieces, every piece against every
-other: pairs across components that the sketches let through come out, each from the first bucket it shares. Sets
-that aren't very large go along, so that of their pairs only links come out, and of these only such as join what
-others of the two pieces have not joined: no more than there are components. A bucket with very many sets is cut into pieces of sets of like size: sets as similar as asked
-for differ little in size, so a piece only meets those of its own class of sizes and of the next ones.
+needs no further look. Buckets that still hold several components are looked at: pairs across components that the
+sketches let through come out, each from the first bucket it shares. Sets that aren't very large go along, so that of
+their pairs only links come out, and of these only such as join what others have not joined: no more than there are
+components.
+
+A crowded bucket, as a passage makes that very many different documents share, is looked at in another way: its sets'
+elements are ordered from the rarest to the most frequent, and sets as similar as asked for share one of their first
+elements, of as many as their sizes leave room to differ in. So sets only meet over rare elements, and those that have
+the passage alone in common don't. Groups are cut into pieces, every piece against every other, and very large ones
+into pieces of sets of like size first.
 """
 
 from __future__ import annotations
@@ -35,6 +40,9 @@ BINS, BITS, DEVIATIONS = 1024, 2048, 5.0
 #: CLASS times the least: a little more than a pair may differ by, so rounding never puts a pair two classes apart.
 PIECE, LARGE, CLASS = 512, 20_000, 1.34
 
+#: Sets of a bucket beyond which it is crowded, and the step of sizes from a class to the next where elements are ordered.
+CROWD, STEP = 512, 1.03
+
 #: Elements of the sets that go along with their entries, so that links are confirmed where the pieces meet.
 CARRIED = 2048
 
@@ -257,12 +265,42 @@ def _mixed_buckets(entries: DataFrame) -> DataFrame:
     return entries.join(open_.select("bucket", "size"), "bucket")
 
 
+def _by_rare_elements(crowded: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """Entries (bucket, id, component) of sets (id, component) such that similar ones share a bucket, which is a rare element.
+
+    Elements are ordered by the number of sets that hold them, then by themselves. Two sets of n and m elements that
+    are similar enough share at least a = 0.75 / 1.75 (n + m), so one of the first n - a + 1 of one and of the first
+    m - a + 1 of the other is common. How many that are is told by the sizes' classes: a bucket is two classes and an
+    element. What only one set holds comes first in the order and makes no bucket.
+    """
+    own = crowded.join(sets.select("id", "n", "key", "first", "h"), "id")
+    full = written(_texts(own, docs).mapInArrow(_sets, "id long, s array<long>").dropDuplicates(["id"]), "crowd")
+    each = full.select("id", F.explode("s").alias("e"))
+    shared = each.join(each.groupBy("e").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "e")
+    ordered = shared.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("c")).join(own.select("id", "n", "component"), "id")
+
+    step, few = float(np.log(STEP)), 1e-9
+    least = lambda k: F.floor(F.exp(k * step) * (1 - few))  # noqa: E731  the least size of a class, or less
+    mine = F.floor(F.log("n") / step).cast("int")
+    reach = int(np.ceil(np.log(100 / PERCENT) / step)) + 1
+    other = F.explode(F.sequence(F.col("class") - reach, F.col("class") + reach))
+    met = ordered.withColumn("class", mine).select("*", other.alias("other"))
+    low = F.greatest(least(F.col("other")), F.ceil(F.col("n") * (PERCENT / 100) - few))
+    met = met.withColumn("low", low).where((PERCENT * F.col("low") <= 100 * F.col("n") + 1) & (least(F.col("other") + 1) * (1 + few) + 2 >= F.col("low")))
+    common = F.ceil((F.col("n") + F.col("low")) * (PERCENT / (100 + PERCENT)) - few)
+    room = F.col("n") - common + 1 - (F.col("n") - F.size("c"))
+    first = F.slice("c", F.lit(1), F.greatest(F.least(room, F.size("c").cast("long")), F.lit(0)).cast("int"))
+    rows = met.select("id", "component", F.least("class", "other").alias("x"), F.greatest("class", "other").alias("y"), F.explode(first).alias("at"))
+    return rows.select(F.xxhash64("x", "y", "at.e").alias("bucket"), "id", "component")
+
+
 def _pieces(entries: DataFrame, sets: DataFrame) -> DataFrame:
     """Entries (bucket, size, id) with the sets' columns, their piece, and the first and last piece that it meets.
 
     Pieces of a bucket are numbered from 0, by class of sizes; buckets that are not large are one class.
     """
     rows = entries.join(sets.select("id", "n", "samples", "bands", "sketch"), "id")
+    rows = rows.withColumn("bands", F.when(F.col("rare"), F.array("bucket")).otherwise(F.col("bands")))  # its own first bucket
     own = F.when(F.col("size") > LARGE, F.floor(F.log("n") / F.log(F.lit(CLASS))).cast("int")).otherwise(0)
     many = lambda count: F.ceil(count / PIECE).cast("int").alias("pieces")
     classes = F.array(F.struct(F.lit(0).alias("class"), many(F.col("size"))))
@@ -308,7 +346,12 @@ def link_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = components(links)
 
     left = _mixed_buckets(_labelled(starred.select("bucket", "id", "hub"), groups))
-    left = written(left, "left")
+    left = written(left.withColumn("rare", F.lit(False)), "left")
+    crowded = left.where(F.col("size") > CROWD)
+    if not crowded.isEmpty():
+        rare = _mixed_buckets(_by_rare_elements(crowded.select("id", "component").distinct(), sets, docs))
+        rare = rare.select("bucket", "id", F.lit(None).cast("long").alias("hub"), "component", "size", F.lit(True).alias("rare"))
+        left = written(left.where(F.col("size") <= CROWD).unionByName(rare), "left-rare")
     carried = left.select("id").distinct().join(sets.where(F.col("n") <= CARRIED).select("id", "key", "first", "h"), "id")
     carried = written(_texts(carried, docs).mapInArrow(_carried, "id long, s binary").dropDuplicates(["id"]), "carried")
     left = _pieces(left, sets).join(carried, "id", "left")

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarrylight.llm import embed_dedup, exact_dedup, graph, near_dedup
 
@@ -85,11 +86,13 @@ def near_texts(seed=3):
     return list(enumerate(texts, 10))
 
 
-@pytest.mark.parametrize("small", [False, True])
+@pytest.mark.parametrize("small", ["", "pieces", "crowds", "crowds in pieces"])
 def test_near_copies(spark, small, monkeypatch):
-    if small:  # every bucket is dealt anew and in many pieces
+    if "pieces" in small:  # every bucket is dealt anew and in many pieces
         monkeypatch.setattr(near_dedup, "LARGE", 4)
         monkeypatch.setattr(near_dedup, "PIECE", 3)
+    if "crowds" in small:  # every bucket is looked at by its rare elements
+        monkeypatch.setattr(near_dedup, "CROWD", 1)
     rows = near_texts()
     sets = {i: shingle_set(t) for i, t in rows}
     linked = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
@@ -122,6 +125,22 @@ def test_near_copies_that_share_one_band_of_a_large_bucket(spark, large, monkeyp
     assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 2, 5: 2, 6: 2}
 
 
+def test_a_shared_passage_makes_no_square(spark):
+    """Sets that have 0.6 to 0.7 of their union in common by one passage meet over no rare element; similar ones do."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    passage = [word() for _ in range(304)]  # 300 shingles
+    texts = [passage + [word() for _ in range(n)] for n in [rng.randint(70, 96) for _ in range(150)]]
+    texts += [texts[k] + [word() for _ in range(20)] for k in range(5)]
+    made = [near_dedup.shingles(" ".join(t)) for t in texts]
+    df = docs(spark, [(k, " ".join(t)) for k, t in enumerate(texts)]).select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("h"))
+    sets = spark.createDataFrame([(k, k, len(s), near_dedup._key(s)) for k, s in enumerate(made)], "id long, first long, n long, key binary").join(df.select("id", "h"), "id")
+    entries = near_dedup._by_rare_elements(sets.select("id", F.col("id").alias("component")), sets, df)
+    met = {(a, b) for r in entries.groupBy("bucket").agg(F.collect_list("id").alias("ids")).collect() for a in r.ids for b in r.ids if a < b}
+    similar = {(a, b) for b in range(len(made)) for a in range(b) if 100 * len(np.intersect1d(made[a], made[b])) >= 75 * len(np.union1d(made[a], made[b]))}
+    assert {(k, 150 + k) for k in range(5)} <= similar <= met and len(met) < len(similar) + 20
+
+
 def test_near_copies_of_nothing(spark):
     assert near_dedup.link_documents(docs(spark, [])).count() == 0
     assert near_dedup.link_documents(docs(spark, [(1, None)])).first().kept
@@ -189,6 +208,39 @@ def test_vectors(spark, residents, monkeypatch):
     assert embed_dedup.link_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("residents", [3, 256])
+def test_vectors_of_repeated_ids_and_labels_of_any_type(spark, monkeypatch, residents):
+    monkeypatch.setattr(embed_dedup, "RESIDENTS", residents)
+    monkeypatch.setattr(embed_dedup, "VISITORS", residents + 1)
+    rng = np.random.default_rng(9)
+    a, b, c = (rng.normal(size=40) for _ in range(3))
+    near = lambda v: v + rng.normal(scale=0.02, size=40)
+    # two vectors under id 1, each with one neighbour; an id whose two vectors link; the same vector twice under one id
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (9, c), (9, near(c)), (7, 3 * a), (7, 3 * a), (20, -a)]
+    hot = [(100 + k, near(c)) for k in range(40)]
+    unit = lambda v: v / np.linalg.norm(v)
+    for kind, value in (("long", 5_000_000_000), ("string", "a:b"), ("double", 0.5)):
+        every = [(i, v.tolist(), value) for i, v in rows + hot] + [(50, a.tolist(), None), (51, a.tolist(), type(value)(1))]
+        df = spark.createDataFrame(every, f"vec_id long, embedding array<double>, label {kind}")
+        linked = [[x != y and every[x][2] is not None and every[x][2] == every[y][2] and unit(np.array(every[x][1])) @ unit(np.array(every[y][1])) >= 0.98 for y in range(len(every))] for x in range(len(every))]
+        low = brute_components(range(len(every)), [(x, y) for x in range(len(every)) for y in range(x) if linked[x][y]])
+        least = {r: min(every[x][0] for x in low if low[x] == r) for r in set(low.values())}
+        want = sorted((i, sum(linked[x]), least[low[x]], i == least[low[x]]) for x, (i, _, _) in enumerate(every))
+        assert sorted(tuple(r) for r in embed_dedup.link_vectors(df).collect()) == want
+
+
+def test_deeper_grids_lose_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(60, 32))
+    x = np.concatenate([base, *(base + rng.normal(scale=s, size=base.shape) for s in (0.03, 0.1, 0.2))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = ((u @ u.T >= 0.98).sum(1) - 1).tolist()
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    for few in (1, 1000):
+        monkeypatch.setattr(embed_dedup, "FEW", few)
+        assert [r.n_links for r in embed_dedup.link_vectors(df).orderBy("vec_id").collect()] == want
+
+
 def test_one_id_under_several_texts(spark):
     rng = random.Random(8)
     a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3))
