@@ -92,11 +92,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     """Encode every whole text, append `end_id`, and write a token file at `path`; returns `path`.
 
     A null text counts as empty, and so has `end_id` alone. Documents are dealt to shards by ranges of their id,
-    null ids first; repeated rows are each written, in one shard. Other columns are not read. An empty table gives
-    a file without rows.
+    null ids first; rows that repeat an id may lie in several shards, in no order among them; repeated rows are each
+    written. Very long texts are encoded whole and may fill several blocks. Other columns are not read. An empty table
+    gives a file without rows.
     """
     pairs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = pairs.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # rows of one id, such as all null ones, are dealt by their text
+    dealt = pairs.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
     dealt.mapInArrow(_encoder(tokenizer, end_id, plane_bits), SCHEMA).write.mode("overwrite").option("compression", "none").parquet(path)
     return path
 
