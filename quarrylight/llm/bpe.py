@@ -142,8 +142,8 @@ def _coder(path: str, decode: bool):
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids (32-bit, little-endian) of every whole text, and with `decode` the text decoded from them.
 
-    A null text counts as empty and has no ids; a null id is kept; repeated rows are encoded each; an empty table
-    gives none. Other columns are not read. No shuffle.
+    A null text counts as empty and has no ids; a null id is kept; repeated rows are encoded each, very long texts
+    whole; an empty table gives none. Other columns are not read. No shuffle.
     """
     pairs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, n_tokens long, ids binary" + ", decoded string" * decode

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
@@ -49,9 +49,12 @@ def remainder(id_col: Column, modulus: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % modulus
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column, per_class: int, max_chars: int) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column, per_class: int, max_chars: int, total_chars: int | None = None) -> DataFrame:
     """Rows (text, y) to fit a classifier on: at most `per_class` of each class among labels where `fold` holds.
 
+    With `total_chars`, the texts of a class have half as many characters in all at most: those that go beyond it in the
+    order of the hashes are left out.
+
     The rows are those whose ids have the smallest hashes, so the choice is random but repeatable. Texts of more
     than `max_chars` characters are not fitted on. The sample of labels is bounded by `2 * per_class` rows, hence
     its broadcast. A label whose rows contradict one another or is null is left out.
@@ -65,4 +68,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column
     )
     picked = sure.where("y = 1").orderBy("h", "doc_id").limit(per_class).unionByName(sure.where("y = 0").orderBy("h", "doc_id").limit(per_class))
     texts = docs.select("doc_id", "text").where(F.length("text") <= max_chars)
-    return texts.join(F.broadcast(picked.select("doc_id", "y")), "doc_id").select("text", "y")
+    rows = texts.join(F.broadcast(picked), "doc_id")
+    if total_chars:
+        upto = F.sum(F.length("text").cast("long")).over(Window.partitionBy("y").orderBy("h", "doc_id"))
+        rows = rows.withColumn("upto", upto).where(F.col("upto") <= total_chars // 2)
+    return rows.select("text", "y")

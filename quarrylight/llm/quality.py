@@ -123,7 +123,11 @@ def _features(text: pa.Array) -> pa.Array:
 
 
 def fit(docs: DataFrame, labels: DataFrame, fold: Column, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS, threshold: float = THRESHOLD) -> RankModel:
-    """Learn from at most `per_class` labelled documents of each class for which `fold` holds."""
+    """Learn from at most `per_class` labelled documents of each class for which `fold` holds, none longer than `max_chars`.
+
+    Null texts are never learnt from; rows that repeat an id count each. Without labels of a class, or without any, all
+    scores are the same.
+    """
     share = labels.where(F.col("quality").isin(0, 1) & fold).agg(F.avg(1 - F.col("quality"))).first()[0]
     rows = labelled_sample(docs, labels, "quality", fold, per_class, max_chars).select(_features("text").alias("x"), "y").toPandas()
     x = np.array(rows["x"].tolist(), dtype=float).reshape(-1, N_FEATURES)
@@ -134,7 +138,7 @@ def with_score(docs: DataFrame, model: RankModel, text_col: str = "text") -> Dat
     """`docs` with columns score (double, 0 to 1) and predicted (int, 1 if the score reaches the threshold).
 
     A null text counts as empty; it has a score too. Columns of those two names are replaced. Repeated rows get
-    the same score; an empty table stays empty.
+    the same score, very long texts are scored whole; an empty table stays empty.
     """
 
     @F.arrow_udf(DoubleType())

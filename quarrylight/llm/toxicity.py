@@ -20,8 +20,8 @@ from pyspark.sql.types import DoubleType
 
 from .common import labelled_sample
 
-#: Bounds of the fit: labelled documents of each class and their length in characters.
-PER_CLASS, MAX_CHARS = 2000, 60_000
+#: Bounds of the fit: labelled documents of each class, their length in characters, and that of all of them together.
+PER_CLASS, MAX_CHARS, TOTAL_CHARS = 2000, 60_000, 24_000_000
 THRESHOLD = 0.7
 BUCKETS, DIM, GRAMS = 1 << 18, 8, (3, 4, 5, 6)
 #: Words in a window, and from one window to the next.
@@ -220,16 +220,17 @@ def _calibrated(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float
     return float(max(w[0], 1e-3)), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, fold: Column, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS, threshold: float = THRESHOLD) -> ToxicModel:
+def fit(docs: DataFrame, labels: DataFrame, fold: Column, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS, threshold: float = THRESHOLD, total_chars: int = TOTAL_CHARS) -> ToxicModel:
     """Learn from at most `per_class` labelled documents of each class for which `fold` holds.
 
-    Longer ones than `max_chars` characters aren't learnt from. Of all their windows an epoch trains on EPOCH_WINDOWS
+    Longer ones than `max_chars` characters aren't learnt from, and neither are those beyond `total_chars` characters in
+    all, half of them for each class: the driver holds no more. Of all their windows an epoch trains on EPOCH_WINDOWS
     of each class at most, drawn at random, and on the HARD_WINDOWS clean ones that look worst. These bounds are of the
     fit alone: every window of every whole text is scored. Null and empty texts, repeated rows and an empty table do no
     harm; without labels of a class, scores follow the share of the other.
     """
     share = labels.where(F.col("toxic").isin(0, 1) & fold).agg(F.avg("toxic")).first()[0]
-    rows = labelled_sample(docs, labels, "toxic", fold, per_class, max_chars).toPandas()
+    rows = labelled_sample(docs, labels, "toxic", fold, per_class, max_chars, total_chars).toPandas()
     rows = rows.sort_values(["text", "y"], kind="stable", na_position="first")
     return fit_texts(rows["text"].tolist(), rows["y"].to_numpy(dtype=int), float(share or 0.0), threshold)
 
@@ -266,7 +267,7 @@ def with_score(docs: DataFrame, model: ToxicModel, text_col: str = "text") -> Da
     """`docs` with columns score (double, 0 to 1) and predicted (int, 1 if the score reaches the threshold).
 
     A null text counts as empty; it has a score too. Columns of those two names are replaced. Repeated rows get the
-    same score; an empty table stays empty. The model that is sent out is one number per bucket, 1 MB.
+    same score, very long texts are scored whole; an empty table stays empty. The model that is sent out is one number per bucket, 1 MB.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
