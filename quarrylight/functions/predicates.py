@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import or_
 
@@ -155,3 +156,8 @@ def shows_library(path: Column, sample: Column, repo: Column | None = None) -> C
 def is_sampled(path: Column, size: Column, sample: Column) -> Column:
     """Whether a source file may be quoted as evidence: small, not about tests, not empty."""
     return extension(path).isin(*SAMPLE_EXTENSIONS) & ~_has(F.lower(path), "test") & (size <= 250_000) & (F.length(sample) > 0)
+
+
+def plain_name(name: str) -> str:
+    """A single name as `scalars.safe_name` makes it of a column."""
+    return re.sub(r"[^\w.\-]+", "_", name)

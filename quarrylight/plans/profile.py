@@ -20,10 +20,13 @@ def written(rows: DataFrame, path: str) -> DataFrame:
 
 def read_clones(spark: SparkSession, root: str, raw: str, **options: object) -> tuple[dict[str, DataFrame], DataFrame]:
     """The rows of all clones below `root` (commits, texts, files, facts), kept in `raw`, and the errors of all readers."""
+    counter = options.pop("counter", None)
     readers = {
         "facts": (local.clone_facts, plan.GIT), "commits": (local.commit_lines, plan.GIT),
         "texts": (local.commit_records, plan.LINES), "files": (local.files, plan.TREE),
     }
+    if counter:
+        readers["lines"] = (lambda *a, **o: local.line_counts(*a, counter=counter, **o), plan.LINES)
     parts = {name: local.routed(written(read(spark, root, **options), f"{raw}/{name}"), stage) for name, (read, stage) in readers.items()}
     data = {name: rows for name, (rows, _) in parts.items()}
     data["commits"] = history.commits_of_lines(data["commits"])
@@ -31,10 +34,10 @@ def read_clones(spark: SparkSession, root: str, raw: str, **options: object) ->
     return data, reduce(DataFrame.unionByName, (bad for _, bad in parts.values()))
 
 
-def profile_clones(spark: SparkSession, root: str, out: str, as_of: Column, root_name: str = "local", lines: DataFrame | None = None, created_at: str = "", **options: object) -> DataFrame:
+def profile_clones(spark: SparkSession, root: str, out: str, as_of: Column, root_name: str = "local", created_at: str = "", **options: object) -> DataFrame:
     """Profile all clones below `root` and write the run's files to `out`; returns the rows of the summary.
 
-    `lines` (repo, language, code) are lines of code by language, if a counter has told them. `summary.csv`,
+    The option `counter` names a program that counts lines of code; without it there are none. `summary.csv`,
     `failures.json` and the raw rows are written, and `manifest.json` with the run's counts. A clone that can't be
     read is a row with its error. Without clones the summary is empty.
     """
@@ -42,8 +45,7 @@ def profile_clones(spark: SparkSession, root: str, out: str, as_of: Column, root
     paths = data["facts"].select("repo").union(errors.select("repo")).distinct().withColumnRenamed("repo", "path")
     found = targets.local_targets(paths, F.lit(root_name))
     named = lambda df: df.join(found.select(F.col("path").alias("repo"), "full_name"), "repo").drop("repo").withColumnRenamed("full_name", "repo")
-    if lines is None:
-        lines = spark.createDataFrame([], "repo string, language string, code long")
+    lines = named(data["lines"]) if "lines" in data else spark.createDataFrame([], "repo string, language string, code long")
     none = spark.createDataFrame([], "full_name string, map_pos int, language string, value double")
     rows = plan.summary(
         found, named(data["commits"]), named(data["files"]), none, lines, as_of, named(errors), named(data["texts"]),

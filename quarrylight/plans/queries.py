@@ -283,6 +283,20 @@ def merged_counts_rollup(spark, d):
     return history.merged_counts(rows, nothing, nothing)
 
 
+@query(
+    "merged_report",
+    f"""
+    WITH g AS (
+        SELECT r_name AS platform, n_name AS repo, count(*) AS n, grouping(r_name, n_name) AS level FROM {_COMMITS} WHERE o_orderstatus IN ('O', 'F') GROUP BY ROLLUP (r_name, n_name))
+    SELECT platform, level, repo, CASE level WHEN 0 THEN '  ' || repo || ': ' || n WHEN 1 THEN '  ' || platform || ' subtotal: ' || n ELSE 'Grand total: ' || n END AS line FROM g""",
+)
+def merged_report(spark, d):
+    from ..sources import sinks
+
+    rows = _commits(spark, d).where(F.col("o_orderstatus").isin("O", "F")).groupBy(F.col("r_name").alias("platform"), F.col("n_name").alias("repo")).agg(F.count(F.lit(1)).alias("merged"))
+    return sinks.totals(rows)
+
+
 @query("merged_in_range", "SELECT o_orderkey AS pr, o_orderdate AS merged_at FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1997-01-01'")
 def merged_in_range(spark, d):
     bound = lambda v: S.parse_bound(F.lit(v)).cast("timestamp_ntz")

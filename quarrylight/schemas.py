@@ -10,6 +10,7 @@ COMMITS = (
 COMMIT_LINES = "repo string, log_pos long, line_no long, line string, error string"
 COMMIT_RECORDS = "repo string, log_pos long, record string, error string"
 FILES = "repo string, path string, bytes long, lines long, sample string, error string"
+LINE_COUNTS = "repo string, language string, code long, error string"
 CLONE_FACTS = "repo string, default_branch string, error string"
 LANGUAGES = "full_name string, map_pos int, language string, value double"
 PERSON = "struct<login:string,__typename:string>"

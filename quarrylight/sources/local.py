@@ -6,7 +6,9 @@ read before; the others finish. `routed` parts the two.
 
 from __future__ import annotations
 
+import json
 import os
+import shutil
 import subprocess
 import threading
 from collections.abc import Iterator
@@ -18,10 +20,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.predicates import SKIP_DIRS
 from ..operators import history
-from ..schemas import CLONE_FACTS, COMMIT_LINES, COMMIT_RECORDS, FILES
+from ..schemas import CLONE_FACTS, COMMIT_LINES, COMMIT_RECORDS, FILES, LINE_COUNTS
 
 #: Seconds that a git command may take.
-GIT_SECONDS, LOG_SECONDS = 300, 600
+GIT_SECONDS, LOG_SECONDS, COUNT_SECONDS = 300, 600, 300
 SAMPLE = 40_000
 
 
@@ -167,6 +169,32 @@ class CloneFactsReader(_Reader):
         yield (default_branch(folder),)
 
 
+class LineCountReader(_Reader):
+    """Lines of code by language, from a counter's JSON list; languages of the same name are added up."""
+
+    width, stage = 2, "line counter"
+
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.counter = options.get("counter", "scc")
+
+    def rows(self, folder: str) -> Iterator[tuple]:
+        if not shutil.which(self.counter):
+            raise OSError(f"{self.counter} not found on PATH")
+        try:
+            run = subprocess.run([self.counter, "--format", "json", folder], capture_output=True, timeout=min(self.seconds, COUNT_SECONDS))
+        except subprocess.TimeoutExpired as e:
+            raise OSError(str(e)) from e
+        if run.returncode:
+            raise OSError((run.stderr or run.stdout or b"failed").decode("utf-8", "replace")[-500:])
+        told = json.loads(run.stdout or b"[]")
+        total: dict[str, int] = {}
+        for x in told if isinstance(told, list) else []:
+            name = x.get("Name") or x.get("name") or "Unknown"
+            total[name] = total.get(name, 0) + int(x.get("Code") or x.get("code") or 0)
+        yield from total.items()
+
+
 class _Source(DataSource):
     """A source of one kind of rows below the folder `path`; `seconds` bounds a git command."""
 
@@ -199,6 +227,10 @@ class CloneFacts(_Source):
     label, form, kind = "clone_facts", CLONE_FACTS, CloneFactsReader
 
 
+class LineCounts(_Source):
+    label, form, kind = "line_counts", LINE_COUNTS, LineCountReader
+
+
 def _load(spark: SparkSession, source: type[_Source], root: str, **options: object) -> DataFrame:
     spark.dataSource.register(source)
     return spark.read.format(source.label).options(**options).load(root)
@@ -226,6 +258,16 @@ def clone_facts(spark: SparkSession, root: str, **options: object) -> DataFrame:
     return _load(spark, CloneFacts, root, **options)
 
 
+def line_counts(spark: SparkSession, root: str, **options: object) -> DataFrame:
+    """(repo, language, code, error), by the program that the option `counter` names."""
+    return _load(spark, LineCounts, root, **options)
+
+
+def is_clone(folder: str) -> bool:
+    """Whether a folder is a clone already."""
+    return os.path.isdir(os.path.join(folder, ".git"))
+
+
 def routed(rows: DataFrame, stage: int) -> tuple[DataFrame, DataFrame]:
     """The data of a reader's rows, and its errors as (repo, stage, error). Both read `rows`: write these first if it is dear."""
     bad = rows.where("error is not null").select("repo", F.lit(stage).alias("stage"), "error")

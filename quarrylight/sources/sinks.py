@@ -33,3 +33,24 @@ def manifest(rows: DataFrame, created_at: str) -> str:
     """Counts of a run as a JSON document: one row reaches the driver."""
     counts = plan.outcome_counts(rows).first().asDict()
     return json.dumps({"created_at": created_at, **counts}, indent=2, ensure_ascii=False)
+
+
+def totals(counts: DataFrame) -> DataFrame:
+    """The lines of a report on merged changes (platform, repo, merged): each repository, each platform, all.
+
+    Rows (platform, level, repo, line) in the order of the report; a platform without repositories has no lines.
+    """
+    rolled = counts.rollup("platform", "repo").agg(F.coalesce(F.sum("merged"), F.lit(0)).alias("merged"), F.grouping_id().alias("level"))
+    n = F.col("merged").cast("string")
+    line = (
+        F.when(F.col("level") == 0, F.concat(F.lit("  "), "repo", F.lit(": "), n))
+        .when(F.col("level") == 1, F.concat(F.lit("  "), "platform", F.lit(" subtotal: "), n))
+        .otherwise(F.concat(F.lit("Grand total: "), n))
+    )
+    return rolled.select("platform", "level", "repo", line.alias("line")).orderBy(F.asc_nulls_last("platform"), "level", "repo")
+
+
+def write_totals(counts: DataFrame, path: str) -> None:
+    """The report as one text file: it has a line per repository."""
+    order = [F.asc_nulls_last("platform"), "level", "repo"]
+    totals(counts).coalesce(1).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(path)

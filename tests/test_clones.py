@@ -152,3 +152,45 @@ def test_rounding_is_that_of_the_exact_value(spark):
     odd = [2.675, 0.5, 1.5, 2.5, -0.25, -2.5, 1e17, 1e300, 0.0, 123456789.125]
     got = spark.createDataFrame([(v,) for v in odd], "v double").select(S.exact_round(F.col("v"), 2), S.exact_round(F.col("v"), 0)).collect()
     assert [tuple(r) for r in got] == [(round(v, 2), round(v, 0)) for v in odd]
+
+
+def test_lines_of_a_counter(spark, clones, tmp_path, monkeypatch):
+    root, folder = clones
+    (tmp_path / "bin" / "count").write_text('#!/bin/sh\ncase "$3" in *fine) echo \'[{"Name":"Go","Code":3},{"name":"Go","code":4},{"Code":1}]\';; *empty) echo "{}";; *) echo broken >&2; exit 2;; esac\n')
+    (tmp_path / "bin" / "count").chmod(0o755)
+    reader = local.LineCountReader({"path": root, "counter": f"{folder}/count"})
+    rows = {p.repo: list(reader.read(p)) for p in reader.partitions()}
+    assert rows["o/fine"] == [("o/fine", "Go", 7, None), ("o/fine", "Unknown", 1, None)] and rows["o/empty"] == []
+    assert "broken" in rows["o/slow"][0][-1]
+    missing = local.LineCountReader({"path": root, "counter": "no-such-counter"})
+    assert "no-such-counter not found on PATH" in list(missing.read(missing.partitions()[0]))[0][-1]
+    out = {r.repo: r for r in profile.profile_clones(spark, root, str(tmp_path / "counted"), AS_OF(), counter=f"{folder}/count").collect()}
+    assert (out["o/fine"].loc, out["o/fine"].primary_language, out["o/fine"].languages_breakdown) == (8, "Go", "Go:87.5%; Unknown:12.5%")
+    assert "broken" in out["o/slow"].error and out["o/slow"].total_commits == 3 and out["o/slow"].total_files == 0
+    assert local.is_clone(f"{root}/o/fine") and not local.is_clone(root)
+
+
+def test_arguments():
+    from datetime import datetime, timezone
+
+    from quarrylight.plans.arguments import RunArguments as R
+
+    for bad, why in (
+        (R(offline=True), "folder"), (R(offline=True, clones="/c", github_orgs=("o",)), "hosted"), (R(github_orgs=("o",)), "tokens"),
+        (R(offline=True, clones="/c", classify=True, environment={"CLASSIFIER_API_KEY": " "}), "environment"),
+    ):
+        with pytest.raises(ValueError, match=why):
+            bad.check()
+    assert R(offline=True, clones="/c/my clones/").check().label() == "my clones"
+    assert R(offline=True, clones="/c/my clones/").folder(datetime(2024, 1, 2, 3, 4, 5, tzinfo=timezone.utc)) == "raw-extract-my_clones-20240102T030405Z"
+    labels = [R(github_orgs=("a",), gitlab_groups=("b",)), R(gitlab_groups=("b",), github_accessible=True), R(gitlab_accessible=True), R(github_repos=("o/r",)), R(gitlab_repos=("g/p",)), R()]
+    assert [x.label() for x in labels] == ["a", "b", "gitlab-accessible", "o_r", "g_p", "repos"]
+
+
+def test_report_of_totals(spark, tmp_path):
+    from quarrylight.sources import sinks
+
+    counts = spark.createDataFrame([("GitHub", "o/b", 2), ("GitHub", "o/a", 0), ("GitLab", "g/p", 5)], "platform string, repo string, merged long")
+    sinks.write_totals(counts, str(tmp_path / "t"))
+    lines = "".join(open(tmp_path / "t" / f).read() for f in os.listdir(tmp_path / "t") if f.startswith("part-")).splitlines()
+    assert lines == ["  o/a: 0", "  o/b: 2", "  GitHub subtotal: 2", "  g/p: 5", "  GitLab subtotal: 5", "Grand total: 7"]
