@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.llm import exact_dedup, near_dedup, packing, quality, secrets
-from quarrylight.llm.common import remainder, written
+from quarrylight.llm.common import new_path, remainder, removed, written
 from quarrylight.llm.registry import BYTE_BPE, vocabulary
 from quarrylight.session import table
 
@@ -61,8 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each result written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over `documents`, each result written as Parquet and read again; a result goes when the next one is there."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        path = new_path(spark, name)
+        docs = written(stage(spark, docs, sf_dir), name, path)
+        if before:
+            removed(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
