@@ -28,19 +28,21 @@ def select_targets(targets: DataFrame, selectors: DataFrame) -> DataFrame:
     """Targets that a selector names: in full, by a suffix that begins at a slash, or all if there are no selectors.
 
     A target's suffixes are its keys, so this is an equi-join whatever the number of selectors. Selectors that name no
-    target at all are an error, which a job tells when the plan is made.
+    target at all are an error, which the job raises that reads the result: how many selectors and hits there are is
+    one row of the plan, and no job runs while it is made.
     """
     wanted = selectors.select(F.lower(F.trim("selector")).alias("__key")).where("__key <> ''").distinct()
     parts = F.split(F.lower("full_name"), "/")
     n = F.size(parts)
     suffixes = F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice(parts, k, n), "/"))
-    if wanted.isEmpty():
-        return targets
     keyed = targets.withColumn("__id", F.struct("platform", "full_name"))
     hits = keyed.select("__id", F.explode(suffixes).alias("__key")).join(wanted, "__key", "left_semi").select("__id").distinct()
-    if hits.isEmpty():
-        raise ValueError("the selectors match no target")
-    return keyed.join(hits, "__id", "left_semi").drop("__id")
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name)).withColumn("__one", F.lit(1))
+    told = count(wanted, "__wanted").join(count(hits, "__hits"), "__one")
+    marked = keyed.join(hits.withColumn("__hit", F.lit(True)), "__id", "left").withColumn("__one", F.lit(1)).join(F.broadcast(told), "__one")  # one row
+    none = F.raise_error(F.lit("the selectors match no target")).cast("boolean")
+    keep = F.when(F.col("__wanted") == 0, True).when(F.col("__hits") == 0, none).otherwise(F.coalesce("__hit", F.lit(False)))
+    return marked.where(keep).select(*targets.columns)
 
 
 def top_level(groups: DataFrame, column: str = "id") -> DataFrame:
