@@ -180,7 +180,7 @@ class LineCountReader(_Reader):
 
     def rows(self, folder: str) -> Iterator[tuple]:
         if not shutil.which(self.counter):
-            raise OSError(f"{self.counter} not found on PATH")
+            raise OSError(f"there is no program {self.counter}")
         try:
             run = subprocess.run([self.counter, "--format", "json", folder], capture_output=True, timeout=min(self.seconds, COUNT_SECONDS))
         except subprocess.TimeoutExpired as e:

@@ -163,7 +163,7 @@ def test_lines_of_a_counter(spark, clones, tmp_path, monkeypatch):
     assert rows["o/fine"] == [("o/fine", "Go", 7, None), ("o/fine", "Unknown", 1, None)] and rows["o/empty"] == []
     assert "broken" in rows["o/slow"][0][-1]
     missing = local.LineCountReader({"path": root, "counter": "no-such-counter"})
-    assert "no-such-counter not found on PATH" in list(missing.read(missing.partitions()[0]))[0][-1]
+    assert "there is no program no-such-counter" in list(missing.read(missing.partitions()[0]))[0][-1]
     out = {r.repo: r for r in profile.profile_clones(spark, root, str(tmp_path / "counted"), AS_OF(), counter=f"{folder}/count").collect()}
     assert (out["o/fine"].loc, out["o/fine"].primary_language, out["o/fine"].languages_breakdown) == (8, "Go", "Go:87.5%; Unknown:12.5%")
     assert "broken" in out["o/slow"].error and out["o/slow"].total_commits == 3 and out["o/slow"].total_files == 0
