@@ -15,8 +15,8 @@ components.
 A crowded bucket, as a passage makes that very many different documents share, is looked at in another way: its sets'
 elements are ordered from the rarest to the most frequent, and sets as similar as asked for share one of their first
 elements, of as many as their sizes leave room to differ in. So sets only meet over rare elements, and those that have
-the passage alone in common don't. Groups are cut into pieces, every piece against every other, and very large ones
-into pieces of sets of like size first.
+the passage alone in common don't. Sets meet by two classes of like size, those of one with those of the other; where
+very many do, they are cut into pieces, each of one side against each of the other.
 """
 
 from __future__ import annotations
@@ -36,13 +36,9 @@ WORDS, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
 #: Bins of the one-permutation samples, bits of an odd sketch, and by how many deviations a pair may miss its limit.
 BINS, BITS, DEVIATIONS = 1024, 2048, 5.0
-#: Sets of a piece of a bucket; buckets with more than LARGE sets are cut by size first, into classes of sizes up to
-#: CLASS times the least: a little more than a pair may differ by, so rounding never puts a pair two classes apart.
-PIECE, LARGE, CLASS = 512, 20_000, 1.34
-
-#: Sets of a bucket beyond which it is crowded, and the step of sizes from a class to the next where elements are ordered.
-CROWD, STEP = 512, 1.03
-
+#: Sets of a bucket beyond which it is crowded, the step of sizes from a class to the next where elements are ordered, and
+#: the sets of a piece.
+CROWD, STEP, PIECE = 512, 1.03, 512
 #: Elements of the sets that go along with their entries, so that links are confirmed where the pieces meet.
 CARRIED = 2048
 
@@ -290,30 +286,29 @@ def _by_rare_elements(crowded: DataFrame, sets: DataFrame, docs: DataFrame) -> D
     common = F.ceil((F.col("n") + F.col("low")) * (PERCENT / (100 + PERCENT)) - few)
     room = F.col("n") - common + 1 - (F.col("n") - F.size("c"))
     first = F.slice("c", F.lit(1), F.greatest(F.least(room, F.size("c").cast("long")), F.lit(0)).cast("int"))
-    rows = met.select("id", "component", F.least("class", "other").alias("x"), F.greatest("class", "other").alias("y"), F.explode(first).alias("at"))
-    return rows.select(F.xxhash64("x", "y", "at.e").alias("bucket"), "id", "component")
+    x, y = F.least("class", "other"), F.greatest("class", "other")
+    rows = met.select("id", "component", x.alias("x"), y.alias("y"), (F.col("class") > F.col("other")).cast("int").alias("side"), F.explode(first).alias("at"))
+    return rows.select(F.xxhash64("x", "y", "at.e").alias("bucket"), "id", "component", "side", (F.col("x") == F.col("y")).alias("alike"))
 
 
-def _pieces(entries: DataFrame, sets: DataFrame) -> DataFrame:
-    """Entries (bucket, size, id) with the sets' columns, their piece, and the first and last piece that it meets.
+def _sides(rare: DataFrame) -> DataFrame:
+    """Entries of `_by_rare_elements` that can meet others, with their piece and the first and last piece that they meet.
 
-    Pieces of a bucket are numbered from 0, by class of sizes; buckets that are not large are one class.
+    The pieces of the side of smaller sets come first; in a bucket of one class the sets meet among themselves.
     """
-    rows = entries.join(sets.select("id", "n", "samples", "bands", "sketch"), "id")
-    rows = rows.withColumn("bands", F.when(F.col("rare"), F.array("bucket")).otherwise(F.col("bands")))  # its own first bucket
-    own = F.when(F.col("size") > LARGE, F.floor(F.log("n") / F.log(F.lit(CLASS))).cast("int")).otherwise(0)
-    many = lambda count: F.ceil(count / PIECE).cast("int").alias("pieces")
-    classes = F.array(F.struct(F.lit(0).alias("class"), many(F.col("size"))))
-    large = entries.where(F.col("size") > LARGE)
-    if not large.isEmpty():
-        counts = large.join(sets.select("id", "n"), "id").groupBy("bucket", "size", own.alias("class")).agg(many(F.count(F.lit(1))))
-        counts = counts.groupBy("bucket").agg(F.collect_list(F.struct("class", "pieces")).alias("classes"))
-        rows, classes = rows.join(counts, "bucket", "left"), F.coalesce("classes", classes)
-    rows = rows.withColumn("class", own).withColumn("classes", classes)
-    upto = lambda k: F.aggregate("classes", F.lit(0), lambda a, x: a + F.when(x["class"] <= k, x["pieces"]).otherwise(0))
-    own = F.col("class")
-    rows = rows.select("*", upto(own - 1).alias("begin"), upto(own).alias("end"), upto(own - 2).alias("first"), (upto(own + 1) - 1).alias("last"))
-    return rows.withColumn("piece", F.col("begin") + F.pmod(F.xxhash64("id"), F.col("end") - F.col("begin")).cast("int"))
+    size = rare.groupBy("bucket").agg(
+        F.count_if(F.col("side") == 0).alias("small"), F.count_if(F.col("side") == 1).alias("large"), F.min("component").alias("lo"), F.max("component").alias("hi")
+    )
+    live = size.where("lo < hi")
+    n = lambda c: F.greatest(F.ceil(F.col(c) / PIECE), F.lit(1)).cast("int")
+    rows = rare.join(live.select("bucket", "small", "large", n("small").alias("a"), n("large").alias("b")), "bucket")
+    rows = rows.where(F.when(F.col("alike"), F.col("small") > 1).otherwise((F.col("small") > 0) & (F.col("large") > 0)))
+    dealt = lambda count: F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
+    first = F.col("side") == 0
+    return rows.select(
+        "bucket", "id", "component", F.when(first, dealt("a")).otherwise(F.col("a") + dealt("b")).alias("piece"),
+        F.when(first & ~F.col("alike"), F.col("a")).otherwise(0).alias("first"), F.when(first & ~F.col("alike"), F.col("a") + F.col("b") - 1).otherwise(F.col("a") - 1).alias("last"),
+    )
 
 
 def link_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -346,15 +341,16 @@ def link_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = components(links)
 
     left = _mixed_buckets(_labelled(starred.select("bucket", "id", "hub"), groups))
-    left = written(left.withColumn("rare", F.lit(False)), "left")
-    crowded = left.where(F.col("size") > CROWD)
+    left = written(left, "left")
+    whole = left.where(F.col("size") <= CROWD).select("bucket", "id", "hub", "component", *(F.lit(0).alias(c) for c in ("piece", "first", "last")), F.lit(False).alias("rare"))
+    crowded = left.where(F.col("size") > CROWD).select("id", "component").distinct()
     if not crowded.isEmpty():
-        rare = _mixed_buckets(_by_rare_elements(crowded.select("id", "component").distinct(), sets, docs))
-        rare = rare.select("bucket", "id", F.lit(None).cast("long").alias("hub"), "component", "size", F.lit(True).alias("rare"))
-        left = written(left.where(F.col("size") <= CROWD).unionByName(rare), "left-rare")
-    carried = left.select("id").distinct().join(sets.where(F.col("n") <= CARRIED).select("id", "key", "first", "h"), "id")
+        rare = _sides(written(_by_rare_elements(crowded, sets, docs), "rare")).withColumn("rare", F.lit(True))
+        whole = written(whole.unionByName(rare.withColumn("hub", F.lit(None).cast("long"))), "left-rare")
+    carried = whole.select("id").distinct().join(sets.where(F.col("n") <= CARRIED).select("id", "key", "first", "h"), "id")
     carried = written(_texts(carried, docs).mapInArrow(_carried, "id long, s binary").dropDuplicates(["id"]), "carried")
-    left = _pieces(left, sets).join(carried, "id", "left")
+    left = whole.join(sets.select("id", "n", "samples", "bands", "sketch"), "id").join(carried, "id", "left")
+    left = left.withColumn("bands", F.when(F.col("rare"), F.array("bucket")).otherwise(F.col("bands")))  # a rare element's is its own first bucket
     meets = F.transform(F.sequence("first", "last"), lambda k: F.struct(F.least(k, "piece").alias("p"), F.greatest(k, "piece").alias("q")))
     dealt = left.select("bucket", "id", "hub", "component", "piece", "n", "samples", "bands", "sketch", "s", F.explode(meets).alias("m")).select("*", "m.*").drop("m")
     order = ["bucket", "p", "q"]
