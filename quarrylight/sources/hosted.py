@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, GreaterThan, GreaterThanOrEqual, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..schemas import MERGED_PRS
@@ -216,25 +217,30 @@ class MergedCounts(_Hosted):
     label, form, kind = "merged_counts", "repo string, merged long, told boolean, error string", CountReader
 
 
-def fetched(lines: DataFrame, **options: object) -> DataFrame:
-    """The items of lists whose targets (`line`, as for ListReader) are rows: the tasks that hold them read them."""
-    given = {k: str(v) for k, v in options.items()}
+def fetched(lines: DataFrame, source: type[_Hosted] = Hosted, **options: object) -> DataFrame:
+    """The rows of a source for targets that are rows (`line`): the tasks that hold them read them."""
+    given, reader = {k: str(v) for k, v in _with_query(source, options).items()}, source.kind
+    arrow = to_arrow_schema(StructType.fromDDL(source.form))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = ListReader(given)
-        names, kinds = ["key", "url", "seq", "item", "error"], (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
+        own = reader(given)
         for batch in batches:
             for line in batch.column(0).to_pylist():
-                columns = list(zip(*reader.read(_Targets([line])))) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+                columns = list(zip(*own.read(_Targets([line])))) or [()] * len(arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return lines.select("line").mapInArrow(run, Hosted.form)
+    return lines.select("line").mapInArrow(run, source.form)
+
+
+def _with_query(source: type[_Hosted], options: dict) -> dict:
+    """Options with the query that the source needs: executors have no parser of schemas."""
+    if source is not MergedChanges:
+        return options
+    return {"query": endpoints.merged_query(StructType.fromDDL(MERGED_PRS))} | options
 
 
 def load(spark: SparkSession, source: type[_Hosted], lines: Iterable[str], **options: object) -> DataFrame:
     """The rows of a source for these targets. Filters are pushed into the source."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(source)
-    if source is MergedChanges:
-        options = {"query": endpoints.merged_query(StructType.fromDDL(MERGED_PRS))} | options
-    return spark.read.format(source.label).options(**options).load("\n".join(lines))
+    return spark.read.format(source.label).options(**_with_query(source, options)).load("\n".join(lines))

@@ -2,7 +2,8 @@
 
 Each reader takes the names it is to read and a base address, and gives the rows of all of them with the name in `key`;
 rows that lack what names them are dropped as malformed. `errors` gives what failed. The order of a list is kept in
-`seq`. Targets are dealt to partitions, `per_task` to each.
+`seq`. Names are a list, dealt to partitions, `per_task` to each; what is read of repositories takes a table of them
+(`full_name`), too, whose own tasks then read, `at_once` of them.
 """
 
 from __future__ import annotations
@@ -28,6 +29,18 @@ def lists(spark: SparkSession, platform: str, chains: Iterable[tuple[str, list[s
     return hosted.load(spark, hosted.Hosted, (f"{key}\t{' '.join(chain)}" for key, chain in chains), **(STYLE[platform] | options))
 
 
+def _of(spark: SparkSession, platform: str, base: str, names: Iterable[str] | DataFrame, what: str, style: str | None = None, at_once: int = 8, **options: object) -> DataFrame:
+    """The lists or documents of repositories: languages, contributors, members."""
+    options = STYLE[platform] | options | ({"style": style} if style else {})
+    make = E.github if platform == "github" else E.gitlab
+    if not isinstance(names, DataFrame):
+        return hosted.load(spark, hosted.Hosted, (f"{n}\t{make(base, what, n)}" for n in names), **options)
+    before, after = make(base, what, "\0").replace("%00", "\0").split("\0")
+    name = F.col("full_name") if platform == "github" else S.percent_encoded(F.col("full_name"))
+    lines = names.select(F.concat("full_name", F.lit("\t" + before), name, F.lit(after)).alias("line")).repartition(at_once)
+    return hosted.fetched(lines, **options)
+
+
 def errors(rows: DataFrame) -> DataFrame:
     """What failed: (key, error)."""
     return rows.where("error is not null").select("key", "error")
@@ -104,22 +117,37 @@ def installation_label(found: DataFrame, installation_id: int) -> DataFrame:
     return one
 
 
-def languages(spark: SparkSession, platform: str, base: str, names: Iterable[str], **options: object) -> DataFrame:
+def read_languages(spark: SparkSession, platform: str, base: str, names: Iterable[str] | DataFrame, **options: object) -> DataFrame:
+    """The languages of repositories, one document each."""
+    return _of(spark, platform, base, names, "languages", "document", **options)
+
+
+def read_people(spark: SparkSession, platform: str, base: str, names: Iterable[str] | DataFrame, **options: object) -> DataFrame:
+    """Contributors of GitHub repositories, anonymous ones too; members of GitLab projects, inherited ones too."""
+    return _of(spark, platform, base, names, "contributors" if platform == "github" else "members", **options)
+
+
+def as_languages(rows: DataFrame) -> DataFrame:
     """(full_name, map_pos, language, value): bytes or percent of each language, in the order of the source."""
-    address = (lambda n: E.github(base, "languages", n)) if platform == "github" else (lambda n: E.gitlab(base, "languages", n))
-    rows = lists(spark, platform, ((n, [address(n)]) for n in names), **(options | {"style": "document"})).where("error is null")
-    held = rows.select(F.col("key").alias("full_name"), F.from_json("item", "map<string,double>").alias("m"))
+    held = rows.where("error is null").select(F.col("key").alias("full_name"), F.from_json("item", "map<string,double>").alias("m"))
     return held.select("full_name", F.posexplode(F.map_entries("m")).alias("map_pos", "e")).select("full_name", "map_pos", F.col("e.key").alias("language"), F.col("e.value").alias("value"))
 
 
-def contributors(spark: SparkSession, platform: str, base: str, names: Iterable[str], **options: object) -> DataFrame:
-    """Contributors of GitHub repositories, anonymous ones too; members of GitLab projects, inherited ones too."""
+def as_people(rows: DataFrame, platform: str) -> DataFrame:
+    """(repo, seq, login, type, contributions)."""
     if platform == "github":
-        rows = lists(spark, platform, ((n, [E.github(base, "contributors", n)]) for n in names), **options)
         people = rows.where("error is null").select("key", "seq", F.from_json("item", schemas.ACCOUNT).alias("x")).select("key", "seq", "x.*")
         return people.select(F.col("key").alias("repo"), "seq", F.coalesce("login", "name").alias("login"), "type", "contributions")
-    rows = typed(lists(spark, platform, ((n, [E.gitlab(base, "members", n)]) for n in names), **options), schemas.MEMBER, "username")
-    return rows.select(F.col("key").alias("repo"), "seq", F.col("username").alias("login"), F.lit("User").alias("type"), F.lit(None).cast("long").alias("contributions"))
+    members = typed(rows, schemas.MEMBER, "username")
+    return members.select(F.col("key").alias("repo"), "seq", F.col("username").alias("login"), F.lit("User").alias("type"), F.lit(None).cast("long").alias("contributions"))
+
+
+def languages(spark: SparkSession, platform: str, base: str, names: Iterable[str] | DataFrame, **options: object) -> DataFrame:
+    return as_languages(read_languages(spark, platform, base, names, **options))
+
+
+def contributors(spark: SparkSession, platform: str, base: str, names: Iterable[str] | DataFrame, **options: object) -> DataFrame:
+    return as_people(read_people(spark, platform, base, names, **options), platform)
 
 
 def merged_prs(spark: SparkSession, endpoint: str, names: Iterable[str], since: str | None = None, until: str | None = None, **options: object) -> DataFrame:
@@ -156,6 +184,16 @@ def merged_requests(spark: SparkSession, base: str, names: Iterable[str], at_onc
     return history.enrich_requests(listed.withColumnRenamed("key", "repo").drop("seq"), detail, notes, changes, keys=("repo", "iid"))
 
 
+def merged_totals(repos: DataFrame, platform: str, base: str, at_once: int = 8, **options: object) -> DataFrame:
+    """(repo, merged, told, error) of a table of repositories (`full_name`): its own tasks ask."""
+    if platform == "github":
+        line = F.col("full_name")
+    else:
+        line = F.concat("full_name", F.lit(f"\t{base}/projects/"), S.percent_encoded(F.col("full_name")), F.lit("/merge_requests?state=merged"))
+    lines = repos.select(line.alias("line")).repartition(at_once)
+    return hosted.fetched(lines, hosted.MergedCounts, platform=platform, endpoint=base, **(STYLE[platform] | options))
+
+
 def merged_counts(spark: SparkSession, platform: str, base: str, names: Iterable[str], since: str | None = None, until: str | None = None, **options: object) -> DataFrame:
     """(repo, merged, told, error): merged changes of each repository, without fetching them where the service tells the number.
 

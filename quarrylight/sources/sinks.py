@@ -29,10 +29,21 @@ def write_failures(rows: DataFrame, path: str) -> None:
     plan.failures(rows).coalesce(1).write.mode("overwrite").json(path)
 
 
-def manifest(rows: DataFrame, created_at: str) -> str:
-    """Counts of a run as a JSON document: one row reaches the driver."""
+#: Where the summary's columns come from, for the manifest.
+PROVENANCE = {
+    "commits, dates, authors": "the log of the clone: HEAD, and the root that it names first",
+    "merged_prs": "the service's total, else merge and squash marks in the commits' texts",
+    "languages": "lines of code by language, else what the service tells",
+    "repo_created_at, default_branch, contributor_count": "the service, else the clone",
+    "files, tests, ci, library": "the clone's file tree, without folders that walks skip",
+    "company_period": "first and last year of commits of all repositories of the organisation",
+}
+
+
+def manifest(rows: DataFrame, created_at: str, **more: object) -> str:
+    """Counts of a run as a JSON document, with where its columns come from: one row reaches the driver."""
     counts = plan.outcome_counts(rows).first().asDict()
-    return json.dumps({"created_at": created_at, **counts}, indent=2, ensure_ascii=False)
+    return json.dumps({"created_at": created_at, **counts, **more, "provenance": PROVENANCE}, indent=2, ensure_ascii=False)
 
 
 def totals(counts: DataFrame) -> DataFrame:

@@ -189,6 +189,32 @@ def test_hosted_facts_reach_the_summary(spark, github):
     assert (r.repo_created_at[:4], r.primary_language, r.size_kb, r.default_branch, r.contributor_count, r.merged_prs, r.languages_breakdown) == ("2019", "Go", 12, "dev", 2, 4, "Go:75.0%; C:25.0%")
 
 
+def test_from_a_service_to_the_files_of_a_run(spark, github, gitlab, tmp_path):
+    import csv
+    import os
+
+    from quarrylight.plans import profile
+
+    repo = lambda n: {"full_name": n, "created_at": "2019-01-01T00:00:00Z", "language": "Go", "size": 12, "default_branch": "dev"}
+    github.answers = {"/orgs/o/repos": [repo("o/r"), repo("o/q"), repo("o/bad")]}
+    for n in ("o/r", "o/q"):
+        github.answers |= {f"/repos/{n}/languages": {"Go": 3, "C": 1}, f"/repos/{n}/contributors": [{"login": "a"}, {"login": "b"}]}
+    github.graph = {"o/r": changes(4), "o/q": [], "o/bad": []}
+    out = str(tmp_path / "out")
+    rows = {r.repo: r for r in profile.profile_hosted(spark, "github", github.base, ["o"], out, F.current_timestamp(), graphql=github.base).collect()}
+    assert (rows["o/r"].merged_prs, rows["o/r"].contributor_count, rows["o/r"].languages_breakdown, rows["o/r"].error) == (4, 2, "Go:75.0%; C:25.0%", None)
+    assert (rows["o/q"].merged_prs, rows["o/q"].default_branch) == (0, "dev")
+    assert "HTTP 404" in rows["o/bad"].error and rows["o/bad"].languages_breakdown is None
+    text = "".join(open(f"{out}/summary.csv/{f}", newline="").read() for f in os.listdir(f"{out}/summary.csv") if f.startswith("part-"))
+    assert [r["repo"] for r in csv.DictReader(text.splitlines())] == ["o/bad", "o/q", "o/r"]
+    gitlab.answers = {
+        "/groups/g/projects": [{"id": 1, "path_with_namespace": "g/p x", "created_at": "2020", "default_branch": "main", "statistics": {"repository_size": 4096}}],
+        "/projects/g/p x/languages": {"C": 100}, "/projects/g/p x/members/all": [{"id": 1, "username": "ann"}], "/projects/g/p x/merge_requests": [{"iid": 1}],
+    }
+    got = profile.profile_hosted(spark, "gitlab", gitlab.base, ["g"], str(tmp_path / "lab"), F.current_timestamp()).first()
+    assert (got.repo, got.size_kb, got.contributor_count, got.merged_prs, got.languages_breakdown, got.error) == ("g/p x", 4, 1, 1, "C:100.0%", None)
+
+
 def test_a_token_is_renewed_before_it_ends():
     now, minted = [0.0], []
 
