@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
@@ -56,7 +56,9 @@ def summary(spark: SparkSession, path: str, rows: int | None = None) -> DataFram
     table = spark.read.csv(path, header=True, escape='"', multiLine=True)
     if rows is None:
         return table
-    return table.limit(rows).withColumn("truncated", F.lit(table.limit(rows + 1).count() > rows))
+    first = table.limit(rows + 1).withColumn("__n", F.monotonically_increasing_id())  # one task's, so in the file's order
+    more = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))) > rows
+    return first.withColumn("truncated", more).orderBy("__n").limit(rows).drop("__n")
 
 
 def tokens(spark: SparkSession, path: str) -> DataFrame:
