@@ -174,7 +174,7 @@ def maximal_runs(key: np.ndarray, min_length: int, min_exponent: int) -> tuple[n
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words of texts between ASCII white space, and how many each text has."""
-    parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    parts = pc.ascii_split_whitespace(pc.fill_null(texts if texts.type == pa.string() else texts.cast(pa.string()), ""))
     words, size = parts.flatten(), np.diff(parts.offsets.to_numpy())
     full = pc.greater(pc.binary_length(words), 0)
     if pc.all(full).as_py() in (True, None):
