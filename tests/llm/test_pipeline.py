@@ -31,6 +31,7 @@ def tables(spark, tmp_path_factory):
     vectors = [(k, [float(k % 3), 1.0, 0.1 * (k % 5)], k % 2) for k in range(30)] + [(99, None, None)]
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{base}/embeddings.parquet")
     spark.createDataFrame([(1, "u", "<article>a</article>"), (2, None, None)], "page_id long, url string, html string").write.parquet(f"{base}/pages.parquet")
+    spark.createDataFrame([(1, "thas?"), (2, None), (3, "unheardof")], "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
     return str(base), texts
 
 
@@ -62,6 +63,6 @@ def test_stages_do_what_brute_force_does(spark, tables):
 def test_queries_return_a_row_for_each_of_theirs(spark, tables, name):
     base, texts = tables
     got = llm.QUERIES[name](spark, base)
-    key = {"op2_embedding_dedup": "vec_id", "op5_html_text": "page_id"}.get(name, "doc_id")
-    want = {"vec_id": 31, "page_id": 2}.get(key, len(texts))
+    key = {"op2_embedding_dedup": "vec_id", "op5_html_text": "page_id", "op12_search": "item_id"}.get(name, "doc_id")
+    want = {"vec_id": 31, "page_id": 2, "item_id": 1}.get(key, len(texts))
     assert got.select(key).distinct().count() == want
