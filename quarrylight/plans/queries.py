@@ -664,4 +664,105 @@ def evidence_paths(spark, d):
         F.col("n_regionkey").alias("loc"), F.lit(1).alias("total_commits"), F.lit(True).alias("has_tests"),
     )
     rows = trees.with_repository(trees.evidence(_files(spark, d)), facts)
-    return rows.where("repository is not null").select("repo", F.array_join("file_paths", " ").alias("file_paths"), "repository.loc", "repository.has_tests")
\ No newline at end of file
+    return rows.where("repository is not null").select("repo", F.array_join("file_paths", " ").alias("file_paths"), "repository.loc", "repository.has_tests")
+
+_HOST = "regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)"
+
+
+@query(
+    "api_addresses",
+    f"""
+    SELECT page_id, 'https://' || {_HOST} || '/api/v4' AS gitlab, CASE WHEN {_HOST} = 'github.com' THEN 'https://api.github.com' ELSE 'https://' || {_HOST} || '/api/v3' END AS github,
+        CASE WHEN {_HOST} = 'github.com' THEN 'https://api.github.com/graphql' ELSE 'https://' || {_HOST} || '/api/graphql' END AS graphql,
+        replace(url_encode(url), '+', '%20') AS encoded, starts_with(url, 'http://' || {_HOST} || '/') OR url = 'http://' || {_HOST} AS under
+    FROM pages""",
+)
+def api_addresses(spark, d):
+    host = F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)
+    return table(spark, d, "pages").select(
+        "page_id", S.gitlab_api(F.concat(F.lit(" "), host, F.lit("/"))).alias("gitlab"), S.github_api(host).alias("github"), S.github_graphql(host).alias("graphql"),
+        S.percent_encoded(F.col("url")).alias("encoded"), S.is_under(F.concat(F.lit("http://"), host), F.col("url")).alias("under"),
+    )
+
+
+@query(
+    "selector_lines",
+    """
+    WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents)
+    SELECT doc_id, len(s) AS n, coalesce(s[1], '') AS first, coalesce(s[-1], '') AS last FROM l""",
+)
+def selector_lines(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", S.selectors(F.col("text")).alias("s"))
+    at = lambda k: F.coalesce(F.try_element_at("s", F.lit(k)), F.lit(""))
+    return rows.select("doc_id", F.size("s").cast("long").alias("n"), at(1).alias("first"), at(-1).alias("last"))
+
+
+@query("settings", "SELECT c_name AS key, c_mktsegment || '=' || c_custkey AS value FROM customer WHERE c_acctbal > 0")
+def settings(spark, d):
+    """Customers as lines of a configuration file; those without money are comments."""
+    line = F.concat(F.when(F.col("c_acctbal") > 0, "  ").otherwise("# "), "c_name", F.lit(" = "), "c_mktsegment", F.lit("="), F.col("c_custkey").cast("string"), F.lit(" "))
+    return targets.config(table(spark, d, "customer").select(line.alias("value")))
+
+
+@query(
+    "loc_breakdown",
+    """
+    WITH g AS (SELECT p_brand AS repo, p_type AS language, sum(p_size - 1) AS n FROM part GROUP BY ALL HAVING sum(p_size - 1) <> 0),
+    t AS (SELECT *, sum(n) OVER (PARTITION BY repo) AS total FROM g)
+    SELECT b.repo, coalesce(string_agg(language || ':' || printf('%.1f', 100.0::DOUBLE * n / total) || '%', '; ' ORDER BY n DESC, language), '') AS languages,
+        coalesce(arg_min(language, (-n, language)), '') AS primary_language
+    FROM (SELECT DISTINCT p_brand AS repo FROM part) b LEFT JOIN t ON t.repo = b.repo GROUP BY b.repo""",
+)
+def loc_breakdown(spark, d):
+    lines = table(spark, d, "part").select(F.col("p_brand").alias("repo"), F.col("p_type").alias("language"), (F.col("p_size") - 1).cast("long").alias("code"))
+    counted = trees.lines_by_language(lines).select(F.col("repo").alias("full_name"), F.lit(0).alias("map_pos"), "language", F.col("code").cast("double").alias("value"))
+    shares = trees.language_shares(counted, by_name=True)
+    return shares.select(F.col("full_name").alias("repo"), F.col("languages_breakdown").alias("languages"), "primary_language")
+
+
+@query(
+    "merged_changes",
+    f"""
+    WITH c AS (
+        SELECT n_name AS repo, o_custkey::VARCHAR AS pr_number, o_orderstatus AS s, strftime(o_orderdate, '%Y-%m-%d') AS merged_at, c_name AS merged_by_name, o_orderkey::VARCHAR AS merge_commit, o_orderkey AS k
+        FROM {_COMMITS}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY repo, pr_number ORDER BY s <> 'O' DESC, CASE WHEN s <> 'O' THEN -k ELSE k END) AS n FROM c)
+    SELECT repo, pr_number, CASE WHEN s = 'O' THEN 'squash' ELSE 'merge-commit' END AS method, CASE s WHEN 'O' THEN '' WHEN 'F' THEN 'a/b' ELSE 'topic' END AS source_branch,
+        CASE s WHEN 'O' THEN 'Work' WHEN 'F' THEN 'Told at ' || merged_at ELSE 'Merged in topic (pull request #' || pr_number || ')' END AS title, merged_at, merged_by_name, merge_commit
+    FROM r WHERE n = 1""",
+)
+def merged_changes(spark, d):
+    """A status O is a squash, an F the merge of a pull request with its title in the body, a P one of the other kind."""
+    n, day = F.col("o_custkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    status = F.col("o_orderstatus")
+    subject = F.when(status == "O", F.concat(F.lit("Work (#"), n, F.lit(")"))).when(status == "F", F.concat(F.lit("Merge pull request #"), n, F.lit(" from a/b"))).otherwise(F.concat(F.lit("Merged in topic (pull request #"), n, F.lit(")")))
+    commits = _commits(spark, d).select(
+        F.col("n_name").alias("repo"), (-F.col("o_orderkey")).alias("log_pos"), F.col("o_orderkey").cast("string").alias("sha"), F.col("c_name").alias("author_name"),
+        F.lit("").alias("author_email"), day.alias("author_date"), subject.alias("subject"), F.concat(F.lit("\n Told at "), day, F.lit("\nmore")).alias("body"),
+    )
+    return history.fold_merged(commits).select("repo", "pr_number", "method", "source_branch", "title", "merged_at", "merged_by_name", "merge_commit")
+
+
+@query(
+    "local_targets",
+    """
+    WITH p AS (SELECT page_id, array_to_string(string_split(url, '/')[4:], '/') AS path FROM pages),
+    s AS (SELECT path, string_split(path, '/') AS s FROM p)
+    SELECT 'local' AS platform, path, CASE WHEN path IN ('', '.') OR len(s) < 2 THEN 'root' ELSE s[1] END AS org,
+        CASE WHEN path IN ('', '.') THEN 'root' WHEN len(s) < 2 THEN s[1] ELSE path END AS full_name
+    FROM s""",
+)
+def local_targets(spark, d):
+    parts = F.split("url", "/")
+    paths = table(spark, d, "pages").select(F.array_join(F.slice(parts, 4, F.greatest(F.size(parts), F.lit(1))), "/").alias("path"))
+    return targets.local_targets(paths, F.lit("root"))
+
+
+@query("restored_runs", "SELECT user_id::VARCHAR AS run, CASE WHEN arg_max(value > 300, event_id) FILTER (event_type = 'purchase' AND value > 250) THEN 'completed' ELSE 'failed' END AS phase, false AS running FROM events GROUP BY 1")
+def restored_runs(spark, d):
+    return progress.restored(progress.run_state(_events(spark, d))).select("run", "phase", "running")
+
+
+@query("classified", "SELECT 'NATION_' || source[4:] AS repo, '' AS codebase_description, 'unknown' AS industry_domain, '[]' AS vibe_code_signals, 'other' AS repo_type, NULL::VARCHAR AS llm_analysis_error FROM documents GROUP BY source")
+def classified(spark, d):
+    return classify.classify(trees.evidence(_files(spark, d)))
