@@ -138,8 +138,8 @@ def drop_copies(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("r")).withColumn("digest", digest_of(F.col(f"r.{text_col}")))
     first = written(rows.groupBy("digest").agg(F.min_by("r", order).alias("r")), "first")
     add_in_order(first.select(F.col(f"r.{id_col}").alias("id"), "digest"), index, batches)
-    stays = first.join(index.read().hint("merge"), "digest").where(F.col(f"r.{id_col}").eqNullSafe(F.col("keep_id"))).select("r.*")
-    if own:
-        stays = written(stays, "stays")
+    entries = index.read()
+    if own:  # the rows themselves are not written a second time
+        entries = written(entries, "entries")
         index.forget()
-    return stays
+    return first.join(entries.hint("merge"), "digest").where(F.col(f"r.{id_col}").eqNullSafe(F.col("keep_id"))).select("r.*")
