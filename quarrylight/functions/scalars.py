@@ -18,6 +18,8 @@ CREDENTIAL = r"(?i)(https?://)(?:x-access-token|oauth2):[^@/\s]+@"
 SECRET_KEYS = ("openai_key", "password", "api_key", "token", "secret")
 #: Fixed value: folders that name a platform, not an organisation.
 PLATFORM_ROOTS = ("github", "gitlab", "local")
+#: Fixed value: the space separators of Unicode, which `trim` in SQL takes off.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 def safe_name(name: Column) -> Column:
@@ -159,8 +161,9 @@ def kib(size: Column, whole: bool = True) -> Column:
 
 
 def selectors(text: Column) -> Column:
-    """The non-blank lines of a text, trimmed."""
-    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    """The non-blank lines of a text, without space separators at their ends."""
+    # F.trim by itself would get a line's position as the characters to take off
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x, F.lit(SPACES))), lambda x: x != "")
 
 
 def log_total(line: Column) -> Column:

@@ -694,7 +694,7 @@ def api_addresses(spark, d):
 def selector_lines(spark, d):
     rows = table(spark, d, "documents").select("doc_id", S.selectors(F.col("text")).alias("s"))
     at = lambda k: F.coalesce(F.try_element_at("s", F.lit(k)), F.lit(""))
-    return rows.select("doc_id", F.size("s").cast("long").alias("n"), at(1).alias("first"), at(-1).alias("last"))
+    return rows.select("doc_id", F.array_size("s").cast("long").alias("n"), at(1).alias("first"), at(-1).alias("last"))
 
 
 @query("settings", "SELECT c_name AS key, c_mktsegment || '=' || c_custkey AS value FROM customer WHERE c_acctbal > 0")

@@ -27,6 +27,24 @@ def test_query_agrees_with_its_sql(spark, name):
     assert plain(tuple(r) for r in got.select(*columns).collect()) == plain(want)
 
 
+def test_selector_lines_of_odd_texts_agree_with_the_sql(spark, tmp_path):
+    texts = [
+        "ends 10", "0 begins\n1 and 11\n22", "  a  \n b\n", "0\n1\n2\n ", "\u00a0 a\u3000\n\u2003\n\u200b\u2028b ", "a\r\n\tb\t\n", "", " ", "\n\n", None,
+        "\n".join(f" {k}{k}" for k in range(12)), *(chr(c) + "a" + chr(c) for c in (0x85, 0x1680, 0x180E, 0x2000, 0x200A, 0x202F, 0x205F, 0xFEFF)),
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = plain(db.sql(registry.SQL["selector_lines"]).fetchall())
+    assert plain(tuple(r) for r in registry.QUERIES["selector_lines"](spark, str(tmp_path)).collect()) == want
+    ansi = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        assert plain(tuple(r) for r in registry.QUERIES["selector_lines"](spark, str(tmp_path)).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+
+
 def test_the_rest_stands_without_the_optional_part():
     for folder, _, files in os.walk(os.path.dirname(registry.__file__)):
         if os.path.basename(folder) not in ("llm", "__pycache__") and "/llm" not in folder:
